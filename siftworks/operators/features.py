@@ -271,8 +271,9 @@ class _KnnModel(Model):
         cols, k = self.cols, self.k
         donors = np.asarray(self.donors, dtype=float).reshape(-1, len(cols))
 
-        def fill(*series):
-            x = np.column_stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
+        @F.pandas_udf(", ".join(f"c{j} double" for j in range(len(cols))))
+        def filled(frame: pd.DataFrame) -> pd.DataFrame:
+            x = frame.to_numpy(dtype=float, na_value=np.nan)
             have = ~np.isnan(donors)
             means = np.array([donors[have[:, j], j].mean() if have[:, j].any() else 0.0 for j in range(len(cols))])
             for i in np.flatnonzero(np.isnan(x).any(axis=1)):
@@ -288,11 +289,7 @@ class _KnnModel(Model):
                     x[i, j] = donors[near, j].mean() if len(near) else means[j]
             return pd.DataFrame({f"c{j}": x[:, j] for j in range(len(cols))})
 
-        @F.pandas_udf(", ".join(f"c{j} double" for j in range(len(cols))))
-        def filled(*series: pd.Series) -> pd.DataFrame:
-            return fill(*series)
-
-        out = df.withColumn("_filled", filled(*[clean_number(c) for c in cols]))
+        out = df.withColumn("_filled", filled(F.struct(*[clean_number(c).alias(c) for c in cols])))
         return out.withColumns({c: F.col(f"_filled.c{j}") for j, c in enumerate(cols)}).drop("_filled")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("tabular",)
+THEMES = ("tabular", "text")
 
 
 def load_all() -> None:

@@ -58,13 +58,13 @@ def prf04(spark, d):
 OUTLIER_TABLE = {"l_quantity": "lineitem", "l_extendedprice": "lineitem", "l_discount": "lineitem", "l_tax": "lineitem"}
 
 
-@query("prf05_outliers", union_all("""SELECT '{c}' AS column_name, round(q1, 6) AS q1, round(q3, 6) AS q3,
+@query("prf05_outliers", union_all("""SELECT '{c}' AS column_name, round(q1, 2) AS q1, round(q3, 2) AS q3,
   CASE WHEN q1 = q3 THEN 0.0 ELSE round((SELECT avg((x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))::INT)
     FROM (SELECT {c} * {c} AS x FROM lineitem)), 6) END AS outlier_ratio
   FROM (SELECT quantile_cont({c} * {c}, 0.25) AS q1, quantile_cont({c} * {c}, 0.75) AS q3 FROM lineitem)""", NUMS))
 def prf05(spark, d):
     squared = table(spark, d, "lineitem").select(*[(F.col(c) * F.col(c)).alias(c) for c in NUMS])
-    return rounded(tp.outlier_ratios(squared, NUMS))
+    return rounded(rounded(tp.outlier_ratios(squared, NUMS), "q1", "q3", digits=2), "outlier_ratio")
 
 
 @query("prf06_07_08_shape", union_all("""SELECT '{c}' AS column_name, count({c}) AS n, round(avg(({c} = 0)::INT), 6) AS zero_ratio,
@@ -383,7 +383,7 @@ def ftr18(spark, d):
     return ranked.unionByName(counts.filter("item = 'c_mktsegment=BUILDING'").select(F.lit(5).alias("bin"), "n"))
 
 
-@query("ftr19_20_basket_column", """SELECT item, count(*) AS n FROM (SELECT p_partkey, unnest(list_distinct(list_transform(string_split(p_name || ' | ' || p_type || '|' || p_brand, '|'), x -> trim(x)))) AS item FROM part)
+@query("ftr19_20_basket_column", """SELECT item, count(*) AS n FROM (SELECT p_partkey, unnest(list_distinct(list_transform(string_split(p_name || ' | ' || p_type || '|' || p_brand, '|'), lambda x: trim(x)))) AS item FROM part)
   WHERE item <> '' GROUP BY item""")
 def ftr19(spark, d):
     t = table(spark, d, "part").select("p_partkey", F.concat_ws("", "p_name", F.lit(" | "), "p_type", F.lit("|"), "p_brand").alias("basket"))
