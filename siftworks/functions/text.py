@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character classes and patterns. WORD is the portable form of a Unicode word character.
 WORD = r"[\p{L}\p{N}_]"
@@ -46,14 +47,14 @@ class TextSpec:
     max_tokens: int = 0
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     import unicodedata
 
     return s.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _describe_emoji(s: pd.Series) -> pd.Series:
     import re
     import unicodedata
@@ -164,7 +165,7 @@ def clean_text(text: Column, spec: TextSpec = TextSpec(), keep_alignment: bool =
 
 def sentences(text: Column) -> Column:
     parts = F.split(text, rf"(?<=[.!?]){SPACE}+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda v: F.trim(v)), lambda s: s != "")
 
 
 def lead_summary(text: Column) -> Column:
@@ -189,7 +190,7 @@ def parse_list(cell: Column) -> Column:
     parsed = F.from_json(cell, "array<string>")
     listed = F.when(F.rlike(cell, F.lit(r"^\s*\[")), parsed)
     split = F.when(F.contains(cell, F.lit("|")), F.split(cell, r"\|")).otherwise(F.split(cell, ","))
-    return F.filter(F.transform(F.coalesce(listed, split), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.coalesce(listed, split), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def char_distance_metrics(pred: Column, truth: Column) -> dict[str, Column]:
@@ -202,7 +203,7 @@ def char_distance_metrics(pred: Column, truth: Column) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance on whitespace tokens; one numpy row per token of the shorter side."""
     import numpy as np

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -266,7 +267,6 @@ class _KnnModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         import numpy as np
-        import pandas as pd
 
         cols, k = self.cols, self.k
         donors = np.asarray(self.donors, dtype=float).reshape(-1, len(cols))

@@ -33,7 +33,7 @@ def basket_column(df: DataFrame, sample: int = 200) -> tuple[str, str] | None:
 
 
 def delimited_items(df: DataFrame, txn: str, col: str, delimiter: str) -> DataFrame:
-    parts = F.transform(F.split(F.col(col), f"\\Q{delimiter}\\E"), F.trim)
+    parts = F.transform(F.split(F.col(col), f"\\Q{delimiter}\\E"), lambda v: F.trim(v))
     return df.select(F.col(txn).alias("txn"), F.explode(F.array_distinct(parts)).alias("item")).filter("item <> ''")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from .metrics import ratio
@@ -34,7 +35,7 @@ def overlap_f1(df: DataFrame, key: str, pred: str, ref: str, n: int, out: str) -
     return df.select(key).join(scored, key, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def longest_common_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest run of consecutive tokens both texts share; one numpy row per token of the shorter text."""
     import numpy as np
