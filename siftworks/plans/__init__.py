@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("tabular", "text")
+THEMES = ("tabular", "text", "sources")
 
 
 def load_all() -> None:
