@@ -136,23 +136,24 @@ def average_precision(df: DataFrame, keys: Sequence[str] = (), y: str = "y", sco
 
 
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
-    """Best accuracy and the smallest (FP+FN)/2 as a share of all rows over the thresholds, plus the per-class
-    equal error rate. All thresholds are counted in a single pass."""
-    t = F.col(y).cast("int") == 1
-    aggs = [F.count("*").alias("n"), F.count_if(t).alias("p")]
-    for i, th in enumerate(thresholds):
-        up = F.col(score) >= F.lit(float(th))
-        aggs += [F.count_if(up & ~t).alias(f"fp{i}"), F.count_if(~up & t).alias(f"fn{i}")]
-    agg = df.groupBy(*keys).agg(*aggs)
-    n, neg = F.col("n"), F.col("n") - F.col("p")
-    errs = F.array(*[(F.col(f"fp{i}") + F.col(f"fn{i}")) / n for i in range(len(thresholds))])
-    per_class = F.array(*[
-        F.struct(
-            F.abs(ratio(F.col(f"fp{i}"), neg) - ratio(F.col(f"fn{i}"), F.col("p"))).alias("gap"),
-            ((ratio(F.col(f"fp{i}"), neg) + ratio(F.col(f"fn{i}"), F.col("p"))) / 2).alias("eer"),
-        ) for i in range(len(thresholds))])
-    agg = agg.withColumn("verification_accuracy", 1 - F.array_min(errs)).withColumn("eer_share", F.array_min(errs) / 2)
-    agg = agg.withColumn("eer", F.array_min(per_class)["eer"])
+    """Best accuracy and the smallest (FP+FN)/2 as a share of all rows over the thresholds, plus the per-class equal
+    error rate. Rows are first counted per interval between thresholds; the sweep runs on those few rows."""
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = sorted(set(float(t) for t in thresholds))
+    binned = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_s", outputCol="_b").transform(
+        df.withColumn("_s", F.col(score).cast("double")))
+    cells = binned.groupBy(*keys, "_b").agg(
+        F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
+    swept = cells.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1)))).groupBy(*keys, "_t").agg(
+        F.sum(F.when(F.col("_b") > F.col("_t"), F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(F.col("_b") <= F.col("_t"), F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    wrong = (F.col("fp") + F.col("fn")) / (F.col("p") + F.col("q"))
+    far, frr = ratio(F.col("fp"), F.col("q")), ratio(F.col("fn"), F.col("p"))
+    best = F.min(F.struct(F.abs(far - frr).alias("gap"), ((far + frr) / 2).alias("eer")))
+    agg = swept.groupBy(*keys).agg(
+        (1 - F.min(wrong)).alias("verification_accuracy"), (F.min(wrong) / 2).alias("eer_share"), best["eer"].alias("eer"))
     return long_metrics(agg, keys, ["verification_accuracy", "eer_share", "eer"])
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("tabular", "text", "sources")
+THEMES = ("tabular", "text", "sources", "vectors")
 
 
 def load_all() -> None:
