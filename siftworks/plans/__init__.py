@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("tabular", "text", "sources", "vectors")
+THEMES = ("tabular", "text", "sources", "vectors", "experience")
 
 
 def load_all() -> None:
