@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import with_position
+
 # Similarity and score thresholds, schema version, feature terms and weights per modality.
 SIMILARITY = {"tabular": 0.60, "image": 0.60, "audio": 0.60, "text": 0.58}
 GOOD_SCORE = 0.60
@@ -65,9 +67,8 @@ def best_results(results: DataFrame, key: str = "dataset") -> DataFrame:
 
 
 def ranked_results(results: DataFrame, key: str = "dataset") -> DataFrame:
-    """Results numbered by score within a dataset (a dataset has at most a few dozen candidates)."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "complexity", "elapsed", "spec_id")
-    return results.withColumn("rank", F.row_number().over(w).cast("long"))
+    """Results numbered by score within a dataset."""
+    return with_position(results, [F.desc("score"), F.col("complexity"), F.col("elapsed"), F.col("spec_id")], [key], "rank")
 
 
 def failed_as_zero(results: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def failed_as_zero(results: DataFrame) -> DataFrame:
 
 
 def reports(results: DataFrame, summaries: DataFrame, key: str = "dataset") -> DataFrame:
-    """(key, report): ranked results, the best one and the profile summary as JSON, one row per dataset."""
+    """(key, report): ranked results, the best one and the profile summary as JSON, one row per dataset. A dataset has at
+    most as many results as its candidate cap, so its list is short."""
     ranked = ranked_results(results, key)
     fields = [c for c in ranked.columns if c not in (key, "rank")]
     lists = ranked.groupBy(key).agg(

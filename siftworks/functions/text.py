@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 # Character classes and patterns. WORD is the portable form of a Unicode word character.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
@@ -140,8 +142,8 @@ def drop_stop_words(text: Column) -> Column:
 
 
 def truncate_tokens(text: Column, limit: int) -> Column:
-    tokens = words(text)
-    return F.when(F.size(tokens) > limit, F.array_join(F.slice(tokens, 1, limit), " ")).otherwise(text)
+    return let(text, lambda t: let(words(t), lambda tokens: F.when(
+        F.size(tokens) > limit, F.array_join(F.slice(tokens, 1, limit), " ")).otherwise(t)))
 
 
 def clean_text(text: Column, spec: TextSpec = TextSpec(), keep_alignment: bool = False, nfc: bool = True) -> Column:
@@ -170,18 +172,19 @@ def sentences(text: Column) -> Column:
 
 def lead_summary(text: Column) -> Column:
     """First min(75, max(20, a quarter)) words."""
-    tokens = words(text)
-    n = F.least(F.lit(75), F.greatest(F.lit(20), F.floor(F.size(tokens) / 4).cast("int")))
-    return F.array_join(F.slice(tokens, F.lit(1), n), " ")
+    def first(tokens):
+        n = F.least(F.lit(75), F.greatest(F.lit(20), F.floor(F.size(tokens) / 4).cast("int")))
+        return F.array_join(F.slice(tokens, F.lit(1), n), " ")
+
+    return let(words(text), first)
 
 
 def best_sentence(context: Column, question: Column) -> Column:
     """First sentence that shares the most distinct words with the question; the context if it has none."""
-    q = F.array_distinct(words(F.lower(question)))
-    scored = F.transform(
+    scored = let(F.array_distinct(words(F.lower(question))), lambda q: F.transform(
         sentences(context),
         lambda s, i: F.struct(F.size(F.array_intersect(words(F.lower(s)), q)).alias("hits"), (-i).alias("at"), s.alias("s")),
-    )
+    ))
     return F.coalesce(F.array_max(scored)["s"], context)
 
 

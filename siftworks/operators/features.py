@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,28 +199,30 @@ class OneHot(_Columns):
     """One 0/1 column per training category up to ``MAX_ONE_HOT`` categories; beyond that use OrdinalCodes with
     ``pyspark.ml.feature.OneHotEncoder``, whose vectors are sparse. Unknown values are all zeros."""
 
-    def _fit(self, df: DataFrame) -> Transformer:
+    def __init__(self, cols: Sequence[str], numbered: bool = False):
+        super().__init__(cols)
+        self.numbered = numbered
+
+    def _fit(self, df: DataFrame) -> Model:
         found = {}
         for c in self.cols:
             rows = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().limit(MAX_ONE_HOT + 1).collect()
             if len(rows) > MAX_ONE_HOT:
                 raise ValueError(f"{c} has more than {MAX_ONE_HOT} categories; use OrdinalCodes and a sparse vector")
             found[c] = sorted(r[0] for r in rows)
-        return _OneHotModel(found)
+        return _OneHotModel(found, self.numbered)
 
 
 class _OneHotModel(Model):
-    def __init__(self, found: dict[str, list[str]]):
+    def __init__(self, found: dict[str, list[str]], numbered: bool):
         super().__init__()
-        self.categories = found
-
-    def output_columns(self) -> list[str]:
-        return [f"{c}_{v}" for c, vs in self.categories.items() for v in vs]
+        self.categories, self.numbered = found, numbered
 
     def _transform(self, df: DataFrame) -> DataFrame:
         for c, values in self.categories.items():
             x = F.col(c).cast("string")
-            df = df.withColumns({f"{c}_{v}": F.coalesce((x == v).cast("int"), F.lit(0)) for v in values})
+            names = [f"{c}_{i if self.numbered else v}" for i, v in enumerate(values)]
+            df = df.withColumns({n: F.coalesce((x == v).cast("int"), F.lit(0)) for n, v in zip(names, values)})
         return df.drop(*self.categories)
 
 
@@ -271,9 +273,9 @@ class _KnnModel(Model):
         cols, k = self.cols, self.k
         donors = np.asarray(self.donors, dtype=float).reshape(-1, len(cols))
 
-        @F.pandas_udf(", ".join(f"c{j} double" for j in range(len(cols))))
-        def filled(frame: pd.DataFrame) -> pd.DataFrame:
-            x = frame.to_numpy(dtype=float, na_value=np.nan)
+        @F.pandas_udf("array<double>")
+        def filled(rows: pd.Series) -> pd.Series:
+            x = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=float).reshape(-1, len(cols))
             have = ~np.isnan(donors)
             means = np.array([donors[have[:, j], j].mean() if have[:, j].any() else 0.0 for j in range(len(cols))])
             for i in np.flatnonzero(np.isnan(x).any(axis=1)):
@@ -287,10 +289,10 @@ class _KnnModel(Model):
                     pool = np.flatnonzero(have[:, j] & np.isfinite(dist))
                     near = pool[np.argsort(dist[pool], kind="stable")[:k]]
                     x[i, j] = donors[near, j].mean() if len(near) else means[j]
-            return pd.DataFrame({f"c{j}": x[:, j] for j in range(len(cols))})
+            return pd.Series(list(x))
 
-        out = df.withColumn("_filled", filled(F.struct(*[clean_number(c).alias(c) for c in cols])))
-        return out.withColumns({c: F.col(f"_filled.c{j}") for j, c in enumerate(cols)}).drop("_filled")
+        out = df.withColumn("_filled", filled(F.array(*[clean_number(c) for c in cols])))
+        return out.withColumns({c: F.col("_filled")[j] for j, c in enumerate(cols)}).drop("_filled")
 
 
 def keep_first(df: DataFrame, features: Sequence[str], key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.binding import let
 from .metrics import ratio
 
 EPS = 1e-12
@@ -16,9 +17,13 @@ EPS = 1e-12
 def ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(tok):
+        size = F.size(tok)
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tok, i, n), " "))
+
+    return let(tokens, runs)
 
 
 def overlap_f1(df: DataFrame, key: str, pred: str, ref: str, n: int, out: str) -> DataFrame:
@@ -93,9 +98,8 @@ def qa_scores(df: DataFrame, key: str, context: str, question: str, answer: str)
 def bio_entities(tokens: Column, tags: Column) -> Column:
     """Surfaces and labels of B-/I- runs: array of (surface, label), lower-cased."""
     empty = F.array().cast("array<struct<surface:string,label:string>>")
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.least(F.size(tokens), F.size(tags))),
-                       F.slice(tags, F.lit(1), F.least(F.size(tokens), F.size(tags))),
-                       lambda w, t: F.struct(F.lower(w).alias("w"), t.alias("t")))
+    both = F.arrays_zip(tokens.alias("w"), tags.alias("t"))
+    pairs = F.transform(F.filter(both, lambda p: p["w"].isNotNull() & p["t"].isNotNull()), lambda p: F.struct(F.lower(p["w"]).alias("w"), p["t"].alias("t")))
     start = F.struct(empty.alias("done"), F.lit("").alias("s"), F.lit("").alias("l"))
 
     def flush(acc):

@@ -28,7 +28,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dimension(df: DataFrame, vec: str) -> int:
-    return df.select(F.size(vec)).first()[0]
+    row = df.select(F.size(vec)).first()
+    return row[0] if row else 0
 
 
 def column_means(df: DataFrame, vec: str, d: int, group: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("tabular", "text", "sources", "vectors", "experience")
+THEMES = ("tabular", "text", "sources", "vectors", "experience", "models", "media")
 
 
 def load_all() -> None:
