@@ -62,12 +62,23 @@ def function_hits(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(*FUNCTION_WORDS)))
 
 
+def _trigram_pattern() -> str:
+    """Zero-width match wherever a common trigram starts, grouped by leading letters so that most positions fail on the
+    first one."""
+    groups: dict[str, dict[str, str]] = {}
+    for a, b, c in sorted(TRIGRAMS):
+        groups.setdefault(a, {}).setdefault(b, "")
+        groups[a][b] += c
+    heads = [f"{a}(?:" + "|".join(f"{b}[{c}]" for b, c in tails.items()) + ")" for a, tails in groups.items()]
+    return "(?=" + "|".join(heads) + ")"
+
+
 def likeness(tokens: Column, hits: Column, run: Column) -> Column:
     """Weighted share of function words and of common trigrams. ``run`` is the tokens joined by blanks; a
     zero-width look-ahead counts overlapping trigrams in one scan of it."""
     n = F.size(tokens)
     trigrams = F.when(
-        F.length(run) >= 3, F.regexp_count(run, F.lit("(?=" + "|".join(TRIGRAMS) + ")")) / (F.length(run) - 2)
+        F.length(run) >= 3, F.regexp_count(run, F.lit(_trigram_pattern())) / (F.length(run) - 2)
     ).otherwise(F.lit(0.0))
     score = FUNCTION_WEIGHT * hits / n + TRIGRAM_WEIGHT * trigrams
     score = F.when(hits >= 2, F.greatest(score, F.lit(TWO_HITS_FLOOR))).otherwise(score)

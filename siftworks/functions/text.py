@@ -73,7 +73,7 @@ def _describe_emoji(s: pd.Series) -> pd.Series:
 
 def only_where(condition: Column, udf, text: Column) -> Column:
     """Apply a Python function to the rows that need it; the others are sent as NULL."""
-    return F.when(condition, udf(F.when(condition, text))).otherwise(text)
+    return F.coalesce(udf(F.when(condition, text)), text)
 
 
 def normalize_base(text: Column, nfc: bool = True) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest)
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
@@ -69,6 +70,11 @@ class FittedClean:
         return done.drop(*[c for c in self.kept if c not in before])
 
 
+    def columns_model(self) -> Model:
+        """The column stages alone, for writing cleaned tables instead of feature vectors."""
+        return PipelineModel(self.stages)
+
+
 def fit_clean(spec: CleanSpec, train: DataFrame, num: Sequence[str], cat: Sequence[str]) -> FittedClean:
     stages, df = [], train.select(*num, *cat)
     for estimator in spec.stages(num, cat):

@@ -24,13 +24,16 @@ def clean_number(c: Column | str) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], in_memory_rows: int = IN_MEMORY_ROWS
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], in_memory_rows: int = IN_MEMORY_ROWS, counts: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
+    """Quantiles of each column; ``counts`` saves a pass when the number of values is known."""
     cols = list(cols)
     if not cols:
         return {}
-    counts = df.agg(*[F.count(clean_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n = {c: counts[f"n{i}"] for i, c in enumerate(cols)}
+    n = counts
+    if n is None:
+        row = df.agg(*[F.count(clean_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     small = [c for c in cols if n[c] <= in_memory_rows]
     out: dict[str, list[float | None]] = {}
     if small:

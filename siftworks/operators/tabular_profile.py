@@ -74,17 +74,21 @@ def bias_corrected_kurtosis(x: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).otherwise(F.lit(0.0))
 
 
+def _shape(c: str) -> list[Column]:
+    """Count, zero share, skewness, kurtosis."""
+    x = clean_number(c)
+    return [
+        F.count(x), F.coalesce(F.avg((x == 0).cast("int")), F.lit(0.0)),
+        F.coalesce(F.nanvl(bias_corrected_skew(x), F.lit(0.0)), F.lit(0.0)),
+        F.coalesce(F.nanvl(bias_corrected_kurtosis(x), F.lit(0.0)), F.lit(0.0)),
+    ]
+
+
 def numeric_shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, zero share, skewness and excess kurtosis of every column in one aggregation."""
     aggs = []
     for i, c in enumerate(cols):
-        x = clean_number(c)
-        aggs += [
-            F.count(x).alias(f"n{i}"),
-            F.coalesce(F.avg((x == 0).cast("int")), F.lit(0.0)).alias(f"z{i}"),
-            F.coalesce(F.nanvl(bias_corrected_skew(x), F.lit(0.0)), F.lit(0.0)).alias(f"s{i}"),
-            F.coalesce(F.nanvl(bias_corrected_kurtosis(x), F.lit(0.0)), F.lit(0.0)).alias(f"k{i}"),
-        ]
+        aggs += [v.alias(f"{k}{i}") for k, v in zip("nzsk", _shape(c))]
     return _long(
         df.agg(*aggs),
         [
@@ -108,19 +112,20 @@ def iqr_bounds(quartiles: Sequence[float | None]) -> tuple[float, float] | None:
     return q1 - spread, q3 + spread
 
 
+def _outlier_share(c: str, quartiles: Sequence[float | None]) -> Column:
+    if quartiles[0] is None or quartiles[0] == quartiles[-1]:
+        return F.max(F.lit(0.0))
+    x, (lo, hi) = clean_number(c), iqr_bounds(quartiles)
+    return F.when(F.count(x) >= 4, F.avg(((x < lo) | (x > hi)).cast("int"))).otherwise(F.lit(0.0))
+
+
 def outlier_ratios(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Share of non-null values outside the IQR fences; 0 for fewer than 4 values or a zero IQR."""
     quart = exact_quantiles(df, cols, [0.25, 0.75])
     aggs, entries = [], []
     for i, c in enumerate(cols):
-        x, (q1, q3) = clean_number(c), quart[c]
-        if q1 is None or q1 == q3:
-            share = F.lit(0.0)
-            aggs.append(F.max(share).alias(f"o{i}"))
-        else:
-            lo, hi = iqr_bounds(quart[c])
-            share = F.avg(((x < lo) | (x > hi)).cast("int"))
-            aggs.append(F.when(F.count(x) >= 4, share).otherwise(F.lit(0.0)).alias(f"o{i}"))
+        q1, q3 = quart[c]
+        aggs.append(_outlier_share(c, quart[c]).alias(f"o{i}"))
         entries.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -143,27 +148,28 @@ def dominant_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     A value with more than half of the rows always covers the median of the hashes, so its hash comes out of a
     fixed-size sketch and its share out of a second aggregation. No value is shuffled, however many there are.
     """
-    cand = df.agg(*[F.percentile_approx(_value_mark(c), 0.5, 1000).alias(f"h{i}") for i, c in enumerate(cols)]).first()
-    one = df.agg(
-        *[
-            F.avg((_value_mark(c) == F.lit(cand[f"h{i}"])).cast("int")).alias(f"t{i}")
-            for i, c in enumerate(cols)
-        ]
-    )
-    entries = []
-    for i, c in enumerate(cols):
-        t = F.col(f"t{i}")
-        kind = F.when(t.isNull() | (t >= 1.0), "constant").when(t >= NEAR_CONSTANT, "near_constant").otherwise("varied")
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.when(t >= NEAR_CONSTANT, t).alias("top_share"),
-                kind.alias("kind"),
-            )
-        )
+    cand = df.agg(*[_middle_mark(c).alias(f"h{i}") for i, c in enumerate(cols)]).first()
+    one = df.agg(*[_mark_share(c, cand[f"h{i}"]).alias(f"t{i}") for i, c in enumerate(cols)])
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.when(F.col(f"t{i}") >= NEAR_CONSTANT, F.col(f"t{i}")).alias("top_share"),
+                 _constancy(F.col(f"t{i}")).alias("kind"))
+        for i, c in enumerate(cols)
+    ]
     return _long(one, entries)
 
 
+def _middle_mark(c: str) -> Column:
+    return F.percentile_approx(_value_mark(c), 0.5, 1000)
+
+
+def _mark_share(c: str, mark: float | None) -> Column:
+    return F.avg((_value_mark(c) == F.lit(mark)).cast("int"))
+
+
+def _constancy(share: Column) -> Column:
+    return F.when(share.isNull() | (share >= 1.0), "constant").when(share >= NEAR_CONSTANT, "near_constant").otherwise("varied")
+
+
 def binary_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Numeric columns with exactly two values: every value equals the minimum or the maximum."""
     ends = df.agg(
@@ -172,14 +178,19 @@ def binary_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ).first()
     aggs, entries = [], []
     for i, c in enumerate(cols):
-        a, b, x = ends[f"a{i}"], ends[f"b{i}"], clean_number(c)
-        differ = a is not None and a != b
-        inside = F.count(F.when((x > F.lit(a)) & (x < F.lit(b)), x)) if differ else F.lit(1)
-        aggs.append((inside if differ else F.max(inside)).alias(f"i{i}"))
+        aggs.append(_between_ends(c, ends[f"a{i}"], ends[f"b{i}"]).alias(f"i{i}"))
         entries.append(F.struct(F.lit(c).alias("column_name"), (F.col(f"i{i}") == 0).alias("is_binary")))
     return _long(df.agg(*aggs), entries)
 
 
+def _between_ends(c: str, low: float | None, high: float | None) -> Column:
+    """Values strictly between the extremes; 1 when the extremes do not differ."""
+    if low is None or low == high:
+        return F.max(F.lit(1))
+    x = clean_number(c)
+    return F.count(F.when((x > F.lit(low)) & (x < F.lit(high)), x))
+
+
 def cardinality(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
     count = (lambda c: F.approx_count_distinct(c, 0.02)) if approximate else F.count_distinct
     one = df.agg(*[count(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
@@ -214,16 +225,21 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def _column_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+
+
+def _pair_correlation(a: str, b: str) -> Column:
+    x, y = clean_number(a), clean_number(b)
+    return F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
+
+
 def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float = HIGH_CORRELATION, min_rows: int = 10) -> DataFrame:
     """Upper-triangle Pearson correlations over pairwise complete rows whose absolute value exceeds ``threshold``."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    pairs = _column_pairs(cols)
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    both = [(clean_number(a), clean_number(b)) for a, b in pairs]
-    one = df.agg(
-        F.count("*").alias("rows"),
-        *[F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)).alias(f"r{i}") for i, (x, y) in enumerate(both)],
-    )
+    one = df.agg(F.count("*").alias("rows"), *[_pair_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     entries = [
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"), F.col("rows"))
         for i, (a, b) in enumerate(pairs)
@@ -276,6 +292,21 @@ class TableProfile:
             "has_multicollinearity": bool(self.correlated),
         }
 
+    def issues(self, spark) -> DataFrame:
+        """(issue, n): how many columns, pairs or rows show each quality issue."""
+        found = {
+            "high_outlier_columns": len(self.having(outlier_ratio=lambda v: v > MANY_OUTLIERS)),
+            "high_skew_columns": len(self.having(skew=lambda v: abs(v) > HIGH_SKEW)),
+            "high_kurtosis_columns": len(self.having(kurt=lambda v: abs(v) > HIGH_KURTOSIS)),
+            "high_cardinality_columns": len(self.having(high_cardinality=bool)),
+            "constant_columns": len(self.having(kind=lambda v: v != "varied")),
+            "correlated_pairs": len(self.correlated),
+            "high_missing_columns": len(self.high_missing_cols),
+            "duplicate_rows": self.n_duplicates,
+            "binary_numeric_columns": len(self.having(is_binary=bool)),
+        }
+        return spark.createDataFrame(list(found.items()), "issue string, n long")
+
     def summary(self, spark) -> DataFrame:
         """One row: sizes and the fifteen flags."""
         row = Row(
@@ -293,21 +324,40 @@ class TableProfile:
 
 
 def profile_table(df: DataFrame, target: str | None = None) -> TableProfile:
+    """The whole profile in a handful of jobs: two aggregations over all columns with the quantiles between them, and one
+    job each for cardinality, duplicates and the target."""
     num, cat = split_columns(df, target)
-    features = num + cat
-    n_rows = df.count()
-    parts = [missing_ratios(df, features), dominant_values(df, features)]
-    if num:
-        parts += [numeric_shape(df, num), outlier_ratios(df, num), binary_numeric(df, num)]
-    if cat:
-        parts.append(cardinality(df, cat))
-    columns: dict[str, dict] = {c: {} for c in features}
-    for part in parts:
-        for row in part.collect():
-            columns[row["column_name"]].update(row.asDict())
+    features, pairs = num + cat, _column_pairs(num)
+    first = df.agg(
+        F.count("*").alias("rows"),
+        *[F.avg(is_missing(df, c).cast("int")).alias(f"m{i}") for i, c in enumerate(features)],
+        *[_middle_mark(c).alias(f"h{i}") for i, c in enumerate(features)],
+        *[v.alias(f"{k}{i}") for i, c in enumerate(num) for k, v in zip("nzsk", _shape(c))],
+        *[g(clean_number(c)).alias(f"{k}{i}") for i, c in enumerate(num) for k, g in (("a", F.min), ("b", F.max))],
+        *[_pair_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+    ).first()
+    quart = exact_quantiles(df, num, [0.25, 0.75], counts={c: first[f"n{i}"] for i, c in enumerate(num)})
+    shares = [_mark_share(c, first[f"h{i}"]) for i, c in enumerate(features)]
+    second = df.agg(
+        *[v.alias(f"t{i}") for i, v in enumerate(shares)],
+        *[_outlier_share(c, quart[c]).alias(f"o{i}") for i, c in enumerate(num)],
+        *[_between_ends(c, first[f"a{i}"], first[f"b{i}"]).alias(f"i{i}") for i, c in enumerate(num)],
+    ).first()
+    columns: dict[str, dict] = {}
+    for i, c in enumerate(features):
+        t = second[f"t{i}"]
+        kind = "constant" if t is None or t >= 1.0 else "near_constant" if t >= NEAR_CONSTANT else "varied"
+        columns[c] = {"missing_ratio": first[f"m{i}"] or 0.0, "kind": kind}
+    for i, c in enumerate(num):
+        columns[c].update(
+            n=first[f"n{i}"], zero_ratio=first[f"z{i}"], skew=first[f"s{i}"], kurt=first[f"k{i}"], q1=quart[c][0], q3=quart[c][1],
+            outlier_ratio=second[f"o{i}"], is_binary=second[f"i{i}"] == 0)
+    for row in cardinality(df, cat).collect() if cat else []:
+        columns[row["column_name"]].update(cardinality=row["cardinality"], high_cardinality=row["high_cardinality"])
+    strong = [(a, b) for i, (a, b) in enumerate(pairs) if first["rows"] >= 10 and (first[f"r{i}"] or 0.0) ** 2 > HIGH_CORRELATION**2]
     balance = class_balance(df, target).first() if target else None
     return TableProfile(
-        n_rows=n_rows,
+        n_rows=first["rows"],
         num_cols=num,
         cat_cols=cat,
         target=target,
@@ -316,7 +366,7 @@ def profile_table(df: DataFrame, target: str | None = None) -> TableProfile:
         n_classes=balance["n_classes"] if balance else 0,
         min_class_size=balance["min_class"] if balance else 0,
         imbalance=balance["imbalance"] if balance else 1.0,
-        correlated=[(r["col_a"], r["col_b"]) for r in correlated_pairs(df, num).collect()],
+        correlated=strong,
     )
 
 

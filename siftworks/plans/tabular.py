@@ -509,3 +509,49 @@ def mth02(spark, d):
     long = metrics.regression_metrics(predictions(spark, d), ["model"], "yr", "pr").filter("metric in ('mae', 'smape', 'r2')")
     out = long.withColumn("score", metrics.normalized(F.col("metric"), F.col("value"), F.lit(1000.0))).drop("value")
     return rounded(out)
+
+
+@query("exp12_profile_issues", f"""WITH {HOLED}, q AS (SELECT quantile_cont(l_tax, 0.25) AS t1, quantile_cont(l_tax, 0.75) AS t3, quantile_cont(l_discount, 0.25) AS d1, quantile_cont(l_discount, 0.75) AS d3 FROM holed),
+  o AS (SELECT (avg((l_tax < t1 - 1.5 * (t3 - t1) OR l_tax > t3 + 1.5 * (t3 - t1))::INT) > 0.05)::BIGINT + (avg((l_discount < d1 - 1.5 * (d3 - d1) OR l_discount > d3 + 1.5 * (d3 - d1))::INT) > 0.05)::BIGINT AS n FROM holed, q)
+  SELECT 'high_outlier_columns' AS issue, n FROM o UNION ALL SELECT 'high_skew_columns', (abs(skewness(l_tax)) > 1)::INT + (abs(skewness(l_discount)) > 1)::INT FROM holed
+  UNION ALL SELECT 'high_kurtosis_columns', (abs(kurtosis(l_tax)) > 3)::INT + (abs(kurtosis(l_discount)) > 3)::INT FROM holed UNION ALL SELECT 'high_cardinality_columns', 0 UNION ALL SELECT 'constant_columns', 0
+  UNION ALL SELECT 'correlated_pairs', (abs(corr(l_tax, l_discount)) > 0.85)::INT FROM holed UNION ALL SELECT 'high_missing_columns', (avg((l_tax IS NULL)::INT) > 0.5)::INT + (avg((l_discount IS NULL)::INT) > 0.5)::INT FROM holed
+  UNION ALL SELECT 'duplicate_rows', count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_tax, l_discount FROM holed)) FROM holed UNION ALL SELECT 'binary_numeric_columns', 0""")
+def exp12(spark, d):
+    return tp.profile_table(holed_lineitem(spark, d).select("l_tax", "l_discount", "l_returnflag"), "l_returnflag").issues(spark)
+
+
+@query("exp12_model_breakdown", f"""WITH {PRED} SELECT model, fold, round(avg((y = pred)::INT), 6) AS accuracy, round(avg(abs(yr - pr)), 4) AS mae, count(*) AS n FROM p GROUP BY ALL""")
+def exp12_models(spark, d):
+    p = predictions(spark, d)
+    keys = ["model", "fold"]
+    acc = metrics.binary_metrics(p, keys, 1).filter("metric = 'accuracy'").select(*keys, F.round("value", 6).alias("accuracy"))
+    mae = metrics.regression_metrics(p, keys, "yr", "pr").filter("metric = 'mae'").select(*keys, F.round("value", 4).alias("mae"))
+    return acc.join(mae, keys).join(p.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+
+
+@query("snk01_cleaned_table")
+def snk01(spark, d):
+    from ..operators.models import CleanSpec, fit_clean
+    from ..session import shared_folder
+
+    t = table(spark, d, "orders").select("o_totalprice", "o_orderpriority", "o_orderstatus")
+    path = shared_folder(spark, "cleaned")
+    from ..sinks.datasets import write_cleaned_table
+
+    write_cleaned_table(fit_clean(CleanSpec(num_imputer="median", scaler="robust", outlier_clip=True), t, ["o_totalprice"], ["o_orderpriority"]).columns_model(), t, "o_orderstatus", path)
+    out = spark.read.parquet(path)
+    return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in out.columns if c.startswith("o_orderpriority_")])
+
+
+@query("snk03_corpus", """SELECT source AS label, count(*) AS n, count(DISTINCT lang) AS names FROM documents GROUP BY source""")
+def snk03(spark, d):
+    from ..functions.text import TextSpec
+    from ..session import shared_folder
+    from ..sinks.datasets import write_corpus
+
+    path = shared_folder(spark, "corpus")
+    write_corpus(table(spark, d, "documents"), "doc_id", "lang", "text", "source", path, TextSpec())
+    out = spark.read.json(f"{path}/documents")
+    stem = F.regexp_replace("file_name", "_[0-9]+$", "")
+    return out.groupBy("label").agg(F.count_distinct("file_name").alias("n"), F.count_distinct(stem).alias("names"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import english as en
 from ..functions import text as tx
 from ..operators import metrics, text_eval, text_profile, tfidf
-from ..session import table
+from ..session import spread, table
 from .registry import query, rounded
 
 # RE2 spellings of the patterns that use look-around or back-references on the Spark side.
@@ -44,7 +44,11 @@ def sql_strip(c: str) -> str:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
+def pages(spark, d):
+    return spread(table(spark, d, "pages"), "page_id")
 
 
 @query("str01_08_normalize", f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {sql_squash(sql_base('text'))} AS t FROM documents)")
@@ -55,7 +59,7 @@ def str01(spark, d):
 
 @query("str02_mask_pages", f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, {sql_squash(sql_mask('html'))} AS t FROM pages)")
 def str02(spark, d):
-    t = table(spark, d, "pages").select("page_id", tx.collapse_whitespace(tx.mask_entities(F.col("html"))).alias("t"))
+    t = pages(spark, d).select("page_id", tx.collapse_whitespace(tx.mask_entities(F.col("html"))).alias("t"))
     return t.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -123,7 +127,7 @@ NOISE_SQL = {
     for k, p in NOISE_SQL.items()) + " UNION ALL SELECT 'any', count(*) FILTER (a), round(avg(a::INT), 6) FROM (SELECT "
     + " OR ".join(f"regexp_matches(x, '{p}')" for p in NOISE_SQL.values()) + " AS a FROM t)")
 def tpr05(spark, d):
-    both = docs(spark, d).select("text").union(table(spark, d, "pages").select("html"))
+    both = docs(spark, d).select("text").union(pages(spark, d).select("html"))
     return rounded(text_profile.noise_profile(both, "text"))
 
 
@@ -199,7 +203,7 @@ def tpr09(spark, d):
 @query("tpr10_emoji", rf"""SELECT 0::BIGINT AS emoji_translated_count, sum(len(regexp_extract_all(text, '{tx.COUNTED_EMOJI}')))::BIGINT AS emoji_removed_count, 0::BIGINT AS removed_excessive_emoji_count
   FROM (SELECT text FROM documents UNION ALL SELECT html FROM pages)""")
 def tpr10(spark, d):
-    both = docs(spark, d).select("text").union(table(spark, d, "pages").select("html"))
+    both = docs(spark, d).select("text").union(pages(spark, d).select("html"))
     return text_profile.emoji_stats(both, "text", "remove")
 
 
@@ -255,14 +259,14 @@ def str14(spark, d):
 @query("str13_alpha_ratio", rf"""SELECT page_id, round(CASE WHEN length(r) = 0 THEN 0 ELSE len(regexp_extract_all(s, '\p{{L}}')) / length(r) END, 6) AS alpha_ratio
   FROM (SELECT page_id, {sql_strip('html')} AS s, {chain('html', (BLANK, ''))} AS r FROM pages)""")
 def str13(spark, d):
-    return rounded(table(spark, d, "pages").select("page_id", en.meaningful_alpha_ratio(F.col("html")).alias("alpha_ratio")))
+    return rounded(pages(spark, d).select("page_id", en.meaningful_alpha_ratio(F.col("html")).alias("alpha_ratio")))
 
 
 @query("flt06_english_rows", f"""WITH {english_cte("(SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT -1 - page_id, url FROM pages UNION ALL SELECT 1000000000 + doc_id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE text END FROM documents)", 'id', 'text')}
   SELECT coalesce(CASE WHEN trim(raw) = '' THEN 'removed_empty_or_invalid' WHEN english_class = 'non_english' THEN 'removed_non_english' WHEN english_class = 'uncertain' THEN 'removed_language_uncertain'
   WHEN english_class = 'noisy' THEN 'removed_too_noisy' END, 'final') AS reason, count(*) AS n FROM e5 GROUP BY 1""")
 def flt06(spark, d):
-    t = table(spark, d, "conversations").select("text").union(table(spark, d, "pages").select("url")).union(
+    t = table(spark, d, "conversations").select("text").union(pages(spark, d).select("url")).union(
         docs(spark, d).select(F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.col("text"))))
     return en.with_drop_reason(t, ["text"]).groupBy(F.coalesce("drop_reason", F.lit("final")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -301,7 +305,7 @@ def str17(spark, d):
 @query("str24_safe_names", r"""SELECT page_id, regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9._\-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
   trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', ''), '[_-]', ' ', 'g')) AS stem FROM pages""")
 def str24(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.safe_stem(F.col("url")).alias("safe"), tx.stem_words(F.col("url")).alias("stem"))
+    return pages(spark, d).select("page_id", tx.safe_stem(F.col("url")).alias("safe"), tx.stem_words(F.col("url")).alias("stem"))
 
 
 TERMS = rf"""tk AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}{{2,}}') AS tok FROM documents),
