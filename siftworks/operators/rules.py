@@ -65,7 +65,7 @@ def row_items(df: DataFrame, txn: str, cols: Sequence[str]) -> DataFrame:
 def mine_rules(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules, summary). A pair can only be frequent if both items are, so baskets are cut to frequent items
     before pairs are formed: at most (mean basket size / 0.05) items survive, however large one basket is."""
-    baskets = baskets.distinct()
+    baskets = baskets.distinct().persist()
     n = baskets.select("txn").distinct().count()
     floor = max(2, int(round(SUPPORT_SHARE * n)))
     items = baskets.groupBy("item").agg(F.count("*").alias("n_item"))

@@ -95,12 +95,17 @@ def json_records(docs: DataFrame, col: str, record_path: str = "", keys: list[st
     parsed = docs.select(*keys, whole_json(F.col(col)).alias("_v")).filter("_v IS NOT NULL")
     if record_path:
         at = json_path(record_path)
-        wrong = parsed.filter(F.schema_of_variant(F.try_variant_get("_v", at, "variant")).startswith("ARRAY") != F.lit(True))
-        missing = parsed.filter(F.try_variant_get("_v", at, "variant").isNull())
-        if not missing.isEmpty():
+        there, listed = F.try_variant_get("_v", at, "variant"), F.try_variant_get("_v", at, "array<variant>")
+        plain = F.exists(listed, lambda r: F.try_variant_get(r, "$", "map<string,variant>").isNull())
+        seen = parsed.agg(
+            F.count_if(there.isNull()).alias("missing"), F.count_if(there.isNotNull() & listed.isNull()).alias("other"),
+            F.count_if(F.coalesce(plain, F.lit(False))).alias("plain")).first()
+        if seen["missing"]:
             raise RecordError(f"record path {record_path} not found")
-        if not wrong.isEmpty():
+        if seen["other"]:
             raise RecordError(f"record path {record_path} does not point to a list")
+        if seen["plain"]:
+            raise RecordError(f"elements at {record_path} are not all objects")
     else:
         ddl = parsed.agg(F.schema_of_variant_agg("_v")).first()[0]
         if ddl is None:
