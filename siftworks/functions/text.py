@@ -229,8 +229,9 @@ def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def safe_stem(name: Column) -> Column:
-    """File-name-safe token: runs of other characters become one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9._\-]+", "_"), r"^_+|_+$", "")
+    """File-name-safe token: runs of other characters become one underscore, outer dots and underscores go."""
+    token = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._\-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.when(F.coalesce(token, F.lit("")) == "", F.lit("item")).otherwise(token)
 
 
 def stem_words(path: Column) -> Column:

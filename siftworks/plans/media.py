@@ -196,3 +196,66 @@ def snk05(spark, d):
     t = signal_rows(spark, d).select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("path"), F.col("label").cast("string").alias("label"), "rate", F.col("y").alias("samples"))
     write_signals(t, path)
     return spark.read.parquet(f"{path}/signals").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("pcm")).alias("values"))
+
+
+def hex_byte(v):
+    return F.lpad(F.hex(v.cast("int")), 2, "0")
+
+
+def image_rows(spark, d):
+    """Embeddings as decoded 8 x 8 gray images in the image source's layout."""
+    level = F.transform("embedding", lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v.cast("double") * 300 + 128))))
+    data = F.unhex(F.array_join(F.transform(level, hex_byte), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    e = table(spark, d, "embeddings")
+    return e.select(F.concat(F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string")).alias("path"), F.col("label").cast("string").alias("label"),
+                    F.lit(0.5).alias("size_kb"), image.alias("image"), F.lit(False).alias("corrupt"))
+
+
+@query("ipr01_image_profile", """WITH p AS (SELECT list_transform(embedding::DOUBLE[], lambda v: floor(least(255, greatest(0, v * 300 + 128)))) AS px FROM embeddings),
+  s AS (SELECT list_avg(px) / 255 AS b, list_stddev_pop(px) / 255 AS c FROM p)
+  SELECT count(*) AS n_images, 0::BIGINT AS n_corrupt, 8.0 AS avg_height, 1 AS dominant_channels, round(avg(b), 6) AS avg_brightness, round(stddev_pop(b), 6) AS brightness_std, round(avg(c), 6) AS avg_contrast,
+  round(stddev_pop(c), 6) AS contrast_std, avg(c) < 0.1 AS has_low_contrast, true AS has_small_images, true AS has_mostly_grayscale FROM s""")
+def ipr01(spark, d):
+    out = images.image_profile(image_rows(spark, d))
+    return rounded(out.select("n_images", "n_corrupt", "avg_height", "dominant_channels", "avg_brightness", "brightness_std", "avg_contrast", "contrast_std",
+                              "has_low_contrast", "has_small_images", "has_mostly_grayscale"))
+
+
+@query("ftr21_standardized_images")
+def ftr21(spark, d):
+    spec = images.ImageSpec(resize=4, color_mode="grayscale", histogram_eq=True, denoise=True)
+    px = images.standardized(image_rows(spark, d), spec)
+    return px.select("path", F.size("pixels").alias("n"), F.array_max("pixels").alias("top"))
+
+
+@query("snk04_processed_images", "SELECT label::VARCHAR AS label, count(*) AS n, count(*) * 192 AS n_values FROM embeddings GROUP BY label")
+def snk04(spark, d):
+    from ..session import shared_folder
+    from ..sinks.media import write_images
+
+    path = shared_folder(spark, "images")
+    write_images(image_rows(spark, d), images.ImageSpec(resize=8, color_mode="rgb", normalization="minmax"), path)
+    out = spark.read.parquet(f"{path}/images")
+    return out.groupBy(F.col("label").cast("string").alias("label")).agg(F.count("*").alias("n"), F.sum(F.size("pixels")).alias("n_values"))
+
+
+# RIFF header of a mono 8-bit WAV file with 64 samples at 16 Hz.
+WAV_HEADER = "524946466400000057415645666D74201000000001000100100000001000000001000800" + "6461746140000000"
+
+
+@query("src26_wav_scan", """WITH p AS (SELECT list_transform(embedding::DOUBLE[], lambda v: (floor(least(255, greatest(0, v * 300 + 128))) - 128) / 128) AS y FROM embeddings)
+  SELECT count(*) AS n_files, count(*) AS readable, 4.0 AS avg_duration, round(avg(sqrt(list_avg(list_transform(y, lambda v: v * v)))), 6) AS avg_rms FROM p""")
+def src26(spark, d):
+    from ..sources.media import decode_wav
+
+    level = F.transform("embedding", lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v.cast("double") * 300 + 128))))
+    raw = F.unhex(F.concat(F.lit(WAV_HEADER), F.array_join(F.transform(level, hex_byte), "")))
+    files = table(spark, d, "embeddings").select(F.concat(F.lit("a/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), raw.alias("content"))
+    return rounded(signals.audio_profile(decode_wav(files)).select("n_files", "readable", "avg_duration", "avg_rms"))
+
+
+@query("src26_apr01_distributions", "SELECT 'sample_rate' AS field, '16' AS value, count(*) AS n FROM embeddings UNION ALL SELECT 'label', label::VARCHAR, count(*) FROM embeddings GROUP BY label")
+def src26_distributions(spark, d):
+    t = signal_rows(spark, d).select(F.col("rate").alias("sample_rate"), "label")
+    return signals.value_distribution(t, ["sample_rate", "label"])

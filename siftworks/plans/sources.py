@@ -378,3 +378,40 @@ def win05(spark, d):
     li = table(spark, d, "lineitem").withColumn("_k", F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_suppkey") * 100 + F.col("l_quantity"))
     t = li.select("_k", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", F.concat(F.lit(" part #"), F.col("l_partkey").cast("string")).alias("name"))
     return unique_names(t, "name", "_k").drop("_k", "name")
+
+
+@query("src05_xml_records", """SELECT count(*) AS n, round(sum(s_acctbal), 2) AS total, count(DISTINCT s_nationkey) AS nations FROM supplier""")
+def src05(spark, d):
+    path = shared_folder(spark, "xml")
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("@id"), "s_acctbal", F.struct("s_nationkey").alias("home"))
+    t.write.format("xml").option("rowTag", "supplier").option("attributePrefix", "@").save(path)
+    df = records.flatten(records.read_xml_records(spark, path, "supplier"))
+    return rounded(df.agg(F.count("`@id`").alias("n"), F.sum("s_acctbal").alias("total"), F.count_distinct("`home.s_nationkey`").alias("nations")), digits=2)
+
+
+@query("src06_yaml_records", "SELECT l_linenumber AS no, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1")
+def src06(spark, d):
+    li = table(spark, d, "lineitem")
+    line = F.concat(F.lit("  - {line: "), F.col("l_linenumber").cast("string"), F.lit(", qty: "), F.col("l_quantity").cast("string"), F.lit(", key: a}\n"))
+    docs = li.groupBy("l_orderkey").agg(F.concat(F.lit("head: x\nlines:\n"), F.array_join(F.collect_list(line), "")).alias("value"))
+    rec = records.json_records(records.yaml_as_json(docs), "value", "lines")
+    out = rec.select(F.variant_get("rec", "$.line", "int").alias("no"), F.variant_get("rec", "$.qty", "double").alias("qty"))
+    return rounded(out.groupBy("no").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")), digits=4)
+
+
+@query("src23_voc", """WITH b AS (SELECT l_orderkey, l_partkey % 3 AS c, l_discount * 1000 AS x1, l_tax * 1000 AS y1, l_discount * 1000 + l_quantity - 5 AS x2, l_tax * 1000 + 30 AS y2 FROM lineitem)
+  SELECT 'c' || c AS class_name, CASE WHEN x2 > x1 THEN 'ok' ELSE 'invalid_box' END AS status, count(*) AS n, round(sum(greatest(least(x1, 90), least(x2, 90))), 3) AS right_edges, round(sum(least(y2, 70)), 3) AS bottoms FROM b GROUP BY ALL""")
+def src23(spark, d):
+    path = shared_folder(spark, "voc")
+    li = table(spark, d, "lineitem")
+    name = F.concat(F.lit("IMG"), F.col("l_orderkey").cast("string"))
+    x, y = F.col("l_discount") * 1000, F.col("l_tax") * 1000
+    obj = F.struct(F.concat(F.lit("c"), (F.col("l_partkey") % 3).cast("string")).alias("name"), F.struct(
+        *[v.cast("string").alias(k) for k, v in (("xmin", x), ("ymin", y), ("xmax", x + F.col("l_quantity") - 5), ("ymax", y + 30))]).alias("bndbox"))
+    docs = li.groupBy(name.alias("_n")).agg(F.collect_list(obj).alias("object"))
+    docs = docs.select(F.concat("_n", F.lit(".jpg")).alias("filename"), F.struct(F.lit("90").alias("width"), F.lit("70").alias("height")).alias("size"), "object")
+    docs.write.format("xml").option("rowTag", "annotation").save(path)
+    read = spark.read.format("xml").option("rowTag", "annotation").schema(an.VOC_SCHEMA).load(path).withColumn("path", F.lit("x.xml"))
+    images = table(spark, d, "orders").select(F.concat(F.lit("img"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("path"), F.lit(90).alias("width"), F.lit(70).alias("height"))
+    b = an.voc_boxes(read, images)
+    return rounded(b.groupBy("class_name", "status").agg(F.count("*").alias("n"), F.sum("x2").alias("right_edges"), F.sum("y2").alias("bottoms")), digits=3)

@@ -302,7 +302,7 @@ def str17(spark, d):
     return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.get("s", F.lit(0))).alias("first"))
 
 
-@query("str24_safe_names", r"""SELECT page_id, regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9._\-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
+@query("str24_safe_names", r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS safe,
   trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', ''), '[_-]', ' ', 'g')) AS stem FROM pages""")
 def str24(spark, d):
     return pages(spark, d).select("page_id", tx.safe_stem(F.col("url")).alias("safe"), tx.stem_words(F.col("url")).alias("stem"))

@@ -157,8 +157,9 @@ def yaml_as_json(docs: DataFrame, col: str = "value") -> DataFrame:
 
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for pdf in batches:
-            yield pd.DataFrame({"value": [json.dumps(yaml.safe_load(t), default=str) for t in pdf[col]]})
+            yield pd.DataFrame({"value": [json.dumps(yaml.load(t, loader), default=str) for t in pdf[col]]})
 
     return docs.select(col).mapInPandas(convert, "value string")
 
