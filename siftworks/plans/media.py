@@ -214,7 +214,7 @@ def image_rows(spark, d):
 
 @query("ipr01_image_profile", """WITH p AS (SELECT list_transform(embedding::DOUBLE[], lambda v: floor(least(255, greatest(0, v * 300 + 128)))) AS px FROM embeddings),
   s AS (SELECT list_avg(px) / 255 AS b, list_stddev_pop(px) / 255 AS c FROM p)
-  SELECT count(*) AS n_images, 0::BIGINT AS n_corrupt, 8.0 AS avg_height, 1 AS dominant_channels, round(avg(b), 6) AS avg_brightness, round(stddev_pop(b), 6) AS brightness_std, round(avg(c), 6) AS avg_contrast,
+  SELECT count(*) AS n_images, 0::BIGINT AS n_corrupt, 8.0::DOUBLE AS avg_height, 1 AS dominant_channels, round(avg(b), 6) AS avg_brightness, round(stddev_pop(b), 6) AS brightness_std, round(avg(c), 6) AS avg_contrast,
   round(stddev_pop(c), 6) AS contrast_std, avg(c) < 0.1 AS has_low_contrast, true AS has_small_images, true AS has_mostly_grayscale FROM s""")
 def ipr01(spark, d):
     out = images.image_profile(image_rows(spark, d))
@@ -245,7 +245,7 @@ WAV_HEADER = "524946466400000057415645666D74201000000001000100100000001000000001
 
 
 @query("src26_wav_scan", """WITH p AS (SELECT list_transform(embedding::DOUBLE[], lambda v: (floor(least(255, greatest(0, v * 300 + 128))) - 128) / 128) AS y FROM embeddings)
-  SELECT count(*) AS n_files, count(*) AS readable, 4.0 AS avg_duration, round(avg(sqrt(list_avg(list_transform(y, lambda v: v * v)))), 6) AS avg_rms FROM p""")
+  SELECT count(*) AS n_files, count(*) AS readable, 4.0::DOUBLE AS avg_duration, round(avg(sqrt(list_avg(list_transform(y, lambda v: v * v)))), 6) AS avg_rms FROM p""")
 def src26(spark, d):
     from ..sources.media import decode_wav
 

@@ -21,24 +21,26 @@ def src01(spark, d):
     return rounded(df.agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"), F.count_distinct("c_mktsegment").alias("segments")), digits=2).withColumn("types", F.lit(kinds))
 
 
-def order_documents(spark, d):
-    """One JSON document per order: a header and the list of its lines."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(
-        F.col("l_linenumber").alias("no"), F.col("l_quantity").alias("qty"), F.struct(F.col("l_returnflag").alias("flag")).alias("state"))).alias("lines"))
-    doc = F.to_json(F.struct(F.struct("l_orderkey").alias("head"), F.struct("lines").alias("body")))
-    return li.select("l_orderkey", doc.alias("doc"))
+def line_documents(spark, d):
+    """One JSON document per line item: a header and a list of two records."""
+    li = table(spark, d, "lineitem")
+    def record(no, qty):
+        return F.struct(no.alias("no"), qty.alias("qty"), F.struct(F.col("l_returnflag").alias("flag")).alias("state"))
+
+    lines = F.array(record(F.col("l_linenumber"), F.col("l_quantity")), record(F.col("l_linenumber") + 100, F.col("l_quantity") * 2))
+    return li.select(F.to_json(F.struct(F.struct("l_orderkey").alias("head"), F.struct(lines.alias("lines")).alias("body"))).alias("doc"))
 
 
-@query("src02_07_json_records", """SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1""")
+@query("src02_07_json_records", """SELECT l_returnflag AS flag, count(*) * 2 AS n, round(sum(l_quantity) * 3, 4) AS qty FROM lineitem GROUP BY 1""")
 def src02(spark, d):
-    rec = records.json_records(order_documents(spark, d), "doc", "body.lines")
+    rec = records.json_records(line_documents(spark, d), "doc", "body.lines")
     out = rec.select(F.variant_get("rec", "$.state.flag", "string").alias("flag"), F.variant_get("rec", "$.qty", "double").alias("qty"))
     return rounded(out.groupBy("flag").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")), digits=4)
 
 
-@query("src02_json_detected_records", """SELECT l_linenumber AS no, count(*) AS n FROM lineitem GROUP BY 1""")
+@query("src02_json_detected_records", """SELECT l_linenumber::BIGINT AS no, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_linenumber::BIGINT + 100, count(*) FROM lineitem GROUP BY 1""")
 def src02_detected(spark, d):
-    rec = records.structured(records.json_records(order_documents(spark, d), "doc"))
+    rec = records.structured(records.json_records(line_documents(spark, d), "doc"))
     return rec.groupBy("no").agg(F.count("*").alias("n"))
 
 
@@ -305,7 +307,7 @@ def src28(spark, d):
     return manifests.manifest_report(rec, manifests.samples(rec, "row_id"), files)
 
 
-@query("flt11_segments", f"WITH {MANIFEST} SELECT k AS row_id, s2 AS start, e2 AS \"end\", coalesce(wrong OR over, false) AS invalid_segment FROM z")
+@query("flt11_segments", f"WITH {MANIFEST} SELECT k AS row_id, s2::DOUBLE AS start, e2::DOUBLE AS \"end\", coalesce(wrong OR over, false) AS invalid_segment FROM z")
 def flt11(spark, d):
     m, files = audio_manifest(spark, d)
     return manifests.samples(manifests.resolved_records(m, "row_id", files), "row_id").select("row_id", "start", "end", "invalid_segment")
@@ -389,27 +391,34 @@ def src05(spark, d):
     return rounded(df.agg(F.count("`@id`").alias("n"), F.sum("s_acctbal").alias("total"), F.count_distinct("`home.s_nationkey`").alias("nations")), digits=2)
 
 
-@query("src06_yaml_records", "SELECT l_linenumber AS no, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1")
+@query("src06_yaml_records", "SELECT c_nationkey AS nation, count(*) * 2 AS n, round(sum(c_acctbal) * 3, 2) AS balance FROM customer GROUP BY 1")
 def src06(spark, d):
-    li = table(spark, d, "lineitem")
-    line = F.concat(F.lit("  - {line: "), F.col("l_linenumber").cast("string"), F.lit(", qty: "), F.col("l_quantity").cast("string"), F.lit(", key: a}\n"))
-    docs = li.groupBy("l_orderkey").agg(F.concat(F.lit("head: x\nlines:\n"), F.array_join(F.collect_list(line), "")).alias("value"))
-    rec = records.json_records(records.yaml_as_json(docs), "value", "lines")
-    out = rec.select(F.variant_get("rec", "$.line", "int").alias("no"), F.variant_get("rec", "$.qty", "double").alias("qty"))
-    return rounded(out.groupBy("no").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")), digits=4)
+    c = table(spark, d, "customer")
+    def item(factor):
+        return F.concat(F.lit("  - {nation: "), F.col("c_nationkey").cast("string"), F.lit(", balance: "), F.round(F.col("c_acctbal") * factor, 2).cast("decimal(12,2)").cast("string"), F.lit("}\n"))
+
+    docs = c.select(F.concat(F.lit("head: x\nitems:\n"), item(1), item(2)).alias("value"))
+    rec = records.json_records(records.yaml_as_json(docs), "value", "items")
+    out = rec.select(F.variant_get("rec", "$.nation", "int").alias("nation"), F.variant_get("rec", "$.balance", "double").alias("balance"))
+    return rounded(out.groupBy("nation").agg(F.count("*").alias("n"), F.sum("balance").alias("balance")), digits=2)
 
 
-@query("src23_voc", """WITH b AS (SELECT l_orderkey, l_partkey % 3 AS c, l_discount * 1000 AS x1, l_tax * 1000 AS y1, l_discount * 1000 + l_quantity - 5 AS x2, l_tax * 1000 + 30 AS y2 FROM lineitem)
-  SELECT 'c' || c AS class_name, CASE WHEN x2 > x1 THEN 'ok' ELSE 'invalid_box' END AS status, count(*) AS n, round(sum(greatest(least(x1, 90), least(x2, 90))), 3) AS right_edges, round(sum(least(y2, 70)), 3) AS bottoms FROM b GROUP BY ALL""")
+@query("src23_voc", """WITH b AS (SELECT l_partkey % 3 AS c, l_discount * 1000 AS x1, l_tax * 1000 AS y1, l_discount * 1000 + l_quantity - 5 AS x2, l_tax * 1000 + 30 AS y2 FROM lineitem WHERE l_linenumber = 1
+    UNION ALL SELECT 3, 1, 1, l_quantity + 1, 99 FROM lineitem WHERE l_linenumber = 1)
+  SELECT 'c' || c AS class_name, CASE WHEN x2 > x1 THEN 'ok' ELSE 'invalid_box' END AS status, count(*) AS n, round(sum(greatest(least(x1, 90), least(x2, 90))), 3) AS right_edges, round(sum(least(y2, 70)), 3)::DOUBLE AS bottoms FROM b GROUP BY ALL""")
 def src23(spark, d):
     path = shared_folder(spark, "voc")
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem").filter("l_linenumber = 1")
     name = F.concat(F.lit("IMG"), F.col("l_orderkey").cast("string"))
     x, y = F.col("l_discount") * 1000, F.col("l_tax") * 1000
-    obj = F.struct(F.concat(F.lit("c"), (F.col("l_partkey") % 3).cast("string")).alias("name"), F.struct(
-        *[v.cast("string").alias(k) for k, v in (("xmin", x), ("ymin", y), ("xmax", x + F.col("l_quantity") - 5), ("ymax", y + 30))]).alias("bndbox"))
-    docs = li.groupBy(name.alias("_n")).agg(F.collect_list(obj).alias("object"))
-    docs = docs.select(F.concat("_n", F.lit(".jpg")).alias("filename"), F.struct(F.lit("90").alias("width"), F.lit("70").alias("height")).alias("size"), "object")
+
+    def obj(label, *corners):
+        box = F.struct(*[v.cast("string").alias(k) for k, v in zip(("xmin", "ymin", "xmax", "ymax"), corners)])
+        return F.struct(label.alias("name"), box.alias("bndbox"))
+
+    both = F.array(obj(F.concat(F.lit("c"), (F.col("l_partkey") % 3).cast("string")), x, y, x + F.col("l_quantity") - 5, y + 30),
+                   obj(F.lit("c3"), F.lit(1.0), F.lit(1.0), F.col("l_quantity") + 1, F.lit(99.0)))
+    docs = li.select(F.concat(name, F.lit(".jpg")).alias("filename"), F.struct(F.lit("90").alias("width"), F.lit("70").alias("height")).alias("size"), both.alias("object"))
     docs.write.format("xml").option("rowTag", "annotation").save(path)
     read = spark.read.format("xml").option("rowTag", "annotation").schema(an.VOC_SCHEMA).load(path).withColumn("path", F.lit("x.xml"))
     images = table(spark, d, "orders").select(F.concat(F.lit("img"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("path"), F.lit(90).alias("width"), F.lit(70).alias("height"))

@@ -207,7 +207,7 @@ def tpr10(spark, d):
     return text_profile.emoji_stats(both, "text", "remove")
 
 
-@query("tpr11_aux_ratios", """SELECT round((avg((lang = 'en')::INT) + 0) / 2, 6) AS extra_feature_missing_ratio, 0.5 AS text_to_tabular_feature_ratio FROM documents""")
+@query("tpr11_aux_ratios", """SELECT round((avg((lang = 'en')::INT) + 0) / 2, 6) AS extra_feature_missing_ratio, 0.5::DOUBLE AS text_to_tabular_feature_ratio FROM documents""")
 def tpr11(spark, d):
     from ..operators.tabular_profile import missing_ratios
 

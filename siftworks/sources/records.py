@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binding import let
+
 # Array join limit, shortest list that counts as records, tolerated share of bad lines.
 ARRAY_JOIN_LIMIT = 16
 MIN_RECORDS = 2
@@ -30,11 +32,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
 
 
 def whole_json(text: Column) -> Column:
-    """VARIANT of a text that holds exactly one JSON value, else NULL. The parser stops after the first value, so the text
-    is read as the only element of an array, where anything after it is an error."""
+    """The only JSON value of a text as an array of one VARIANT, or NULL. The parser stops after the first value, so the
+    text is read as the elements of an array, where anything after it is an error or a second element."""
     boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    items = F.try_variant_get(boxed, "$", "array<variant>")
-    return F.when(F.size(items) == 1, items[0])
+    return let(F.try_variant_get(boxed, "$", "array<variant>"), lambda items: F.when(F.size(items) == 1, items))
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def json_lines(lines: DataFrame, col: str = "value") -> tuple[DataFrame, LineRep
     """(records as VARIANT column ``rec``, report). Blank lines are skipped, broken ones counted; more than half broken or
     any non-object record is an error."""
     text = lines.filter(F.trim(F.col(col)) != "").select(F.col(col).alias("_line"))
-    parsed = text.withColumn("rec", whole_json(F.col("_line")))
+    parsed = text.withColumn("rec", F.get(whole_json(F.col("_line")), F.lit(0)))
     bad = F.col("rec").isNull()
     is_object = F.schema_of_variant("rec").startswith("OBJECT")
     seen = parsed.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(~bad & ~is_object).alias("other")).first()
@@ -92,11 +93,11 @@ def json_records(docs: DataFrame, col: str, record_path: str = "", keys: list[st
     With a path, the list at that path. Without one: the root list; else the only list of at least two objects in
     the documents; a document without such a list is one record; several lists are an error."""
     keys = keys or []
-    parsed = docs.select(*keys, whole_json(F.col(col)).alias("_v")).filter("_v IS NOT NULL")
+    parsed = docs.select(*keys, F.explode(whole_json(F.col(col))).alias("_v"))
     if record_path:
         at = json_path(record_path)
         there, listed = F.try_variant_get("_v", at, "variant"), F.try_variant_get("_v", at, "array<variant>")
-        plain = F.exists(listed, lambda r: F.try_variant_get(r, "$", "map<string,variant>").isNull())
+        plain = F.exists(listed, lambda r: ~F.schema_of_variant(r).startswith("OBJECT"))
         seen = parsed.agg(
             F.count_if(there.isNull()).alias("missing"), F.count_if(there.isNotNull() & listed.isNull()).alias("other"),
             F.count_if(F.coalesce(plain, F.lit(False))).alias("plain")).first()
