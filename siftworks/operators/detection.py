@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordering import running_totals
+from .rows import side_by_side
 
 BOX = ("x1", "y1", "x2", "y2")
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
@@ -94,6 +95,5 @@ def detection_metrics(pred: DataFrame, truth: DataFrame, thresholds: Sequence[fl
             ("map_50", 0.5, "ap"), ("map_75", 0.75, "ap"), ("precision", 0.5, "precision"), ("recall", 0.5, "recall"))])
     both = pred.select("image_id").distinct().join(truth.select("image_id").distinct(), "image_id")
     best = both.join(pairs.groupBy("image_id").agg(F.max("iou").alias("iou")), "image_id", "left")
-    k = F.lit(1).alias("_k")
     mean = best.agg(F.avg(F.coalesce("iou", F.lit(0.0))).alias("mean_iou"))
-    return scores.withColumn("_k", k).join(mean.withColumn("_k", k), "_k").drop("_k")
+    return side_by_side(scores, mean)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import side_by_side
+
 # Luma weights (the image source stores blue, green, red), profile thresholds, histogram bins.
 LUMA = (0.114, 0.587, 0.299)
 SMALL, LARGE = 32, 1024
@@ -49,8 +51,7 @@ def image_profile(images: DataFrame) -> DataFrame:
     files = images.agg(
         F.count("*").alias("n_images"), F.count_if("corrupt").alias("n_corrupt"),
         *[g("size_kb").alias(f"{p}_file_size_kb") for p, g in (("avg", F.avg), ("min", F.min), ("max", F.max))])
-    k = F.lit(1).alias("_k")
-    out = one.withColumn("_k", k).join(files.withColumn("_k", k), "_k").drop("_k")
+    out = side_by_side(one, files)
     spread = (F.col("std_height") / F.greatest("avg_height", F.lit(1.0)) + F.col("std_width") / F.greatest("avg_width", F.lit(1.0))) / 2
     return out.withColumns({
         "has_varied_sizes": spread > 0.15, "is_uniform_size": (F.col("std_height") < 1) & (F.col("std_width") < 1),

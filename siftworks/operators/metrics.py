@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import running_totals
+from .rows import side_by_side
 
 
 def long_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -259,8 +260,7 @@ def cluster_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     ha = rows.agg((-F.sum(F.col("na") / total * F.log(F.col("na") / total))).alias("ha"), F.sum(comb2(F.col("na"))).alias("sa"))
     hb = cols.agg((-F.sum(F.col("nb") / total * F.log(F.col("nb") / total))).alias("hb"), F.sum(comb2(F.col("nb"))).alias("sb"))
-    one = F.lit(1).alias("_k")
-    out = j.withColumn("_k", one).join(ha.withColumn("_k", one), "_k").join(hb.withColumn("_k", one), "_k")
+    out = side_by_side(j, ha, hb)
     mean_h = (F.col("ha") + F.col("hb")) / 2
     expected = F.col("sa") * F.col("sb") / comb2(total)
     top = (F.col("sa") + F.col("sb")) / 2

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quantiles import clean_number, exact_quantiles
+from .rows import side_by_side
 
 # Basket delimiters, minimum support share, weights of the composite quality.
 DELIMITERS = ("|", ";", ",")
@@ -65,7 +66,7 @@ def row_items(df: DataFrame, txn: str, cols: Sequence[str]) -> DataFrame:
 def mine_rules(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules, summary). A pair can only be frequent if both items are, so baskets are cut to frequent items
     before pairs are formed: at most (mean basket size / 0.05) items survive, however large one basket is."""
-    baskets = baskets.distinct().persist()
+    baskets = baskets.distinct()
     n = baskets.select("txn").distinct().count()
     floor = max(2, int(round(SUPPORT_SHARE * n)))
     items = baskets.groupBy("item").agg(F.count("*").alias("n_item"))
@@ -90,11 +91,10 @@ def mine_rules(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
         "lift": (F.col("n_pair") / F.col("n_lhs")) / (F.col("n_rhs") / total),
     })
     covered = kept.join(rules.select(F.col("lhs").alias("item")).distinct(), "item", "left_semi").select("txn").distinct()
-    one = F.lit(1).alias("_k")
-    summary = rules.agg(
+    summary = side_by_side(rules.agg(
         F.count("*").alias("number_of_rules"),
         *[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in ("support", "confidence", "lift")],
-    ).withColumn("_k", one).join(covered.agg((F.count("*") / total).alias("coverage")).withColumn("_k", one), "_k").drop("_k")
+    ), covered.agg((F.count("*") / total).alias("coverage")))
     count_score = F.exp(-F.abs(F.col("number_of_rules") - WANTED_RULES) / float(WANTED_RULES))
     quality = (
         WEIGHTS["confidence"] * F.col("confidence") + WEIGHTS["lift"] * F.col("lift") / (F.col("lift") + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import columns
-from ..session import shared_folder, table
+from ..session import shared_folder, spread, table
 from ..sources import annotations as an
 from ..sources import corpora, manifests, records
 from .registry import query, rounded
@@ -23,7 +23,8 @@ def src01(spark, d):
 
 def line_documents(spark, d):
     """One JSON document per line item: a header and a list of two records."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+
     def record(no, qty):
         return F.struct(no.alias("no"), qty.alias("qty"), F.struct(F.col("l_returnflag").alias("flag")).alias("state"))
 

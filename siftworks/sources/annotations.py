@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from ..operators.rows import side_by_side
 from .corpora import stem
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -156,8 +157,7 @@ def annotation_profile(images: DataFrame, boxes: DataFrame) -> DataFrame:
     bad = boxes.agg(
         F.count_if(F.col("status") == "invalid_box").alias("invalid_bbox_count"),
         F.count_if(F.col("status") == "unmapped_class").alias("unmapped_class_count"))
-    key = F.lit(1).alias("_k")
-    both = one.withColumn("_k", key).join(bad.withColumn("_k", key), "_k").drop("_k")
+    both = side_by_side(one, bad)
     return both.withColumn("average_boxes_per_image", F.when(F.col("image_count") > 0, F.col("bbox_count") / F.col("image_count")).otherwise(F.lit(0.0)))
 
 

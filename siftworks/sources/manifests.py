@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rows import side_by_side
 from .corpora import folder, resolve_paths, stem
 
 # Column names accepted for each role, first one present wins; words read as truth values.
@@ -135,8 +136,7 @@ def manifest_report(records: DataFrame, kept: DataFrame, files: DataFrame) -> Da
         F.count_if(F.col("kind").isNotNull()).alias("_usable"))
     b = kept.agg(F.count("*").alias("sample_count"), F.count_if("invalid_segment").alias("invalid_segment_count"))
     c = files.join(used, "path", "left_anti").agg(F.count("*").alias("unused_count"))
-    key = F.lit(1).alias("_k")
-    out = a.withColumn("_k", key).join(b.withColumn("_k", key), "_k").join(c.withColumn("_k", key), "_k").drop("_k")
+    out = side_by_side(a, b, c)
     return out.withColumn("duplicate_count", F.col("_usable") - F.col("sample_count")).drop("_usable")
 
 

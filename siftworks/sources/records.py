@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.binding import let
+from ..operators.rows import side_by_side
 
 # Array join limit, shortest list that counts as records, tolerated share of bad lines.
 ARRAY_JOIN_LIMIT = 16
@@ -265,5 +266,4 @@ def structure_profile(records: DataFrame, json_col: str) -> DataFrame:
         F.count_if("is_object").alias("object_field_count"),
         F.count_if(F.col("is_column") & ~F.col("is_array")).alias("scalar_field_count"),
         F.count_if(F.col("is_column") & (F.col("types") > 1)).alias("type_inconsistency_count"))
-    key = F.lit(1).alias("_k")
-    return one.withColumn("_k", key).join(kinds.withColumn("_k", key), "_k").drop("_k")
+    return side_by_side(one, kinds)
