@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL on the same parquet files and compare the rows.
 
-``python tests/oracle.py [--sf DIR] [name ...]`` prints one line per query.
+``python tests/oracle.py [--sf DIR] [--sql] [name ...]`` prints one line per query; ``--sql`` leaves out those without SQL.
 """
 
 from __future__ import annotations
@@ -75,6 +75,8 @@ def main(argv):
     sf_dir = SF
     if argv[:1] == ["--sf"]:
         sf_dir, argv = argv[1], argv[2:]
+    only_sql = "--sql" in argv
+    argv = [a for a in argv if a != "--sql"]
     import __spark_entry__ as entry
     from siftworks.session import local_session
 
@@ -83,7 +85,7 @@ def main(argv):
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in queries:
-        if argv and not any(name.startswith(a) for a in argv):
+        if argv and not any(name.startswith(a) for a in argv) or only_sql and name not in oracles:
             continue
         start = time.time()
         try:
