@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, quality_rules, token_counts, toxicity
+from . import decontamination, line_dedup, packing, quality_rules, token_counts, toxicity
 from .common import ORACLES, QUERIES, query
 from .tokens import public_path
 
@@ -27,6 +27,17 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op4_line_dedup")
+def lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text")).alias("text_crc32"))
+
+
+@query("op7_decontamination")
+def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_quality_rules")
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
