@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontamination, line_dedup, packing, quality_rules, token_counts, toxicity
+from . import decontamination, jaccard_join, line_dedup, packing, quality_rules, token_counts, toxicity
 from .common import ORACLES, QUERIES, query
 from .tokens import public_path
 
@@ -43,6 +43,11 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op9_jaccard_join")
+def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
