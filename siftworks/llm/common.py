@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,6 @@ class WordHashes(dict):
     LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.LIMIT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -56,7 +56,10 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+#: Odd multiplier of the polynomial over word hashes.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words hashed in one go.
+_CHUNK_WORDS = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,15 +71,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def shingle_sets(texts: Iterable[str | None], size: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z lower-cased. A text with fewer words gives
+    one shingle, a text without words none. Bytes are split at space and \\x09-\\x0D, which is what bytes.split() does.
+    Several texts are hashed together; shingles that reach into the next text are left out."""
+    held: list[list[bytes]] = []
+    n = 0
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass").lower().split())
+        n += len(held[-1])
+        if n > _CHUNK_WORDS:
+            yield from _hashed(held, n, size)
+            held, n = [], 0
+    yield from _hashed(held, n, size)
+
+
+def _hashed(held: list[list[bytes]], n: int, size: int) -> Iterator[np.ndarray]:
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(held)), np.uint64, n)
+    rolled = np.zeros(max(0, n - size + 1), np.uint64)
+    for k in range(size):
+        rolled = rolled * _BASE + h[k : k + len(rolled)]
+    rolled = mixed(rolled)
+    at = 0
+    for words in held:
+        k = len(words)
+        if k >= size:
+            s = np.sort(rolled[at : at + k - size + 1])
+            yield s[np.append(True, s[1:] != s[:-1])]
+        else:
+            short = np.zeros(min(k, 1), np.uint64)
+            for x in h[at : at + k]:
+                short = short * _BASE + x
+            yield mixed(short + np.uint64(k))
+        at += k
+
+
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased. A text with fewer words gives one
-    shingle, a text without words none. Bytes are split at space and \\x09-\\x0D, which is what bytes.split() does."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, min(len(h), size), np.uint64)
-    for k in range(min(size, len(h))):
-        out = mixed(out * _MULTIPLIERS[k % 5] + h[k : k + n])
-    return np.unique(out)
+    return next(shingle_sets([text], size))

@@ -11,7 +11,8 @@ set from the start (with n sets, two different ones meet by chance with probabil
   rows.
 * Skipping inside lists: entries are put into blocks by size and position. A block pair whose best entries cannot reach
   the overlap bound, or whose sizes differ too much, is skipped whole.
-* Skipping by set relations: in every list the members of a size class first meet one leader; each set is checked against
+* Skipping by set relations: in every list the members of a size class first meet one leader, the
+  set with the fewest rarer shingles; each set is checked against
   the leader it meets most. A set linked to its leader belongs to the leader's cluster, its difference from the leader
   is known, and its other answers derive from the leader's: |y - z| lies within |x - w| -+ (|x - y| + |w - z|) for leaders
   x, w. Leaders of different clusters that share a list are checked once; members are compared only where these bounds
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import counted, mixed, shingle_set
+from .common import counted, mixed, shingle_sets
 from .components import components
 
 SHINGLE = 5
@@ -55,7 +56,7 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_set(t, size) for t in batch[text]]
+            found = list(shingle_sets(batch[text], size))
             sig = pd.array([digest(s) if len(s) else None for s in found], dtype="Int64")
             yield pd.DataFrame({key: batch[key].array, "n_shingles": np.array([len(s) for s in found], np.int64), "sig": sig})
 
@@ -65,8 +66,7 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
 def _new_sets(batch: Iterable[str | None], size: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
     """Sets that this task has not met lately."""
-    for t in batch:
-        s = shingle_set(t, size)
+    for s in shingle_sets(batch, size):
         if len(s) and (d := digest(s)) not in seen:
             if len(seen) > 500_000:
                 seen.clear()
@@ -225,15 +225,15 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
 
     def stored_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_set(t, size) for t in batch[text]]
+            found = list(shingle_sets(batch[text], size))
             yield pd.DataFrame({"sig": batch["_sig"], "ok": [len(s) > 0 and digest(s) == d for s, d in zip(found, batch["_sig"], strict=True)], "shingles": [s.tobytes() for s in found]})
 
     texts = docs.select(F.col(key).alias("_k"), text).join(ids, "_k").select("_sig", text)
     stored = cut_lineage(texts.mapInPandas(stored_sets, "sig long, ok boolean, shingles binary").filter("ok").drop("ok").dropDuplicates(["sig"]))
 
-    # leaders: the first set of each size class of a list
+    # leaders: of each size class of a list the set with the fewest rarer shingles, as copies differ by rare ones
     banded = entries.withColumn("band", _band(F.col("n"), percent))
-    leaders = cut_lineage(banded.groupBy("s", "band").agg(F.min("sig").alias("leader")))
+    leaders = cut_lineage(banded.groupBy("s", "band").agg(F.min(F.struct("pos", "sig")).alias("_m")).select("s", "band", F.col("_m.sig").alias("leader")))
     both = leaders.unionByName(leaders.withColumn("band", F.col("band") + 1))
     met = banded.join(both, ["s", "band"]).filter("sig <> leader")
     most = met.groupBy("sig", "leader").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("leader"))).alias("m"))
