@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import table
-from . import decontamination, jaccard_join, line_dedup, packing, quality_rules, token_counts, toxicity
+from . import decontamination, jaccard_join, license_scans, line_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from .common import ORACLES, QUERIES, query
 from .tokens import public_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_license_scans")
+def licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scans.scan(docs, license_scans.train(docs))
+
+
 @query("op2_token_counts")
 def token_counts_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_by_section(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
@@ -38,11 +46,23 @@ def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_url_filters", url_filters.SQL)
+def filtered_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
+
+
 @query("op6_quality_rules")
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op8_secret_scans")
+def secrets_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_index", F.md5("value").alias("value_md5"), F.length("value").alias("n_chars"), "label", "score", "is_secret")
+
+
 @query("op9_jaccard_join")
 def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,3 +71,8 @@ def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
