@@ -185,7 +185,13 @@ def _overlap(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
             c = np.array(common, np.int64)
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "na": na, "nb": nb, "diff": na + nb - 2 * c, "linked": 100 * c >= percent * (na + nb - c)})
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb")
+    pairs = cut_lineage(pairs.select("a", "b").distinct())
+    if counted(pairs, BROADCAST_IDS):  # only the sets asked for are shuffled
+        left = left.join(F.broadcast(pairs), "a")
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    else:
+        left = left.join(pairs, "a")
+    joined = left.join(right, "b").select("a", "b", "_sa", "_sb")
     return cut_lineage(joined.mapInPandas(run, "a long, b long, na long, nb long, diff long, linked boolean"))
 
 
@@ -195,6 +201,11 @@ def _compatible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) ->
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * room >= percent * (n1 + n2))
 
 
+def _reachable(common: Column, n1: Column, last1: Column, n2: Column, last2: Column, percent: int) -> Column:
+    """Shingles in common up to the last common positions leave room for the overlap the threshold asks for."""
+    return (100 + percent) * (common + F.least(n1 - 1 - last1, n2 - 1 - last2)) >= percent * (n1 + n2)
+
+
 def _band(n: Column, percent: int) -> Column:
     """Sizes of one band differ by less than the threshold allows."""
     return F.floor(F.log(n.cast("double")) / -np.log(percent / 100)).cast("int")
@@ -205,14 +216,18 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     width = 16
     blocks = entries.withColumn("band", _band(F.col("n"), percent)).withColumn("pb", F.floor(F.col("pos") / width))
     heads = blocks.groupBy("s", "cluster", "band", "pb").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("p"))
-    heads = cut_lineage(heads)
-    other = heads.select("s", *[F.col(c).alias(f"{c}2") for c in ("cluster", "band", "pb", "lo", "hi", "p")])
+    alone = entries.groupBy("cluster").agg((F.min("sig") == F.max("sig")).alias("alone"))
+    heads = cut_lineage(heads.join(alone, "cluster"))
+    other = heads.select("s", *[F.col(c).alias(f"{c}2") for c in ("cluster", "band", "pb", "lo", "hi", "p", "alone")])
     near = F.abs(F.col("band") - F.col("band2")) <= 1
     sizes = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
     room = F.least(F.col("hi") - F.col("p"), F.col("hi2") - F.col("p2"))
     reach = (100 + percent) * room >= percent * (F.col("lo") + F.col("lo2"))
     found = heads.join(other, "s").filter((F.col("cluster") < F.col("cluster2")) & near & sizes & reach)
-    return found.select(F.col("cluster").alias("a"), F.col("cluster2").alias("b")).distinct()
+    met = found.groupBy(F.col("cluster").alias("a"), F.col("cluster2").alias("b")).agg(
+        F.count("*").alias("m"), F.max("hi").alias("n1"), F.max("hi2").alias("n2"), F.max("p").alias("p1"), F.max("p2").alias("p2"), F.min(F.col("alone") & F.col("alone2")).alias("alone")
+    )  # two sets alone have one row for each shingle in common, and the last ones that reach nothing are left out of both
+    return met.filter(~F.col("alone") | _reachable(F.col("m"), F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)).select("a", "b")
 
 
 def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -229,14 +244,17 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
             yield pd.DataFrame({"sig": batch["_sig"], "ok": [len(s) > 0 and digest(s) == d for s, d in zip(found, batch["_sig"], strict=True)], "shingles": [s.tobytes() for s in found]})
 
     texts = docs.select(F.col(key).alias("_k"), text).join(ids, "_k").select("_sig", text)
-    stored = cut_lineage(texts.mapInPandas(stored_sets, "sig long, ok boolean, shingles binary").filter("ok").drop("ok").dropDuplicates(["sig"]))
+    stored = cut_lineage(texts.mapInPandas(stored_sets, "sig long, ok boolean, shingles binary").filter("ok").drop("ok"))  # a key that repeats gives a set twice
 
     # leaders: of each size class of a list the set with the fewest rarer shingles, as copies differ by rare ones
     banded = entries.withColumn("band", _band(F.col("n"), percent))
-    leaders = cut_lineage(banded.groupBy("s", "band").agg(F.min(F.struct("pos", "sig")).alias("_m")).select("s", "band", F.col("_m.sig").alias("leader")))
+    leaders = cut_lineage(banded.groupBy("s", "band").agg(F.min(F.struct("pos", "sig", "n")).alias("_m")).select("s", "band", F.col("_m.sig").alias("leader"), F.col("_m.pos").alias("pos2"), F.col("_m.n").alias("n2")))
     both = leaders.unionByName(leaders.withColumn("band", F.col("band") + 1))
     met = banded.join(both, ["s", "band"]).filter("sig <> leader")
-    most = met.groupBy("sig", "leader").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("leader"))).alias("m"))
+    shared = met.groupBy("sig", "leader").agg(F.count("*").alias("n"), F.max("n").alias("n1"), F.max("n2").alias("n2"), F.max("pos").alias("p1"), F.max("pos2").alias("p2"))
+    # where they follow other leaders they may share some more; what this leaves out the block pairs bring back
+    hopeful = _reachable(F.col("n") * 1.25 + 4, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
+    most = shared.filter(hopeful).groupBy("sig").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("leader"))).alias("m"))
     first = _overlap(most.select(F.col("sig").alias("a"), F.bitwise_not("m.leader").alias("b")), stored, percent)
     found = first.filter("linked")
     edges = found.select("a", "b")
