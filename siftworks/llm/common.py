@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def counted(df: DataFrame, at_most: int) -> bool:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -59,7 +60,7 @@ _HASHES = WordHashes()
 #: Odd multiplier of the polynomial over word hashes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words hashed in one go.
-_CHUNK_WORDS = 100_000
+_CHUNK_WORDS = 50_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,14 +72,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: Iterable[str | None], size: int = 5) -> Iterator[np.ndarray]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in small parts, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def shingle_sets(texts: Iterable[bytes | str | None], size: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z lower-cased. A text with fewer words gives
     one shingle, a text without words none. Bytes are split at space and \\x09-\\x0D, which is what bytes.split() does.
     Several texts are hashed together; shingles that reach into the next text are left out."""
     held: list[list[bytes]] = []
     n = 0
     for t in texts:
-        held.append((t or "").encode("utf-8", "surrogatepass").lower().split())
+        raw = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b""
+        held.append(raw.lower().split())
         n += len(held[-1])
         if n > _CHUNK_WORDS:
             yield from _hashed(held, n, size)
@@ -106,5 +119,5 @@ def _hashed(held: list[list[bytes]], n: int, size: int) -> Iterator[np.ndarray]:
         at += k
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+def shingle_set(text: bytes | str | None, size: int = 5) -> np.ndarray:
     return next(shingle_sets([text], size))

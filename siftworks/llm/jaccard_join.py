@@ -28,11 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import counted, mixed, shingle_sets
+from .common import counted, mixed, shingle_sets, slices, utf8
 from .components import components
 
 SHINGLE = 5
@@ -42,7 +43,7 @@ FREQUENT = 64
 MAX_FREQUENT = 1_000_000
 #: Share of the hash range whose shingles are counted; prefixes seldom reach further.
 COUNTED_SHARE = 0.35
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Documents whose sets are compared that may be sent to every task as ids.
 BROADCAST_IDS = 1_000_000
 
@@ -54,17 +55,18 @@ def digest(s: np.ndarray) -> int:
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """key, n_shingles, sig (NULL for texts without words)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = list(shingle_sets(batch[text], size))
-            sig = pd.array([digest(s) if len(s) else None for s in found], dtype="Int64")
-            yield pd.DataFrame({key: batch[key].array, "n_shingles": np.array([len(s) for s in found], np.int64), "sig": sig})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = list(shingle_sets(utf8(batch.column(1)), size))
+            n = pa.array([len(s) for s in found], pa.int64())
+            sig = pa.array([digest(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, sig], names=[key, "n_shingles", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_shingles long, sig long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, sig long")
 
 
-def _new_sets(batch: Iterable[str | None], size: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+def _new_sets(batch: Iterable[bytes | None], size: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
     """Sets that this task has not met lately."""
     for s in shingle_sets(batch, size):
         if len(s) and (d := digest(s)) not in seen:
@@ -74,28 +76,28 @@ def _new_sets(batch: Iterable[str | None], size: int, seen: set[int]) -> Iterato
             yield d, s
 
 
-def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row per bucket that holds its part of every column as bytes."""
     order = np.argsort(bucket, kind="stable")
     names, starts = np.unique(bucket[order], return_index=True)
     cut = [(a, b) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
     blobs = {c: [v[a:b].tobytes() for a, b in cut] for c, v in ((c, v[order]) for c, v in columns.items())}
-    return pd.DataFrame({"bucket": names.astype(np.int64)} | blobs)
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(names.astype(np.int64))} | {c: pa.array(v, pa.binary()) for c, v in blobs.items()})
 
 
 def frequent_shingles(docs: DataFrame, buckets: int, size: int = SHINGLE, text: str = "text") -> np.ndarray:
     """Sorted hashes of the shingles that more than FREQUENT sets hold, the most frequent MAX_FREQUENT of them."""
     mask, limit = np.uint64(buckets - 1), np.uint64(int(COUNTED_SHARE * 2**64))
 
-    def flush(parts: list[np.ndarray]) -> pd.DataFrame:
+    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)  # a hot shingle is one entry from here on
         return _dealt(values & mask, {"s": values, "n": counts.astype(np.uint32)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
-        for batch in batches:
-            for _, s in _new_sets(batch[text], size, seen):
-                parts.append(s[: np.searchsorted(s, limit)])
+        for batch in slices(batches):
+            for _, s in _new_sets(utf8(batch.column(0)), size, seen):
+                parts.append(s[: np.searchsorted(s, limit)].copy())
                 held += len(parts[-1])
                 if held > BLOCK_SHINGLES:
                     yield flush(parts)
@@ -113,7 +115,7 @@ def frequent_shingles(docs: DataFrame, buckets: int, size: int = SHINGLE, text:
         often = total > FREQUENT
         return pd.DataFrame({"s": values[starts][often].view(np.int64), "n": total[often]})
 
-    blocks = docs.select(text).mapInPandas(run, "bucket long, s binary, n binary")
+    blocks = docs.select(text).mapInArrow(run, "bucket long, s binary, n binary")
     top = blocks.groupBy("bucket").applyInPandas(count, "s long, n long").orderBy(F.desc("n"), "s").limit(MAX_FREQUENT)
     return np.sort(np.array([r["s"] for r in top.select("s").collect()], np.int64).view(np.uint64))
 
@@ -123,7 +125,7 @@ def lists(docs: DataFrame, frequent: np.ndarray, buckets: int, size: int = SHING
     mask = np.uint64(buckets - 1)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT numbers
 
-    def flush(parts: list[tuple[int, int, np.ndarray, int]], often: np.ndarray) -> pd.DataFrame:
+    def flush(parts: list[tuple[int, int, np.ndarray]], often: np.ndarray) -> pa.RecordBatch:
         s = np.concatenate([p[2] for p in parts])
         lengths = [len(p[2]) for p in parts]
         sig = np.repeat(np.array([p[0] for p in parts], np.int64), lengths)
@@ -134,18 +136,18 @@ def lists(docs: DataFrame, frequent: np.ndarray, buckets: int, size: int = SHING
         bucket = np.where(hot, mixed(s ^ mixed(sig.view(np.uint64))) & mask, s & mask)  # frequent shingles are salted
         return _dealt(bucket, {"s": s, "sig": sig, "n": n, "pos": pos, "hot": hot})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, parts, held, seen = shared.value, [], 0, set()
-        for batch in batches:
-            for d, s in _new_sets(batch[text], size, seen):
+        for batch in slices(batches):
+            for d, s in _new_sets(utf8(batch.column(0)), size, seen):
                 need = len(s) - (percent * len(s) + 99) // 100 + 1
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     hot = often[at] == s
                     s_first = np.concatenate([s[~hot], s[hot]])[:need]
                 else:
-                    s_first = s[:need]
-                parts.append((d, len(s), s_first, 0))
+                    s_first = s[:need].copy()
+                parts.append((d, len(s), s_first))
                 held += need
                 if held > BLOCK_SHINGLES // 4:
                     yield flush(parts, often)
@@ -165,7 +167,7 @@ def lists(docs: DataFrame, frequent: np.ndarray, buckets: int, size: int = SHING
         many = e["hot"] | np.append(same, False) | np.append(False, same)
         return pd.DataFrame({"s": e["s"][many].view(np.int64), "sig": e["sig"][many], "n": e["n"][many].astype(np.int32), "pos": e["pos"][many].astype(np.int32)})
 
-    blocks = docs.select(text).mapInPandas(run, "bucket long, s binary, sig binary, n binary, pos binary, hot binary")
+    blocks = docs.select(text).mapInArrow(run, "bucket long, s binary, sig binary, n binary, pos binary, hot binary")
     return blocks.groupBy("bucket").applyInPandas(shared_ones, "s long, sig long, n int, pos int")
 
 
@@ -174,16 +176,13 @@ def _overlap(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     left = stored.select(F.col("sig").alias("a"), F.col("shingles").alias("_sa"))
     right = stored.select(F.col("sig").alias("b"), F.col("shingles").alias("_sb"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes, common = [], []
-            for x, y in zip(batch["_sa"], batch["_sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                sizes.append((len(x), len(y)))
-                common.append(len(np.intersect1d(x, y, assume_unique=True)))
-            na, nb = np.array(sizes, np.int64).reshape(-1, 2).T
-            c = np.array(common, np.int64)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "na": na, "nb": nb, "diff": na + nb - 2 * c, "linked": 100 * c >= percent * (na + nb - c)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            both = [(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            na, nb = (np.array([len(p[i]) for p in both], np.int64) for i in (0, 1))
+            c = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
+            linked = 100 * c >= percent * (na + nb - c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (na, nb, na + nb - 2 * c, linked))], names=["a", "b", "na", "nb", "diff", "linked"])
 
     pairs = cut_lineage(pairs.select("a", "b").distinct())
     if counted(pairs, BROADCAST_IDS):  # only the sets asked for are shuffled
@@ -192,7 +191,7 @@ def _overlap(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     else:
         left = left.join(pairs, "a")
     joined = left.join(right, "b").select("a", "b", "_sa", "_sb")
-    return cut_lineage(joined.mapInPandas(run, "a long, b long, na long, nb long, diff long, linked boolean"))
+    return cut_lineage(joined.mapInArrow(run, "a long, b long, na long, nb long, diff long, linked boolean"))
 
 
 def _compatible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -238,13 +237,14 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
     ids = one_each.select(F.col("_k"), F.col("sig").alias("_sig"))
     ids = F.broadcast(ids) if counted(ids, BROADCAST_IDS) else ids
 
-    def stored_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = list(shingle_sets(batch[text], size))
-            yield pd.DataFrame({"sig": batch["_sig"], "ok": [len(s) > 0 and digest(s) == d for s, d in zip(found, batch["_sig"], strict=True)], "shingles": [s.tobytes() for s in found]})
+    def stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            wanted = batch.column(0).to_pylist()
+            found = [(d, s.tobytes()) for d, s in zip(wanted, shingle_sets(utf8(batch.column(1)), size), strict=True) if len(s) and digest(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["sig", "shingles"])
 
     texts = docs.select(F.col(key).alias("_k"), text).join(ids, "_k").select("_sig", text)
-    stored = cut_lineage(texts.mapInPandas(stored_sets, "sig long, ok boolean, shingles binary").filter("ok").drop("ok"))  # a key that repeats gives a set twice
+    stored = cut_lineage(texts.mapInArrow(stored_sets, "sig long, shingles binary"))  # a key that repeats gives a set twice
 
     # leaders: of each size class of a list the set with the fewest rarer shingles, as copies differ by rare ones
     banded = entries.withColumn("band", _band(F.col("n"), percent))
