@@ -114,12 +114,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text
     first = cut_lineage(repeated_lines(docs, key, text))
     copies = cut_lineage(later_copies(first, min_words))
     span = F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)))
-    gone = copies.groupBy("d", "t").agg(F.array_distinct(span).alias("_gone"))  # at most the lines of one text
+    gone = copies.groupBy("d", "t").agg(F.array_distinct(span).alias("_gone")).withColumnsRenamed({"d": "_gone_d", "t": "_gone_t"})  # at most the lines of one text
     if counted(copies, BROADCAST_RUNS):
         gone = F.broadcast(gone)
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     base = docs.select(*kept)
-    joined = base.join(gone, F.col(key).cast("long").eqNullSafe(F.col("d")) & (_text_key(F.col(text)) == F.col("t")), "left")
+    joined = base.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gone_d")) & (_text_key(F.col(text)) == F.col("_gone_t")), "left")
     all_lines = _solid_lines(F.col(text))
     rest = let(all_lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
     new_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)
