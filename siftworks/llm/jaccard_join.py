@@ -222,11 +222,16 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     sizes = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
     room = F.least(F.col("hi") - F.col("p"), F.col("hi2") - F.col("p2"))
     reach = (100 + percent) * room >= percent * (F.col("lo") + F.col("lo2"))
-    found = heads.join(other, "s").filter((F.col("cluster") < F.col("cluster2")) & near & sizes & reach)
+    found = heads.join(other, "s").filter((F.col("cluster") < F.col("cluster2")) & near & sizes)
     met = found.groupBy(F.col("cluster").alias("a"), F.col("cluster2").alias("b")).agg(
-        F.count("*").alias("m"), F.max("hi").alias("n1"), F.max("hi2").alias("n2"), F.max("p").alias("p1"), F.max("p2").alias("p2"), F.min(F.col("alone") & F.col("alone2")).alias("alone")
-    )  # two sets alone have one row for each shingle in common, and the last ones that reach nothing are left out of both
-    return met.filter(~F.col("alone") | _reachable(F.col("m"), F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)).select("a", "b")
+        F.count_distinct("s").alias("m"), F.max(reach).alias("reach"), F.min(F.col("alone") & F.col("alone2")).alias("alone"), F.max("p").alias("p1"), F.max("p2").alias("p2"),
+        *[f(c).alias(f"{c}_") for f, names in ((F.max, ("hi", "hi2")), (F.min, ("lo", "lo2"))) for c in names],
+    )
+    # beyond the prefix that ends first, two sets have at most its set's other shingles in common
+    behind = (F.greatest("hi_", "hi2_") * percent + 99) / 100 - 1
+    enough = (100 + percent) * (F.col("m") + behind) >= percent * (F.col("lo_") + F.col("lo2_"))
+    single = ~F.col("alone") | _reachable(F.col("m"), F.col("hi_"), F.col("p1"), F.col("hi2_"), F.col("p2"), percent)
+    return met.filter(F.col("reach") & enough & single).select("a", "b")
 
 
 def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
