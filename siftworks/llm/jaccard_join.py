@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import counted, mixed, shingle_sets, slices, utf8
+from .common import arrow_rows, counted, mixed, shingle_sets, slices, utf8
 from .components import components
 
 SHINGLE = 5
@@ -43,7 +43,9 @@ FREQUENT = 64
 MAX_FREQUENT = 1_000_000
 #: Share of the hash range whose shingles are counted; prefixes seldom reach further.
 COUNTED_SHARE = 0.35
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
+#: Texts or sets that are sent to Python at a time.
+BATCH_ROWS = 500
 #: Documents whose sets are compared that may be sent to every task as ids.
 BROADCAST_IDS = 1_000_000
 
@@ -317,11 +319,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     NULL, empty and blank texts have no shingles and stand alone, as do rows with a NULL key. Repeated rows give repeated
     results; equal texts are one set. Other columns are not read; an empty table gives an empty result.
     """
-    known = cut_lineage(sets(docs, key, text, size))
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = 1 << max(4, int(np.ceil(np.log2(max(1, total / BLOCK_SHINGLES * 4)))))
-    often = frequent_shingles(docs, buckets, size, text)
-    label = links(docs, lists(docs, often, buckets, size, percent, text), known, percent, key, text, size)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        known = cut_lineage(sets(docs, key, text, size))
+        total = known.agg(F.sum("n_shingles")).first()[0] or 0
+        buckets = 1 << max(4, int(np.ceil(np.log2(max(1, total / BLOCK_SHINGLES * 4)))))
+        often = frequent_shingles(docs, buckets, size, text)
+        label = links(docs, lists(docs, often, buckets, size, percent, text), known, percent, key, text, size)
     full = known.join(label, F.col("sig") == F.col("node"), "left")
     group = F.when(F.col("sig").isNotNull() & F.col(key).isNotNull(), F.coalesce("label", "sig"))
     grouped = cut_lineage(full.select(key, "n_shingles", group.alias("_g")))
