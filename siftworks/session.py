@@ -47,7 +47,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only where nothing is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftworks-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftworks-ckpt-"))
     return sc.getCheckpointDir()
 
 
