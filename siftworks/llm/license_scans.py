@@ -153,7 +153,7 @@ def scan(docs: DataFrame, model: LicenceModel, key: str = "doc_id", text: str =
                     # a paragraph without two template words in a row is unknown for every family
                     if len(telling.intersection(p.lower().translate(_NO_EDGE).split())) >= 2 and (got := own.judge(p)):
                         rows.append((k, i, *got, got[2] >= CONFIRM))
-            yield pd.DataFrame(rows, columns=[key, "paragraph", "family", "probability", "similarity", "confirmed"])
+            yield pd.DataFrame(rows, columns=[key, "paragraph", "family", "probability", "similarity", "confirmed"]).astype({"family": object})
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, paragraph int, family string, probability double, similarity double, confirmed boolean")

@@ -80,7 +80,7 @@ def with_features(found: DataFrame, docs: DataFrame, key: str = "doc_id", text:
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / n,
         "dictionary": F.least(F.lit(1.0), F.coalesce(F.col("letters"), F.lit(0)) / n),
         "named": flag(F.col("name").rlike(SECRET_NAME)), "named_near": flag(F.col("near").rlike(SECRET_NAME)),
-        "placeholder": flag(F.concat_ws(" ", "value", "near").rlike(PLACEHOLDER)),
+        "placeholder": flag(F.concat_ws(" ", F.col("value"), F.regexp_replace("near", r"\S*[@/]\S*", "")).rlike(PLACEHOLDER)),
         "address": flag(F.col("value").rlike(r"@|://|^[0-9]+([.:-][0-9]+)*$")),
         "quoted": flag(F.col("word").rlike("^[\"']")),
         "path": F.coalesce(F.col("path"), F.lit(0.0)),

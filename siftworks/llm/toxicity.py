@@ -196,7 +196,7 @@ def _stem_counts(rows: DataFrame) -> DataFrame:
                 words = {bare(w) for w in lower_words(t or "")}
                 rows.update({w[:n] for w in words for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1)})
                 alone.update(w for w in words if MIN_STEM <= len(w) <= MAX_STEM)
-        yield pd.DataFrame({"stem": list(rows), "n": list(rows.values()), "alone": [alone.get(s, 0) for s in rows]}).astype({"n": "int64", "alone": "int64"})
+        yield pd.DataFrame({"stem": list(rows), "n": list(rows.values()), "alone": [alone.get(s, 0) for s in rows]}).astype({"stem": object, "n": "int64", "alone": "int64"})
 
     return rows.select("text").mapInPandas(count, "stem string, n long, alone long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
 
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_supp
             for batch in batches:
                 for t in batch["text"]:
                     counts.update({w[:n] for w in {bare(w) for w in lower_words(t)} for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1)} & wanted)
-            yield pd.DataFrame({"stem": list(counts), "n": list(counts.values())}).astype({"n": "int64"})
+            yield pd.DataFrame({"stem": list(counts), "n": list(counts.values())}).astype({"stem": object, "n": "int64"})
 
         clean_rows = rows.filter("toxic = 0").select("text").mapInPandas(in_clean, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
         clean = {r["stem"]: r["n"] for r in clean_rows.collect()}
