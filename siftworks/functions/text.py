@@ -208,11 +208,11 @@ def char_distance_metrics(pred: Column, truth: Column) -> dict[str, Column]:
 
 @F.pandas_udf(T.IntegerType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance on whitespace tokens; one numpy row per token of the shorter side."""
+    """Levenshtein distance on lower-cased whitespace tokens; one numpy row per token of the shorter side."""
     import numpy as np
 
     def one(x, y):
-        x, y = (x or "").split(), (y or "").split()
+        x, y = (x or "").lower().split(), (y or "").lower().split()
         if len(x) > len(y):
             x, y = y, x
         codes: dict[str, int] = {}

@@ -17,6 +17,7 @@ DELIMITERS = ("|", ";", ",")
 SUPPORT_SHARE = 0.05
 WEIGHTS = {"confidence": 0.3, "lift": 0.25, "support": 0.2, "coverage": 0.2, "count": 0.05}
 WANTED_RULES = 20
+MIN_TRANSACTIONS = 5
 
 
 def basket_column(df: DataFrame, sample: int = 200) -> tuple[str, str] | None:
@@ -38,12 +39,37 @@ def delimited_items(df: DataFrame, txn: str, col: str, delimiter: str) -> DataFr
     return df.select(F.col(txn).alias("txn"), F.explode(F.array_distinct(parts)).alias("item")).filter("item <> ''")
 
 
+def bin_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Bins per numeric column: as many as it has distinct values, at most four; none below four values."""
+    if not cols:
+        return {}
+    low_high = lambda v: [F.min(v).alias("lo"), F.max(v).alias("hi")]
+    ends = df.agg(*[F.struct(F.count(clean_number(c)).alias("n"), *low_high(clean_number(c))).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    between = []
+    for i, c in enumerate(cols):
+        lo, hi = (F.lit(ends[f"v{i}"][k]).cast("double") for k in ("lo", "hi"))
+        inner = F.when((clean_number(c) > lo) & (clean_number(c) < hi), clean_number(c))
+        between.append(F.struct(*low_high(inner)).alias(f"v{i}"))
+    inside = df.agg(*between).first()
+    out = {}
+    for i, c in enumerate(cols):
+        outer, inner = ends[f"v{i}"], inside[f"v{i}"]
+        distinct = len({outer["lo"], outer["hi"], inner["lo"], inner["hi"]} - {None})
+        out[c] = distinct if outer["n"] >= 4 else 0
+    return out
+
+
 def quartile_labels(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
-    """Numeric columns as right-closed quartile intervals; repeated edges collapse, missing values read 'nan'."""
+    """Numeric columns as right-closed intervals of equal counts, four or one per distinct value; repeated edges collapse,
+    missing values read 'nan'. Columns with fewer than four values are rounded instead."""
+    bins, cuts = bin_counts(df, cols), {}
+    for k in set(bins.values()):
+        mine = [c for c in cols if bins[c] == k]
+        cuts |= exact_quantiles(df, mine, [i / k for i in range(k + 1)]) if k else {c: [] for c in mine}
     out = {}
-    for c, q in exact_quantiles(df, cols, [0.0, 0.25, 0.5, 0.75, 1.0]).items():
+    for c in cols:
         x = clean_number(c)
-        edges = sorted({v for v in q if v is not None})
+        edges = sorted({v for v in cuts[c] if v is not None})
         label = F.when(x.isNull(), F.lit("nan"))
         if len(edges) < 2:
             out[c] = label.otherwise(F.round(x, 2).cast("string"))
@@ -65,10 +91,11 @@ def row_items(df: DataFrame, txn: str, cols: Sequence[str]) -> DataFrame:
 
 def mine_rules(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules, summary). A pair can only be frequent if both items are, so baskets are cut to frequent items
-    before pairs are formed: at most (mean basket size / 0.05) items survive, however large one basket is."""
+    before pairs are formed: at most (mean basket size / 0.05) items survive, however large one basket is. Fewer than
+    MIN_TRANSACTIONS transactions have no rules, and every measure is 0."""
     baskets = baskets.distinct()
     n = baskets.select("txn").distinct().count()
-    floor = max(2, int(round(SUPPORT_SHARE * n)))
+    floor = max(2, int(round(SUPPORT_SHARE * n))) if n >= MIN_TRANSACTIONS else n + 1
     items = baskets.groupBy("item").agg(F.count("*").alias("n_item"))
     frequent = items.filter(F.col("n_item") >= floor)
     kept = baskets.join(frequent.select("item"), "item", "left_semi")
@@ -84,7 +111,7 @@ def mine_rules(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.struct(F.col("a").alias("lhs"), F.col("b").alias("rhs"), F.col("n_pair"), F.col("na").alias("n_lhs"), F.col("nb").alias("n_rhs")),
         F.struct(F.col("b").alias("lhs"), F.col("a").alias("rhs"), F.col("n_pair"), F.col("nb").alias("n_lhs"), F.col("na").alias("n_rhs")),
     )))
-    total = F.lit(float(n))
+    total = F.lit(float(max(n, 1)))
     rules = rules.withColumns({
         "support": F.col("n_pair") / total,
         "confidence": F.col("n_pair") / F.col("n_lhs"),
@@ -100,5 +127,4 @@ def mine_rules(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
         WEIGHTS["confidence"] * F.col("confidence") + WEIGHTS["lift"] * F.col("lift") / (F.col("lift") + 1)
         + WEIGHTS["support"] * F.col("support") + WEIGHTS["coverage"] * F.col("coverage") + WEIGHTS["count"] * count_score
     )
-    usable = F.lit(n >= 5) & (F.col("number_of_rules") > 0)
-    return rules, summary.withColumn("rule_quality", F.when(usable, F.least(F.lit(1.0), quality)).otherwise(F.lit(0.0)))
+    return rules, summary.withColumn("rule_quality", F.when(F.col("number_of_rules") > 0,F.least(F.lit(1.0), quality)).otherwise(F.lit(0.0)))

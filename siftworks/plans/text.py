@@ -325,8 +325,8 @@ def ftr12(spark, d):
 @query("ftr12_char_tfidf", r"""WITH wd AS (SELECT item_id, ' ' || unnest(list_filter(string_split_regex(lower(text), '[\s\p{Z}]+'), lambda w: w <> '')) || ' ' AS w FROM benchmark),
   ex AS (SELECT item_id, unnest(list_concat(list_concat(
       CASE WHEN length(w) >= 3 THEN list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) ELSE [] END,
-      CASE WHEN length(w) > 4 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) ELSE [] END),
-      CASE WHEN length(w) > 5 THEN list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) ELSE [] END)) AS term FROM wd),
+      CASE WHEN length(w) >= 4 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) ELSE [] END),
+      CASE WHEN length(w) >= 5 THEN list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) ELSE [] END)) AS term FROM wd),
   tf AS (SELECT item_id, term, count(*) AS tf FROM ex GROUP BY ALL)
   SELECT item_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_grams FROM tf GROUP BY item_id""")
 def ftr12_char(spark, d):

@@ -78,3 +78,23 @@ def test_stream_gets_the_same_cleaning_as_a_batch(spark, tmp_path):
     got = spark.read.parquet(out).orderBy("id").collect()
     want = clean_stream(df, ["text"], TextSpec(), fitted).orderBy("id").collect()
     assert got == want and got[0]["text_processed"] == "visit url now!"
+
+
+def test_few_distinct_values_make_as_many_bins(spark):
+    from siftworks.operators import rules
+
+    df = spark.createDataFrame([(i, float(i % 3 + 1), float(i % 2), 7.0, float(i) if i < 3 else None) for i in range(12)], "id int, three double, two double, one double, few double")
+    assert rules.bin_counts(df, ["three", "two", "one", "few"]) == {"three": 3, "two": 2, "one": 1, "few": 0}
+    labels = rules.quartile_labels(df, ["three", "two", "one", "few"])
+    groups = {c: {frozenset(v) for v in df.groupBy(x.alias("l")).agg(F.collect_set(c).alias("v")).toPandas()["v"]} for c, x in labels.items()}
+    assert groups["three"] == {frozenset({1.0}), frozenset({2.0}), frozenset({3.0})}
+    assert len(groups["one"]) == 1
+    assert {r["l"] for r in df.select(labels["few"].alias("l")).collect()} == {"0.0", "1.0", "2.0", "nan"}
+
+
+def test_below_five_transactions_there_are_no_rules(spark):
+    from siftworks.operators import rules
+
+    baskets = spark.createDataFrame([(t, i) for t in range(4) for i in "ab"], "txn int, item string")
+    found, summary = rules.mine_rules(baskets)
+    assert found.count() == 0 and set(summary.first()) == {0}

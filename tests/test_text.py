@@ -101,3 +101,15 @@ def test_label_helpers(spark):
     df = spark.createDataFrame([("a|b",), ("b",), (None,)], "l string")
     assert {r["label"]: r["n"] for r in text_profile.list_label_counts(df, "l").collect()} == {"a": 1, "b": 2}
     assert text_profile.missing_targets(df, "l").first()[0] == 1
+
+
+def test_character_terms_of_short_words(spark):
+    from siftworks.operators.tfidf import char_terms
+
+    got = run(column(spark, ["ab", "abc", "a"]), char_terms(F.col("t")))
+    assert [sorted(g) for g in got] == [sorted([" ab", "ab ", " ab "]), sorted([" ab", "abc", "bc ", " abc", "abc ", " abc "]), [" a "]]
+
+
+def test_word_errors_ignore_case_and_outer_blanks(spark):
+    df = spark.createDataFrame([(0, " The Cat sat ", "the cat SAT"), (1, "a b", "a c d"), (2, None, "x y")], "i int, a string, b string")
+    assert run(df, tx.token_distance(F.col("a"), F.col("b"))) == [0, 2, 2]
