@@ -18,6 +18,11 @@ set from the start (with n sets, two different ones meet by chance with probabil
   x, w. Leaders of different clusters that share a list are checked once; members are compared only where these bounds
   leave the answer open.
 
+* Verification: a set of n shingles has an odd sketch of 2n to 4n bits, bit i telling whether an odd number of its shingles
+  hash to i. Every bit in which two sketches differ is a shingle in one set only, so the differing bits are a lower bound
+  of |x - y|. Only pairs that this bound leaves open have their sets fetched and compared shingle by shingle; for the
+  others the bound takes the place of the difference.
+
 Documents need components, so pairs inside a component are never compared again.
 """
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,22 +56,42 @@ BATCH_ROWS = 500
 BROADCAST_IDS = 1_000_000
 
 
+#: Upper half of a hash.
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+
+
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles per bit; the number of bits is a power of two, so that sketches fold to each other's size."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, sig (NULL for texts without words)."""
+    """key, n_shingles, sig and odd sketch (NULL for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = list(shingle_sets(utf8(batch.column(1)), size))
             n = pa.array([len(s) for s in found], pa.int64())
             sig = pa.array([digest(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, sig], names=[key, "n_shingles", "sig"])
+            odd = pa.array([odd_sketch(s) if len(s) else None for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, sig, odd], names=[key, "n_shingles", "sig", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, sig long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, sig long, odd binary")
 
 
 def _new_sets(batch: Iterable[bytes | None], size: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,19 +113,32 @@ def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
     return pa.RecordBatch.from_pydict({"bucket": pa.array(names.astype(np.int64))} | {c: pa.array(v, pa.binary()) for c, v in blobs.items()})
 
 
+def _named(s: np.ndarray, mask: np.uint64) -> np.ndarray:
+    return s & (_HIGH | mask)
+
+
+def _among(s: np.ndarray, often: np.ndarray, mask: np.uint64) -> np.ndarray:
+    """Which shingles are frequent."""
+    if not len(often):
+        return np.zeros(len(s), bool)
+    names = _named(s, mask)
+    return often[np.minimum(np.searchsorted(often, names), len(often) - 1)] == names
+
+
 def frequent_shingles(docs: DataFrame, buckets: int, size: int = SHINGLE, text: str = "text") -> np.ndarray:
-    """Sorted hashes of the shingles that more than FREQUENT sets hold, the most frequent MAX_FREQUENT of them."""
+    """Sorted names of the shingles that more than FREQUENT sets hold, the most frequent MAX_FREQUENT of them. A name is the
+    bucket and the upper half of a hash: shingles of one name would count together, which changes the order alone."""
     mask, limit = np.uint64(buckets - 1), np.uint64(int(COUNTED_SHARE * 2**64))
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)  # a hot shingle is one entry from here on
-        return _dealt(values & mask, {"s": values, "n": counts.astype(np.uint32)})
+        return _dealt(values & mask, {"s": (values >> np.uint64(32)).astype(np.uint32), "n": counts.astype(np.uint32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
         for batch in slices(batches):
             for _, s in _new_sets(utf8(batch.column(0)), size, seen):
-                parts.append(s[: np.searchsorted(s, limit)].copy())
+                parts.append(_named(s[: np.searchsorted(s, limit)], mask))
                 held += len(parts[-1])
                 if held > BLOCK_SHINGLES:
                     yield flush(parts)
@@ -108,14 +147,15 @@ def frequent_shingles(docs: DataFrame, buckets: int, size: int = SHINGLE, text:
             yield flush(parts)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([np.frombuffer(b, np.uint64) for b in group["s"]])
+        values = np.concatenate([np.frombuffer(b, np.uint32) for b in group["s"]])
         counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group["n"]])
         order = np.argsort(values, kind="stable")
         values, counts = values[order], counts[order]
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
         total = np.add.reduceat(counts.astype(np.int64), starts)
         often = total > FREQUENT
-        return pd.DataFrame({"s": values[starts][often].view(np.int64), "n": total[often]})
+        names = values[starts][often].astype(np.uint64) << np.uint64(32) | np.uint64(group["bucket"].iloc[0])
+        return pd.DataFrame({"s": names.view(np.int64), "n": total[often]})
 
     blocks = docs.select(text).mapInArrow(run, "bucket long, s binary, n binary")
     top = blocks.groupBy("bucket").applyInPandas(count, "s long, n long").orderBy(F.desc("n"), "s").limit(MAX_FREQUENT)
@@ -133,8 +173,7 @@ def lists(docs: DataFrame, frequent: np.ndarray, buckets: int, size: int = SHING
         sig = np.repeat(np.array([p[0] for p in parts], np.int64), lengths)
         n = np.repeat(np.array([p[1] for p in parts], np.uint32), lengths)
         pos = np.concatenate([np.arange(k, dtype=np.uint32) for k in lengths])
-        at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
-        hot = often[at] == s if len(often) else np.zeros(len(s), bool)
+        hot = _among(s, often, mask)
         bucket = np.where(hot, mixed(s ^ mixed(sig.view(np.uint64))) & mask, s & mask)  # frequent shingles are salted
         return _dealt(bucket, {"s": s, "sig": sig, "n": n, "pos": pos, "hot": hot})
 
@@ -143,13 +182,8 @@ def lists(docs: DataFrame, frequent: np.ndarray, buckets: int, size: int = SHING
         for batch in slices(batches):
             for d, s in _new_sets(utf8(batch.column(0)), size, seen):
                 need = len(s) - (percent * len(s) + 99) // 100 + 1
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    hot = often[at] == s
-                    s_first = np.concatenate([s[~hot], s[hot]])[:need]
-                else:
-                    s_first = s[:need].copy()
-                parts.append((d, len(s), s_first))
+                hot = _among(s, often, mask)
+                parts.append((d, len(s), np.concatenate([s[~hot], s[hot]])[:need]))
                 held += need
                 if held > BLOCK_SHINGLES // 4:
                     yield flush(parts, often)
@@ -173,27 +207,55 @@ def lists(docs: DataFrame, frequent: np.ndarray, buckets: int, size: int = SHING
     return blocks.groupBy("bucket").applyInPandas(shared_ones, "s long, sig long, n int, pos int")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b with diff (a lower bound of the shingles in one set only) and open (whether it allows a link)."""
+    of = lambda c: sketches.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"_o{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            diff = np.array([_differing(x, y) for x, y in zip(*(batch.column(i).to_pylist() for i in (4, 5)), strict=True)], np.int64)
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            may = (100 + percent) * diff <= (100 - percent) * total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(diff), pa.array(may)], names=["a", "b", "diff", "open"])
+
+    joined = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "_oa", "_ob")
+    return cut_lineage(joined.mapInArrow(run, "a long, b long, diff long, open boolean"))
+
+
+def _fetched(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """sig and shingles of the sets whose documents ``ids`` (_k, _sig) names; a key that repeats gives a set twice."""
+    ids = F.broadcast(ids) if counted(ids, BROADCAST_IDS) else ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            wanted = batch.column(0).to_pylist()
+            found = [(d, s.tobytes()) for d, s in zip(wanted, shingle_sets(utf8(batch.column(1)), size), strict=True) if len(s) and digest(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["sig", "shingles"])
+
+    texts = docs.select(F.col(key).alias("_k"), text).join(ids, "_k").select("_sig", text)
+    return cut_lineage(texts.mapInArrow(run, "sig long, shingles binary"))
+
+
 def _overlap(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b with their sizes, common (shingles in both), diff (shingles in one) and linked."""
+    """Pairs a, b with diff (shingles in one set only) and linked."""
     left = stored.select(F.col("sig").alias("a"), F.col("shingles").alias("_sa"))
     right = stored.select(F.col("sig").alias("b"), F.col("shingles").alias("_sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             both = [(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            na, nb = (np.array([len(p[i]) for p in both], np.int64) for i in (0, 1))
+            total = np.array([len(x) + len(y) for x, y in both], np.int64)
             c = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
-            linked = 100 * c >= percent * (na + nb - c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (na, nb, na + nb - 2 * c, linked))], names=["a", "b", "na", "nb", "diff", "linked"])
+            linked = 100 * c >= percent * (total - c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (total - 2 * c, linked))], names=["a", "b", "diff", "linked"])
 
-    pairs = cut_lineage(pairs.select("a", "b").distinct())
     if counted(pairs, BROADCAST_IDS):  # only the sets asked for are shuffled
         left = left.join(F.broadcast(pairs), "a")
         right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     else:
         left = left.join(pairs, "a")
     joined = left.join(right, "b").select("a", "b", "_sa", "_sb")
-    return cut_lineage(joined.mapInArrow(run, "a long, b long, na long, nb long, diff long, linked boolean"))
+    return cut_lineage(joined.mapInArrow(run, "a long, b long, diff long, linked boolean"))
 
 
 def _compatible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -226,9 +288,10 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     reach = (100 + percent) * room >= percent * (F.col("lo") + F.col("lo2"))
     found = heads.join(other, "s").filter((F.col("cluster") < F.col("cluster2")) & near & sizes)
     met = found.groupBy(F.col("cluster").alias("a"), F.col("cluster2").alias("b")).agg(
-        F.count_distinct("s").alias("m"), F.max(reach).alias("reach"), F.min(F.col("alone") & F.col("alone2")).alias("alone"), F.max("p").alias("p1"), F.max("p2").alias("p2"),
+        F.count("*").alias("m"), F.max(reach).alias("reach"), F.min(F.col("alone") & F.col("alone2")).alias("alone"), F.max("p").alias("p1"), F.max("p2").alias("p2"),
         *[f(c).alias(f"{c}_") for f, names in ((F.max, ("hi", "hi2")), (F.min, ("lo", "lo2"))) for c in names],
     )
+    # m counts a list once per block pair, at least as often as there are shingles in common
     # beyond the prefix that ends first, two sets have at most its set's other shingles in common
     behind = (F.greatest("hi_", "hi2_") * percent + 99) / 100 - 1
     enough = (100 + percent) * (F.col("m") + behind) >= percent * (F.col("lo_") + F.col("lo2_"))
@@ -237,21 +300,23 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Component labels of sets: node, label. ``known`` has key and sig of every document."""
+    """Component labels of sets: node, label. ``known`` has key, n_shingles, sig and odd sketch of every document."""
     entries = cut_lineage(entries)
     wanted = entries.select("sig").distinct()
-    one_each = cut_lineage(known.filter("sig is not null").groupBy("sig").agg(F.min(key).alias("_k")).join(wanted, "sig").select("sig", "_k"))
-    ids = one_each.select(F.col("_k"), F.col("sig").alias("_sig"))
-    ids = F.broadcast(ids) if counted(ids, BROADCAST_IDS) else ids
-
-    def stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            wanted = batch.column(0).to_pylist()
-            found = [(d, s.tobytes()) for d, s in zip(wanted, shingle_sets(utf8(batch.column(1)), size), strict=True) if len(s) and digest(s) == d]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["sig", "shingles"])
-
-    texts = docs.select(F.col(key).alias("_k"), text).join(ids, "_k").select("_sig", text)
-    stored = cut_lineage(texts.mapInArrow(stored_sets, "sig long, shingles binary"))  # a key that repeats gives a set twice
+    per_set = known.filter("sig is not null").groupBy("sig").agg(F.min(key).alias("_k"), F.first("n_shingles").alias("n"), F.first("odd").alias("odd"))
+    sketches = cut_lineage(per_set.join(wanted, "sig"))
+    have: list[DataFrame] = []
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs a, b with linked and diff, a lower bound of it where that rules the link out."""
+        possible = _possible(pairs, sketches, percent)
+        left = possible.filter("open").select("a", "b")
+        sigs = left.select(F.col("a").alias("sig")).union(left.select("b")).distinct()
+        for h in have:
+            sigs = sigs.join(h.select("sig"), "sig", "left_anti")
+        have.append(_fetched(docs, cut_lineage(sketches.join(sigs, "sig").select("_k", F.col("sig").alias("_sig"))), key, text, size))
+        exact = _overlap(left, reduce(DataFrame.unionByName, have), percent)
+        return exact.unionByName(possible.filter("not open").select("a", "b", "diff", F.lit(False).alias("linked")))
 
     # leaders: of each size class of a list the set with the fewest rarer shingles, as copies differ by rare ones
     banded = entries.withColumn("band", _band(F.col("n"), percent))
@@ -262,7 +327,7 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
     # where they follow other leaders they may share some more; what this leaves out the block pairs bring back
     hopeful = _reachable(F.col("n") * 1.25 + 4, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
     most = shared.filter(hopeful).groupBy("sig").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("leader"))).alias("m"))
-    first = _overlap(most.select(F.col("sig").alias("a"), F.bitwise_not("m.leader").alias("b")), stored, percent)
+    first = compared(most.select(F.col("sig").alias("a"), F.bitwise_not("m.leader").alias("b")))
     found = first.filter("linked")
     edges = found.select("a", "b")
 
@@ -280,7 +345,7 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
     of = cut_lineage(of.join(mixed_lists, "s"))
 
     pairs = _apart(_block_pairs(of, percent), label)
-    second = _overlap(pairs, stored, percent)
+    second = compared(pairs)
     edges = cut_lineage(edges.unionByName(second.filter("linked").select("a", "b")))
     label = labelled(edges)
 
@@ -300,7 +365,7 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
             .filter((100 + percent) * at_least <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
             .select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
         )
-        third = _overlap(open_ones, stored, percent)
+        third = compared(open_ones)
         edges = cut_lineage(edges.unionByName(third.filter("linked").select("a", "b")))
         label = labelled(edges)
     return label
