@@ -291,6 +291,18 @@ def test_jaccard_join(spark, texts, odd, empty, frequent, monkeypatch):
     assert jaccard_join.near_duplicates(empty).collect() == []
 
 
+@pytest.mark.parametrize("sizes", [(1, 1), (5, 300), (300, 310), (4_000, 9_000)])
+def test_odd_sketches_bound_the_difference(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    for common in (0, 1, min(sizes) // 2, min(sizes)):
+        x, y = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in sizes)
+        y[:common] = x[:common]
+        diff = len(set(x.tolist()) ^ set(y.tolist()))
+        bound = jaccard_join._differing(*(jaccard_join.odd_sketch(np.unique(v)) for v in (x, y)))
+        assert bound <= diff and (bound > 0 or diff < 2 or common)
+    assert jaccard_join._differing(jaccard_join.odd_sketch(x), jaccard_join.odd_sketch(x)) == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101)], "a long, b long")
     label = {r["node"]: r["label"] for r in components.components(edges).collect()}
