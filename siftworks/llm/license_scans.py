@@ -48,7 +48,7 @@ def variants(words: list[str], filler: list[str], rng: np.random.Generator, n: i
     for _ in range(n):
         w = [x for x in words if rng.random() > 0.08]
         for _ in range(int(rng.integers(0, 3))):
-            w.insert(int(rng.integers(0, len(w) + 1)), str(rng.choice(filler)))
+            w.insert(int(rng.integers(0, len(w) + 1)), filler[int(rng.integers(0, len(filler)))])
         out.append(w or words)
     return out
 
@@ -61,7 +61,7 @@ class LicenceModel:
         names = sorted({g for texts in own.values() for w in texts for g in grams(w)})
         self.index = {g: i for i, g in enumerate(names)}
         paragraphs = [w for w in map(tokens, corpus) if w and not self._like_template(w)]
-        filler = sorted({x for w in paragraphs for x in w})[:5000] or ["the"]
+        filler = sorted({x for w in paragraphs for x in w}) or ["the"]
         rows = [(FAMILIES.index(f), v) for f, texts in own.items() for w in texts for v in variants(w, filler, rng)]
         rows += [(len(TEMPLATES), w) for w in paragraphs]
         template_words = sorted({x for texts in own.values() for w in texts for x in w})
@@ -128,11 +128,25 @@ class LicenceModel:
         return FAMILIES[best], float(p[best]), self.similarity(words, FAMILIES[best])
 
 
+def sample(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, text: str = "text") -> list[str]:
+    """The ``max_rows`` distinct paragraphs with the smallest hashes among all of at most ``max_chars`` characters.
+
+    Only paragraphs below a hash that leaves about twice as many are compared; it rises until enough are left. Copies share
+    a hash and are merged before they are counted.
+    """
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("p")).filter(F.length("p").between(1, max_chars)).select(F.xxhash64("p").alias("h"), "p")
+    share = min(1.0, 2 * max_rows / max(1, lines.agg(F.approx_count_distinct("h")).first()[0]))
+    while True:
+        below = lines.filter(F.col("h") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
+        found = below.groupBy("h", "p").agg(F.lit(0)).orderBy("h", "p").limit(max_rows).collect()
+        if len(found) == max_rows or share == 1.0:
+            return [r["p"] for r in found]
+        share = min(1.0, 4 * share)
+
+
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, text: str = "text") -> LicenceModel:
-    """Unknown paragraphs are the ``max_rows`` with the smallest hashes among all of at most ``max_chars`` characters."""
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("p")).filter(F.length("p").between(1, max_chars))
-    some = lines.select(F.xxhash64("p").alias("h"), "p").orderBy("h", "p").limit(8 * max_rows)  # the sample holds copies
-    return LicenceModel(sorted({r["p"] for r in some.select("p").distinct().orderBy("p").collect()})[:max_rows])
+    """Unknown paragraphs are the ``max_rows`` with the smallest hashes among all different ones of at most ``max_chars`` characters."""
+    return LicenceModel(sample(docs, max_rows, max_chars, text))
 
 
 def scan(docs: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -364,6 +364,16 @@ def test_license_scans(docs, odd, empty):
     assert license_scans.scan(odd, model).collect() == [] and license_scans.scan(empty, license_scans.train(empty)).collect() == []
 
 
+def test_license_sample_is_of_different_lines(spark):
+    lines = [f"{chr(65 + i % 26)}line {i} of the corpus" for i in range(6000)]
+    hot = spark.range(40_000).selectExpr("id as doc_id", "'Aone line that every page of a site repeats' as text")
+    own = spark.createDataFrame([(i, "\n".join(lines[i : i + 10])) for i in range(0, 6000, 10)], "doc_id long, text string")
+    got = license_scans.sample(own.unionByName(hot))
+    every = spark.createDataFrame([(x,) for x in [*lines, "Aone line that every page of a site repeats"]], "p string")
+    assert got == [r["p"] for r in every.selectExpr("p", "xxhash64(p) h").orderBy("h", "p").limit(license_scans.MAX_ROWS).collect()]
+    assert len({x[0] for x in got}) == 26 and len(license_scans.sample(hot)) == 1
+
+
 def test_secret_scans(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = secret_scans.scan(docs).collect()
