@@ -3,6 +3,7 @@ repeated rows, empty tables and extra columns whose names clash."""
 
 import collections
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -374,6 +375,20 @@ def test_license_sample_is_of_different_lines(spark):
     assert len({x[0] for x in got}) == 26 and len(license_scans.sample(hot)) == 1
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_license_notices_that_are_wrapped(docs, mark):
+    model = license_scans.train(docs)
+    for family, notices in license_scans.TEMPLATES.items():
+        for t in notices:
+            for lead in ([], ["One line of prose goes before this notice", ""], ["int main of the programme stands here without a blank line."]):
+                wrapped = textwrap.wrap(t, 72 - len(mark))
+                text = "\n".join([*lead, *(mark + x for x in wrapped), mark.rstrip(), "Some words after it."])
+                rows = [r for r in model.paragraphs(text) if r[4] >= license_scans.CONFIRM]
+                assert [(r[0], r[1], r[2]) for r in rows] == [(len(lead), len(wrapped), family)], (t, lead)
+    twice = "\n".join(textwrap.wrap(license_scans.TEMPLATES["mit"][1], 72) * 2)
+    assert [r[:3] for r in model.paragraphs(twice)] == [(0, 3, "mit"), (3, 3, "mit")]
+
+
 def test_secret_scans(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = secret_scans.scan(docs).collect()
