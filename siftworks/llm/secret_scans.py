@@ -1,13 +1,15 @@
 """Secret scans: wide candidates, narrowed by a random forest.
 
-Candidates are words that hold a run of at least ``MIN_LENGTH`` key characters with a digit or a change of case. Features:
+Candidates are words that hold a run of at least ``MIN_LENGTH`` key characters with a digit or a change of case, and every
+word or value beside a secret name (within two words, or behind its equals sign or colon), whatever its length or
+alphabet. Features:
 length, shares of character classes, transitions between classes and from vowel to consonant, distinct characters,
 dictionary coverage (letter runs that the corpus uses as words), the name before an equals sign or colon, the words around,
 and how often the candidate's source has candidates with such a name.
 
 Labelled findings come from rules that decide only the clear cases: a known key format or an assignment to a secret name
-is real; addresses, card numbers, runs of words and repeated characters are false. The forest learns from at most
-``MAX_ROWS`` of them and decides all candidates. Expressions and spark.ml only.
+is real; addresses, card numbers, runs of words that are not assigned to a secret name and repeated characters are false.
+The forest learns from at most ``MAX_ROWS`` different ones of each class and decides all candidates. Expressions and spark.ml only.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ TREES, DEPTH, SEED = 40, 6, 7
 BROADCAST_ROWS = 500_000
 KEY_RUN = r"[A-Za-z0-9_+/=-]{12,}"
 SECRET_NAME = r"(?i)(pass(word|wd)?|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
+#: Two words before: a name and a sign or verb that assigns; or one word before: a name with the sign.
+ASSIGNS = r"(=|:|:=|=>|->|==|is|was|lautet|est|es)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx)"
 #: Public key formats (fixed values).
 FORMATS = r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
@@ -36,19 +40,34 @@ FEATURES = ("n", "digits", "uppers", "lowers", "hexes", "marks", "switches", "vo
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, word_index, value, name, near (two words on either side)."""
-    looks = lambda w: w.rlike(KEY_RUN) & (w.rlike("[0-9]") | w.rlike("[a-z][A-Z]"))
+    """key, source, word_index, word, near (two words on either side), name, value, wide, assigned (to a secret name)."""
+    looks = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike(KEY_RUN) & (w.rlike("[0-9]") | w.rlike("[a-z][A-Z]"))
+    beside = lambda i: F.array(i - 2, i - 1, i + 1, i + 2)
 
     def found(words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) >= MIN_LENGTH) & looks(x["w"]))
-        near = lambda i: F.array_join(F.transform(F.array(i - 2, i - 1, i + 1, i + 2), lambda k: F.coalesce(F.get(words, k), F.lit(""))), " ")
-        return F.transform(at, lambda x: F.struct(x["i"].alias("word_index"), x["w"].alias("word"), near(x["i"]).alias("near")))
+        near = lambda i: F.transform(beside(i), lambda k: F.coalesce(F.get(words, k), F.lit("")))
+        cell = lambda w, i: F.struct(i.alias("word_index"), w.alias("word"), near(i).alias("around"), looks(w).alias("wide"))
+
+        def with_names(names: Column) -> Column:  # places of words that hold a secret name
+            wanted = F.array_distinct(F.flatten(F.transform(names, lambda i: F.array(i - 2, i - 1, i, i + 1, i + 2))))
+            named = F.filter(wanted, lambda i: (i >= 0) & (i < F.size(words)))
+            every = F.array_union(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: looks(F.get(words, i))), named)
+            return F.transform(every, lambda i: cell(F.get(words, i), i))
+
+        places = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(SECRET_NAME), i)), lambda i: i.isNotNull())
+        return F.when(F.size(words) > 0, let(places, with_names))
 
     rows = docs.select(F.col(key), F.col(source), F.explode(let(words_of(F.col(text)), found)).alias("_c")).select(key, source, "_c.*")
     assigned = F.regexp_extract("word", r"^[\"'({\[]*([A-Za-z][A-Za-z0-9_.-]*)[\"']?[=:]", 1)
     after = F.regexp_replace("word", r"^[\"'({\[]*[A-Za-z][A-Za-z0-9_.-]*[\"']?[=:]+", "")
-    value = F.regexp_replace(F.when((assigned != "") & (F.length(after) >= 8), after).otherwise(F.col("word")), r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", "")
-    return rows.withColumn("name", assigned).withColumn("value", value).filter(F.length("value") >= 8)
+    own = assigned.rlike(SECRET_NAME) & (after != "")
+    bare = F.when((assigned != "") & ((F.length(after) >= 8) | own), after).otherwise(F.col("word"))
+    value = F.when(F.col("named_value"), F.regexp_replace(bare, r"^[\"'({\[<]+|[\"')}\]>,;.]+$", "")).otherwise(F.regexp_replace(bare, r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", ""))
+    before = F.col("around")[1]
+    told = before.rlike(SECRET_NAME + r"\S*[=:]+[\"']?$") | (F.col("around")[0].rlike(SECRET_NAME) & before.rlike(f"(?i)^{ASSIGNS}$"))
+    rows = rows.withColumn("name", assigned).withColumn("assigned", own | told).withColumn("named_value", F.col("assigned") & ~F.col("wide")).withColumn("value", value)
+    rows = rows.withColumn("near", F.array_join("around", " ")).filter(F.when(F.col("wide"), F.length("value") >= 8).otherwise(F.col("value") != ""))
+    return rows.drop("around", "named_value")
 
 
 def _share(value: str, pattern: str) -> Column:
@@ -91,8 +110,9 @@ def with_features(found: DataFrame, docs: DataFrame, key: str = "doc_id", text:
 
 def labelled(found: DataFrame) -> DataFrame:
     """Adds label: 1 real, 0 false, NULL where the rules don't decide."""
-    real = F.col("value").rlike(f"^({FORMATS})$") | ((F.col("named") + F.col("named_near") > 0) & (F.col("placeholder") == 0) & (F.col("digits") > 0.15) & (F.col("distinct") > 0.15) & (F.col("address") == 0))
-    false = (F.col("address") == 1) | (F.col("dictionary") > 0.6) | (F.col("placeholder") == 1) | (F.col("distinct") < 0.12)
+    sure = F.col("wide") | F.col("assigned")  # a name nearby is no assignment
+    real = F.col("value").rlike(f"^({FORMATS})$") | (sure & (F.col("named") + F.col("named_near") > 0) & (F.col("placeholder") == 0) & (F.col("digits") > 0.15) & (F.col("distinct") > 0.15) & (F.col("address") == 0))
+    false = (F.col("address") == 1) | ((F.col("dictionary") > 0.6) & (F.col("wide") | ~F.col("assigned"))) | (F.col("placeholder") == 1) | (F.col("distinct") < 0.12)
     return found.withColumn("label", F.when(real, 1.0).when(false, 0.0))
 
 
@@ -103,13 +123,16 @@ def scan(docs: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", text: s
     one class only, or none, the score is the rule's label, 0.5 where it is open. Other columns are not read.
     """
     found = cut_lineage(labelled(with_features(candidates(docs, key, text, source), docs, key, text, source)))
-    known = found.filter("label is not null").orderBy(F.xxhash64("value", "word_index"), "value").limit(max_rows)
+    each = found.filter("label is not null").groupBy("value", "near", "label").agg(F.min(F.struct(*FEATURES)).alias("_f")).select("value", "near", "label", "_f.*")
+    each = cut_lineage(each)
+    picked = [each.filter(F.col("label") == y).orderBy(F.xxhash64("value", "near"), "value", "near").limit(max_rows) for y in (0.0, 1.0)]
+    known = cut_lineage(picked[0].unionByName(picked[1]))
     classes = [r["label"] for r in known.select("label").distinct().collect()]
     keep = [key, "word_index", "value", "near", "name", "label"]
     if len(classes) < 2:
         scored = found.select(*keep, F.coalesce("label", F.lit(0.5)).alias("score"))
     else:
         forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(cut_lineage(known))
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(known)
         scored = model.transform(found).select(*keep, vector_to_array("probability")[1].alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= 0.5)

@@ -404,6 +404,20 @@ def test_secret_scans(spark, odd, empty):
     assert all(r["score"] == 0.5 or r["label"] is not None for r in secret_scans.scan(odd).collect())
 
 
+def test_words_beside_a_secret_name_are_candidates(spark):
+    from pyspark.sql import functions as F
+
+    own = spark.createDataFrame([(1, "the password: hunter2x9 then", "a"), (2, "secret = Tr0ub4dor&3", "a"), (3, "api_key: correct-horse-battery", "a"), (4, "PASSWORD=a&b", "a"), (5, "no name stands beside short7words", "a")], "doc_id long, text string, source string")
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").withColumn("doc_id", F.col("doc_id") + 1000)
+    copies = spark.range(25_000).selectExpr("id + 100000 as doc_id", "'mail to someone@example.com now' as text", "'b' as source")
+    rows = [r for r in secret_scans.scan(own.unionByName(real)).collect() if r["doc_id"] < 1000]
+    got = {(r["doc_id"], r["value"]): r for r in rows}
+    assert {(1, "hunter2x9"), (2, "Tr0ub4dor&3"), (3, "correct-horse-battery"), (4, "a&b")} <= got.keys() and not any(d == 5 for d, _ in got)
+    assert got[1, "hunter2x9"]["is_secret"] and got[2, "Tr0ub4dor&3"]["is_secret"] and not any(r["is_secret"] for r in rows if r["value"] in ("the", "then", "password"))
+    scores = {r["doc_id"]: r["score"] for r in secret_scans.scan(own.unionByName(copies)).filter("doc_id < 1000 and value in ('hunter2x9', 'Tr0ub4dor&3')").collect()}
+    assert len(scores) == 2 and all(0.5 <= x <= 1.0 for x in scores.values())
+
+
 def test_url_filters(spark):
     day = lambda d: f"2024-01-{d:02d}"
     entries = [("bad.com", day(5), True), ("bad.com", day(10), False), ("bad.com", day(20), True), ("x.org/p", day(1), True), ("tie.net", day(3), True), ("tie.net", day(3), False), (None, day(1), True)]
