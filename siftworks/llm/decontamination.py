@@ -3,8 +3,9 @@
 1. A window can only be similar to an item if it shares a word shingle with one. Positions where a document holds a
    shingle of the benchmark give the windows of item size that align with an item there.
 2. Each window and item gets a 64-bit SimHash of its words. Fingerprints are cut into ``BLOCKS`` blocks; two that differ
-   in at most ``RADIUS`` bits differ in at most RADIUS // BLOCKS = 1 bit in some block. So an item, entered under each
-   of its blocks and their one-bit neighbours, meets every window within the radius.
+   in at most r bits differ in at most r // BLOCKS bits in some block. So an item, entered under each of its blocks and
+   their neighbours of so many bits, meets every window within the radius: ``RADIUS`` for items of one shingle, whose
+   similar windows are equal to them, and ``REACH`` for all longer ones.
 3. A candidate is confirmed by the weighted Jaccard similarity of the two shingle multisets. Weight of a shingle:
    log(1 + items / items that hold it); shingles that the item doesn't hold weigh as if one item held them.
 
@@ -23,6 +24,9 @@ from .common import ascii_lower, counted, words_of
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 15
+REACH = 23
+#: Sums of weights in another order differ by less.
+ROUNDING = 1e-9
 #: Rows of benchmark shingles, and documents with candidates, that may be sent to every task.
 BROADCAST_ROWS = 500_000
 
@@ -116,15 +120,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     windows = cut_lineage(windows.withColumn("fingerprint", simhash(F.col("words"))))
 
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    near = [0] + [1 << b for b in range(BITS // BLOCKS)]
+    width = BITS // BLOCKS
+    radius = lambda short: RADIUS if short else REACH
+    masks = lambda short: F.array(*[F.lit(m) for m in range(1 << width) if m.bit_count() <= radius(short) // BLOCKS])
+    short = F.col("n") <= SHINGLE
     entered = items.select("item", "words", "n", "fingerprint", block.alias("block"))
-    entered = entered.select("item", F.col("words").alias("item_words"), "n", F.col("fingerprint").alias("item_print"), "block", F.explode(F.transform(F.array(*map(F.lit, near)), lambda x: _block(F.col("fingerprint"), F.col("block")).bitwiseXOR(x))).alias("value"))
+    entered = entered.select("item", F.col("words").alias("item_words"), "n", F.col("fingerprint").alias("item_print"), "block", F.explode(F.transform(F.when(short, masks(True)).otherwise(masks(False)), lambda x: _block(F.col("fingerprint"), F.col("block")).bitwiseXOR(x))).alias("value"))
     asked = windows.select("d", "start", "n", "words", "fingerprint", block.alias("block")).withColumn("value", _block(F.col("fingerprint"), F.col("block")))
-    close = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS
+    close = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= F.when(short, radius(True)).otherwise(radius(False))
     pairs = asked.join(entered, ["n", "block", "value"]).filter(close).select("d", "start", "n", "words", "item", "item_words").distinct()
     weighted = _weighted_items(items).select(F.col("item").alias("_i"), F.col("words").alias("_iw"), "size", "entries", "unknown")
     judged = pairs.join(weighted, F.col("item").eqNullSafe(F.col("_i")) & (F.col("item_words") == F.col("_iw")))
     own = let(F.col("words"), lambda w: _shingles(w, F.col("size")))
-    judged = judged.withColumn("similarity", let(own, lambda s: similarity(F.col("entries"), F.col("unknown"), s))).filter(F.col("similarity") >= least)
+    judged = judged.withColumn("similarity", let(own, lambda s: similarity(F.col("entries"), F.col("unknown"), s))).filter(F.col("similarity") >= least - ROUNDING)
     best = judged.groupBy("d", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n")).alias("b"))
     return best.select(F.col("d").alias(key), F.col("item").alias("item_id"), (-F.col("b.start")).alias("start_word"), F.col("b.n").alias("n_words"), F.col("b.similarity").alias("similarity"))

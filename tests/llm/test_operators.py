@@ -248,6 +248,21 @@ def test_hamming_blocks_find_all_within_the_radius(spark):
             assert any(bin(x ^ y).count("1") <= 1 for x, y in parts)
 
 
+def test_borderline_windows_are_found(spark):
+    """Items whose first words are replaced so that 0.80 to 0.85 of the shingles are shared."""
+    rng = np.random.default_rng(12)
+    items, docs = [], []
+    for i in range(1200):
+        n = int(rng.choice([31, 40, 49, 58, *range(31, 60)]))
+        k = next(k for k in range(n, 0, -1) if (n - 4 - k) / (n - 4 + k) >= 0.8)
+        words = [f"i{i}w{j}" for j in range(n)]
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join([f"d{i}x{j}" for j in range(k)] + words[k:])))
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()}
+    assert got.keys() == {(i, i) for i in range(1200)} and 0.8 - 1e-9 <= min(got.values()) <= max(got.values()) <= 0.85
+
+
 def _brute_components(own):
     sets = {i: set(shingle_set(t).tolist()) for i, t in own.items()}
     parent = {i: i for i in own}
