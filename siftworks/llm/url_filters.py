@@ -2,8 +2,8 @@
 
 List entries are dated: from that day on a pattern is listed or no longer listed. Sorted by day, the entries of a pattern
 become validity intervals that do not overlap, so the as-of join of a capture is an equi-join on the pattern with the
-fetch day inside the interval. A capture asks for its host, every parent domain, and its host with the first path
-segments. Patterns of one host with very many captures are rows of a plain join, which the engine splits when skewed.
+fetch day inside the interval. A capture asks for its host, every parent domain, and its host with every path prefix that
+is no longer than the longest path of the entries. Patterns of one host with very many captures are rows of a plain join, which the engine splits when skewed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ..session import cut_lineage
 
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-#: Path segments that a pattern may have after its host.
+#: Path segments that a pattern of the derived list has after its host at most.
 SEGMENTS = 2
 
 
@@ -23,13 +23,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), AUTHORITY, 2))
 
 
-def patterns_of(url: Column) -> Column:
-    """Host, parent domains of two labels or more, and host with up to SEGMENTS path segments. None without a host."""
+def patterns_of(url: Column, segments: int = SEGMENTS) -> Column:
+    """Host, parent domains of two labels or more, and host with up to ``segments`` path segments. None without a host."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda x: x != "")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS)), lambda i: F.when((i > 0) & (i <= F.size(parts)), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    paths = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(segments))), lambda i: F.when((i > 0) & (i <= F.size(parts)), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.array_compact(paths))))
 
 
@@ -49,7 +49,8 @@ def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: st
     are one. Ties of pattern length go to the smaller one. Other columns are not read.
     """
     spans = cut_lineage(intervals(entries)).select(F.col("pattern").alias("_p"), "valid_from", "valid_to")
-    asked = captures.select(key, url, fetched, F.explode_outer(patterns_of(F.col(url))).alias("_q"))
+    longest = spans.agg(F.max(F.length("_p") - F.length(F.replace("_p", F.lit("/"), F.lit(""))))).first()[0] or 0
+    asked = captures.select(key, url, fetched, F.explode_outer(patterns_of(F.col(url), longest)).alias("_q"))
     active = (F.col("_q") == F.col("_p")) & (F.col(fetched) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(fetched) < F.col("valid_to")))
     met = asked.join(spans, active, "left")
     best = F.min(F.when(F.col("_p").isNotNull(), F.struct((-F.length("_p")).alias("n"), F.col("_p").alias("p"))))

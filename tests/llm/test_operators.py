@@ -444,6 +444,12 @@ def test_url_filters(spark):
     assert url_filters.judge(c.limit(0), e).collect() == [] and not any(r["blocked"] for r in url_filters.judge(c, e.limit(0)).collect())
 
 
+def test_url_filters_of_long_paths(spark):
+    e = spark.createDataFrame([("x.org/a/b/c", "2024-01-01", True), ("x.org/a/b/c/d", "2024-01-01", True)], "pattern string, dated string, listed boolean").withColumn("dated", F_date("dated"))
+    c = spark.createDataFrame([(1, "http://x.org/a/b/c/d?q", "2024-01-02"), (2, "http://x.org/a/b/c/e/f", "2024-01-02"), (3, "http://x.org/a/b", "2024-01-02")], "page_id long, url string, fetched string").withColumn("fetched", F_date("fetched"))
+    assert {r["page_id"]: (r["n_matches"], r["pattern"]) for r in url_filters.judge(c, e).collect()} == {1: (2, "x.org/a/b/c/d"), 2: (1, "x.org/a/b/c"), 3: (0, None)}
+
+
 def F_date(name):
     from pyspark.sql import functions as F
 
