@@ -9,8 +9,9 @@ Training (on at most ``max_rows`` labelled rows, picked by a hash of their id):
 
 Matching walks a word through the lexicon trie and the Levenshtein automata of all terms at once: a state is the set of
 (trie node, edits) pairs that can still lead to a term, and the transitions found are kept. Most words die after two or
-three characters. Window of a hit: the words around it. A hit inside quotation marks or beside a verb of reporting counts
-as quotation, all others as use.
+three characters. Stems may be misspelt as whole words may, in words of five letters or more. Window of a hit: the words
+around it. A hit inside quotation marks or beside a verb of reporting counts as quotation, all others as use. Opening marks
+stand before a word, closing ones behind it, so apostrophes within words are none; marks pair up in a sentence or window.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ MIN_STEM, MAX_STEM = 4, 12
 WINDOW = 6
 THRESHOLD = 0.3
 QUOTES = "\"'“”„«»‘’"
+KINDS = {**dict.fromkeys("\"“”„", "double"), **dict.fromkeys("'‘’", "single"), **dict.fromkeys("«»", "angle")}
 EDGE = QUOTES + ".,;:!?()[]{}*#$%&|<>-_…¿¡"
 REPORTING = frozenset("said says say wrote writes quoted quote quotes called reported word term dit écrit sagte schrieb dijo escribió".split())
 
@@ -47,7 +49,7 @@ class LexiconAutomaton:
         self.edits_from = edits_from
         for terms, ends in ((whole, self.whole), (stems, self.stem)):
             for term in sorted(terms):
-                node, edits = 0, sum(len(term) >= n for n in edits_from) if ends is self.whole else 0
+                node, edits = 0, self._edits(term)
                 self.allowed[0] = max(self.allowed[0], edits)
                 for c in term:
                     if c not in self.children[node]:
@@ -59,6 +61,9 @@ class LexiconAutomaton:
                 ends[node] = term
         self._forget()
 
+    def _edits(self, term: str) -> int:
+        return sum(len(term) >= n for n in self.edits_from)
+
     def _forget(self) -> None:
         start = self._closed({(0, 0)})
         self.ids = {start: 0}
@@ -78,11 +83,12 @@ class LexiconAutomaton:
             todo += [(child, edits + 1) for child in self.children[node].values()]
         return frozenset(best.items())
 
-    def _finds(self, state: frozenset) -> tuple[tuple[str, int] | None, str | None]:
-        """The whole-word term (with its edits) and the stem that end in this state."""
-        whole = min(((e, self.whole[n]) for n, e in state if n in self.whole and e <= sum(len(self.whole[n]) >= k for k in self.edits_from)), default=None)
+    def _finds(self, state: frozenset) -> tuple[tuple[str, int] | None, str | None, tuple[int, str] | None]:
+        """The whole-word term (with its edits), the stem and the misspelt stem (with its edits) that end in this state."""
+        whole = min(((e, self.whole[n]) for n, e in state if n in self.whole and e <= self._edits(self.whole[n])), default=None)
         stem = max((self.stem[n] for n, e in state if n in self.stem and e == 0), key=len, default=None)
-        return (whole[1], whole[0]) if whole else None, stem
+        near = min(((e, self.stem[n]) for n, e in state if n in self.stem and 0 < e <= self._edits(self.stem[n])), default=None)
+        return (whole[1], whole[0]) if whole else None, stem, near
 
     def _move(self, at: int, c: str) -> int:
         pairs: set[tuple[int, int]] = set()
@@ -103,17 +109,22 @@ class LexiconAutomaton:
         """The term a word stands for and how many edits away it is."""
         if len(self.sets) > self.MAX_STATES:
             self._forget()
-        at, stem = 0, None
+        at, stem, near = 0, None, None
         for c in word:
             to = self.moves[at].get(c)
             at = self._move(at, c) if to is None else to
-            stem = self.found[at][1] or stem
+            _, exact, misspelt = self.found[at]
+            stem = exact or stem
+            if misspelt and (near is None or misspelt < near):
+                near = misspelt
             if not self.sets[at]:
-                return (stem, 0) if stem else None
+                break
         whole = self.found[at][0]
-        if whole and (whole[1] == 0 or not stem):
-            return whole
-        return (stem, 0) if stem else None
+        if stem and not (whole and whole[1] == 0):
+            return stem, 0
+        if near and len(word) >= self.edits_from[0] and (whole is None or near[0] < whole[1]):
+            return near[1], near[0]
+        return whole
 
 
 def lower_words(text: str) -> list[str]:
@@ -124,6 +135,33 @@ def bare(word: str) -> str:
     return word.strip(EDGE)
 
 
+def quoted_words(words: list[str]) -> set[int]:
+    """Places of the words between an opening quotation mark and the next closing one of its kind, when both stand in one
+    sentence or in the window around a word."""
+    out: set[int] = set()
+    opened: dict[str, tuple[int, int]] = {}
+    sentence = 0
+    for i, w in enumerate(words):
+        core = w.strip(EDGE)
+        cut = w.index(core) if core else 0
+        lead, trail = w[:cut], w[cut + len(core) :]
+        for c in lead:
+            if c in KINDS:
+                opened[KINDS[c]] = (i, sentence)
+        for c in trail:
+            kind = KINDS.get(c)
+            if kind is None:
+                continue
+            if kind in opened:
+                start, of = opened.pop(kind)
+                if of == sentence or i - start <= 2 * WINDOW:
+                    out.update(range(start, i + 1))
+            elif not core:  # a mark by itself
+                opened[kind] = (i, sentence)
+        sentence += any(c in ".!?…" for c in trail)
+    return out
+
+
 @dataclass
 class ToxicityModel:
     whole: list[str] = field(default_factory=list)
@@ -166,13 +204,12 @@ class ToxicityModel:
         if not found:
             return (0.0, 0.0, 0.0, 0.0)
         exact = near = quoted = 0
-        quote_depth = np.cumsum([sum(c in QUOTES for c in w) for w in words]) if any(q in (text or "") for q in QUOTES) else None
+        in_quotes = quoted_words(words) if any(q in (text or "") for q in QUOTES) else set()
         for i, w in enumerate(words):
             if w not in found:
                 continue
             window = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            inside = quote_depth is not None and (any(c in QUOTES for c in (w[0], w[-1])) or quote_depth[i] % 2 == 1)
-            if inside or any(bare(x) in REPORTING for x in window):
+            if i in in_quotes or any(bare(x) in REPORTING for x in window):
                 quoted += 1
             elif self.hits[w][1]:
                 near += 1

@@ -350,6 +350,23 @@ def test_automaton_finds_what_the_distance_allows():
     assert automaton.match("loweischaft") == ("lowei", 0) and automaton.match("lowi") is None
 
 
+def test_misspelt_stems_are_found():
+    automaton = toxicity.LexiconAutomaton(["idiot"], ["worthless", "disgustingly"])
+    assert automaton.match("worthles") == ("worthless", 1) and automaton.match("wrothless") is None
+    assert automaton.match("worthlessness") == ("worthless", 0) and automaton.match("worhtless") is None
+    assert automaton.match("worthlesness") == ("worthless", 1) and automaton.match("disgusstinglly") == ("disgustingly", 2)
+    assert automaton.match("idiiot") == ("idiot", 1) and automaton.match("worth") is None
+
+
+def test_apostrophes_are_no_quotation_marks():
+    model = toxicity.ToxicityModel(["idiot", "moron"], [], weights=[-2.0, 3.0, 1.5, 0.3, 0.1])
+    plain = model.features("you are an idiot and a moron")
+    for t in ("they don't know that you are an idiot and a moron", "l'homme, you are an idiot and a moron", "the dogs' owner is an idiot and a moron", "it's 'em and you're an idiot and a moron", "\"unclosed . and then . you are here and you are such an idiot and a moron today"):
+        assert model.features(t)[0] == plain[0] and model.features(t)[2] == 0.0, t
+    for t in ("they don't use 'idiot' or ‘moron’ here", "it was “an idiot, a moron” there", "„idiot“ und »moron«", "don't read \"you idiot. you moron\" now"):
+        assert model.features(t)[0] == 0.0 and model.features(t)[2] == plain[0], t
+
+
 def test_toxicity(spark, docs, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
