@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import table
-from . import decontamination, jaccard_join, license_scans, line_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from . import bpe_codec, decontamination, jaccard_join, lexical_search, license_scans, line_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters, whitening
 from .common import ORACLES, QUERIES, query
-from .tokens import public_path
+from .tokens import public_path, public_pattern
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -73,6 +73,24 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+@query("op11_whitening")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_bpe_codec")
+def bpe_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file, pattern = public_path("byte_bpe_multi_50k.tiktoken"), public_pattern()
+    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), file, pattern), file, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -20,6 +20,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def public_pattern() -> str:
+    """The pattern that goes with the files of ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _byte_of_symbol() -> dict[str, int]:
     """The printable symbol that stands for each byte in a byte-level vocabulary file."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
