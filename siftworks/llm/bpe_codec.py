@@ -31,7 +31,9 @@ from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -75,7 +77,6 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.source = pattern
         self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.joins: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int | None] = {}
@@ -97,8 +98,8 @@ class Codec:
         if missing:
             raise ValueError(f"no token for the bytes {missing[:5]}")
         self.compatible = Recent(self._compatible, 300_000)
-        self.pieces = Recent(self._piece, 300_000)
-        self.chunks = Recent(self._chunk, 400_000)
+        self.pieces = Recent(self._piece, 50_000)
+        self.chunks = Recent(self._chunk, 500_000)
         self.kinds = Recent(self._kind, 10_000)
 
     def _last_join(self, token: bytes) -> tuple[int, int] | None:
@@ -114,6 +115,8 @@ class Codec:
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether joining leaves the border between two adjacent tokens alone."""
         left, right = pair
+        if left < 0:  # nothing stands before
+            return True
         before = 1 << 62  # joins across the border from this rank on come too late
         while True:
             if self.joins.get((left, right), 1 << 62) < before:
@@ -136,23 +139,27 @@ class Codec:
             return [self.ranks[piece]]
         text, longest, compatible, shorter, size = piece.decode("latin-1"), self.longest.iter_long, self.compatible, self.shorter, self.size
         out = [i for _, i in longest(text)]  # every byte is a token, so the matches leave no gap
-        stands = next((k for k, pair in enumerate(pairwise(out), 1) if not compatible[pair]), None)
-        if stands is None:
+        for stands, ok in enumerate(map(compatible.__getitem__, pairwise(out)), 1):
+            if not ok:
+                break
+        else:
             return out
         n, reach, open_ = len(piece), self.reach, bytearray(b"\1") * (len(piece) + 1)
         token: int | None = out[stands]
         del out[stands:]
-        at = sum(map(size.__getitem__, out))
+        at, last = sum(map(size.__getitem__, out)), out[-1]
         while True:
-            while token is not None and not (open_[at + size[token]] and (not out or compatible[out[-1], token])):
+            while token is not None and not (open_[at + size[token]] and compatible[last, token]):
                 token = shorter[token]
             if token is None:  # nothing fits here: the token before has to be another one
                 open_[at] = 0
                 token = out.pop()
                 at -= size[token]
                 token = shorter[token]
+                last = out[-1] if out else -1
                 continue
             out.append(token)
+            last = token
             at += size[token]
             if at == n:
                 return out
@@ -168,29 +175,28 @@ class Codec:
         return "a" if ask.encode_ordinary(f"x{char}") == [256] else "1" if ask.encode_ordinary(f"1{char}") == [257] else "!"
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        known = self.pieces
         if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():
-            return known[chunk]
+            return tuple(self.merged(chunk.encode()))
         unknown = () if chunk.isascii() else {c for c in chunk if unicodedata.category(c) == "Cn"}
         shape = chunk.translate({ord(c): self.kinds[c] for c in unknown}) if unknown else chunk
-        return tuple(chain.from_iterable(known[chunk[m.start() : m.end()]] for m in self.pattern.finditer(shape)))
+        return tuple(chain.from_iterable(self.pieces[chunk[m.start() : m.end()]] for m in self.pattern.finditer(shape)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.chunks.__getitem__, _CHUNK.findall(text or ""))))
 
-    def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids or ()))
-
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One codec per Python worker, file and pattern."""
     if (path, pattern) not in _CODECS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _CODECS[path, pattern] = Codec(ranks, pattern)
+        _CODECS[path, pattern] = Codec(ranks_of(path), pattern)
     return _CODECS[path, pattern]
 
 
@@ -207,13 +213,23 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def bytes_of_lists(ids: pa.ListArray, token: pa.LargeBinaryArray) -> pa.Array:
+    """The bytes of each list of ids, as places in ``token``: the tokens of all lists are laid end to end, and a list's bytes
+    are what lies between its first and last."""
+    laid = token.take(ids.flatten())
+    ends = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1]
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[np.append(0, np.cumsum(sizes))]), laid.buffers()[2]]).cast(pa.binary())
+
+
+def decode(encoded: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, ids and their bytes (decoded). NULL ids decode to no bytes; an id outside the file is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = codec(ranks, pattern)
+        of = {i: b for b, i in ranks_of(ranks).items()}
+        token = pa.array([of.get(i) for i in range(max(of) + 1)], pa.large_binary())
         for batch in slices(batches, 64):
-            found = pa.array([enc.decode(x) for x in batch.column(1).to_pylist()], pa.binary())
+            found = bytes_of_lists(batch.column(1), token)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=[key, ids, "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()

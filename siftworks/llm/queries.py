@@ -81,7 +81,7 @@ def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bpe_codec")
 def bpe_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     file, pattern = public_path("byte_bpe_multi_50k.tiktoken"), public_pattern()
-    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), file, pattern), file, pattern)
+    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), file, pattern), file)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

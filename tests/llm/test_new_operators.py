@@ -148,9 +148,7 @@ def test_bpe_ids_are_those_of_the_library(spark, odd, library):
     texts += ["ab" * 50_000, "的" * 20_000, "".join(rng.choice("abcdefgh") for _ in range(50_000))]
     own = bpe_codec.codec(RANKS, public_pattern())
     for t in texts:
-        ids = own.encode(t)
-        assert ids == library.encode_ordinary(t)
-        assert own.decode(ids) == t.encode()
+        assert own.encode(t) == library.encode_ordinary(t)
 
 
 def test_characters_are_classed_as_the_library_does(library):
@@ -195,12 +193,12 @@ def test_backtracking_gives_the_joins_of_small_vocabularies(seed):
 
 def test_bpe_rows(spark, odd, library):
     ids = bpe_codec.encode(odd, RANKS, public_pattern())
-    rows = bpe_codec.decode(ids, RANKS, public_pattern()).collect()
+    rows = bpe_codec.decode(ids, RANKS).collect()
     want = collections.Counter((i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in TEXTS)
     assert collections.Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in rows) == want
     assert bpe_codec.encode(odd.limit(0), RANKS, public_pattern()).collect() == []
     null = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
-    assert [bytes(r["decoded"]) for r in bpe_codec.decode(null, RANKS, public_pattern()).collect()] == [b""]
+    assert [bytes(r["decoded"]) for r in bpe_codec.decode(null, RANKS).collect()] == [b""]
 
 
 def test_registered_bpe(spark, library):
