@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import pairwise
+from . import neighbours
 
 SUBSAMPLE = 256
 TREES = 100
@@ -86,7 +86,7 @@ def isolation_forest(df: DataFrame, key: str, vec: str, trees: int = TREES, subs
 
 def local_outlier_factor(df: DataFrame, key: str, vec: str, k: int = 20, **limits) -> DataFrame:
     """(key, score): mean local density of the neighbours over the own one, from the exact kNN graph."""
-    edges = cut_lineage(pairwise.nearest(df, key, vec, k, **limits))
+    edges = cut_lineage(neighbours.nearest(df, key, vec, k, **limits))
     reach = edges.groupBy(key).agg(F.max("distance").alias("kdist"))
     near = reach.select(F.col(key).alias("neighbour"), F.col("kdist").alias("nk"))
     dens = edges.join(near, "neighbour").groupBy(key).agg((1.0 / (F.avg(F.greatest("nk", "distance")) + 1e-10)).alias("lrd"))
@@ -95,28 +95,6 @@ def local_outlier_factor(df: DataFrame, key: str, vec: str, k: int = 20, **limit
         key, (F.col("nl") / F.col("lrd")).alias("score"))
 
 
-def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.7, min_samples: int | None = None, max_rounds: int = 50, **limits) -> DataFrame:
-    """(key, cluster): connected core points share a cluster, border points join the smallest cluster in reach, the rest
-    is noise (-1). Labels spread by the smallest label within ``eps`` and by jumping to the label of the label, so the
-    number of rounds grows with the logarithm of a cluster's extent and no pair of points is ever written."""
-    min_samples = min_samples or max(3, min(8, df.count() // 20 or 3))
-    dense = pairwise.neighbours_within(df, key, vec, eps, **limits).withColumn("core", F.col("n") >= min_samples)
-    points = cut_lineage(df.select(key, vec).join(dense.select(key, "core"), key))
-    core = points.filter("core").withColumn("label", F.col(key).cast("long"))
-    for _ in range(max_rounds):
-        near = pairwise.smallest_label_within(core, key, vec, "label", eps, core, **limits)
-        hop = near.join(core.select(key, vec, "label"), key).withColumn("label", F.least("label", "near")).drop("near")
-        to = hop.select(F.col(key).cast("long").alias("_at"), F.col("label").alias("_to"))
-        jumped = hop.join(to, F.col("label") == F.col("_at")).withColumn("new", F.least("label", "_to")).drop("_at", "_to")
-        before = core.select(key, F.col("label").alias("_old"))
-        step = cut_lineage(jumped.join(before, key))
-        moved = step.filter("new <> _old").limit(1).count()
-        core = step.select(key, vec, F.col("new").alias("label"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"labels still move after {max_rounds} rounds")
-    rest = points.filter("NOT core").withColumn("label", F.lit(None).cast("long"))
-    border = pairwise.smallest_label_within(rest, key, vec, "label", eps, core, **limits)
-    return core.select(key, F.col("label").alias("cluster")).unionByName(
-        border.select(key, F.coalesce("near", F.lit(-1)).cast("long").alias("cluster")))
+def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.7, min_samples: int | None = None, **limits) -> DataFrame:
+    """(key, cluster) of density clusters, see neighbours.density_clusters; noise is -1."""
+    return neighbours.density_clusters(df, key, vec, eps, min_samples or max(3, min(8, df.count() // 20 or 3)), **limits)

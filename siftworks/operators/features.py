@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.ml import Estimator, Model
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import with_position
 from .quantiles import clean_number, exact_quantiles
 from .tabular_profile import iqr_bounds
@@ -90,6 +90,8 @@ class Scale(_Columns):
 
     def __init__(self, cols: Sequence[str], kind: str = "standard"):
         super().__init__(cols)
+        if kind not in ("standard", "minmax", "robust"):
+            raise ValueError(f"no scaling named {kind}")
         self.kind = kind
 
     def _fit(self, df: DataFrame) -> ColumnMap:
@@ -192,25 +194,44 @@ def vocabulary(df: DataFrame, col: str) -> DataFrame:
     return with_position(values, [F.col("value")], name="code").withColumn("code", F.col("code") - 1)
 
 
-MAX_ONE_HOT = 200
-
-
 class OneHot(_Columns):
-    """One 0/1 column per training category up to ``MAX_ONE_HOT`` categories; beyond that use OrdinalCodes with
-    ``pyspark.ml.feature.OneHotEncoder``, whose vectors are sparse. Unknown values are all zeros."""
+    """One 0/1 column per training category, for tables that people read. A column of many categories belongs into a
+    sparse vector, see OneHotVectors. Unknown values are all zeros."""
 
     def __init__(self, cols: Sequence[str], numbered: bool = False):
         super().__init__(cols)
         self.numbered = numbered
 
     def _fit(self, df: DataFrame) -> Model:
-        found = {}
-        for c in self.cols:
-            rows = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().limit(MAX_ONE_HOT + 1).collect()
-            if len(rows) > MAX_ONE_HOT:
-                raise ValueError(f"{c} has more than {MAX_ONE_HOT} categories; use OrdinalCodes and a sparse vector")
-            found[c] = sorted(r[0] for r in rows)
-        return _OneHotModel(found, self.numbered)
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.cols])).alias("x")
+        found: dict[str, list[str]] = {c: [] for c in self.cols}
+        for r in df.select(cells).select("x.c", "x.v").filter("v IS NOT NULL").distinct().collect():
+            found[r["c"]].append(r["v"])
+        return _OneHotModel({c: sorted(v) for c, v in found.items()}, self.numbered)
+
+
+class OneHotVectors(_Columns):
+    """All categories of all columns as one sparse vector, sorted within a column; unknown and NULL values are zeros.
+
+    The categories of every column are counted in one pass with partial maps per task, and rows are coded where they
+    stand: no join, so neither NULL nor a frequent value meets in one task. The model holds the categories."""
+
+    def __init__(self, cols: Sequence[str], out: str = "_onehot"):
+        super().__init__(cols)
+        self.out = out
+
+    def _fit(self, df: DataFrame) -> Model:
+        from pyspark.ml import PipelineModel
+        from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+
+        codes, hot = [f"_code_{i}" for i in range(len(self.cols))], [f"_hot_{i}" for i in range(len(self.cols))]
+        coder = StringIndexer(inputCols=self.cols, outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
+        encoder = OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(coder.transform(df.limit(1)))
+        together = VectorAssembler(inputCols=hot, outputCol=self.out)
+        gone = ", ".join(f"`{c}`" for c in [*self.cols, *codes, *hot])
+        model = PipelineModel([coder, encoder, together, SQLTransformer(statement=f"SELECT * EXCEPT ({gone}) FROM __THIS__")])
+        model.categories = dict(zip(self.cols, coder.labelsArray))
+        return model
 
 
 class _OneHotModel(Model):
@@ -226,10 +247,13 @@ class _OneHotModel(Model):
         return df.drop(*self.categories)
 
 
+MIN_VARIANCE = 0.01
+
+
 class LowVariance(_Columns):
     """Drops columns whose population variance does not exceed the threshold."""
 
-    def __init__(self, cols: Sequence[str], threshold: float = 0.01):
+    def __init__(self, cols: Sequence[str], threshold: float = MIN_VARIANCE):
         super().__init__(cols)
         self.threshold = threshold
 
@@ -248,51 +272,70 @@ class _Drop(Model):
 
 
 class KnnImpute(_Columns):
-    """Mean of the ``k`` nearest donors by NaN-aware Euclidean distance. Only offered up to ``max_rows`` training
-    rows, so the donor matrix that travels to the tasks has a proven size; rows to fill are unlimited."""
+    """Mean of the ``k`` nearest donors by NaN-aware Euclidean distance, equal distances by the donors' sorted order; the
+    column mean where no donor has the value and a column in common. Donors stay a distributed table of any size."""
 
-    def __init__(self, cols: Sequence[str], k: int = 5, max_rows: int = 5000):
+    def __init__(self, cols: Sequence[str], k: int = 5):
         super().__init__(cols)
-        self.k, self.max_rows = k, max_rows
+        self.k = k
 
     def _fit(self, df: DataFrame) -> Model:
-        rows = df.select(*[clean_number(c).alias(c) for c in self.cols]).limit(self.max_rows + 1).collect()
-        if len(rows) > self.max_rows:
-            raise ValueError(f"kNN imputation is limited to {self.max_rows} training rows; use median instead")
-        return _KnnModel(self.cols, self.k, [[float("nan") if v is None else v for v in r] for r in rows])
+        donors = df.select(*[clean_number(c).alias(f"_{i}") for i, c in enumerate(self.cols)])
+        numbered = cut_lineage(with_position(donors, [F.col(c) for c in donors.columns], name="_donor"))
+        row = numbered.agg(*[F.avg(c).alias(c) for c in donors.columns]).first()
+        return _KnnModel(self.cols, self.k, numbered.select("_donor", F.array(*donors.columns).alias("v")), [row[c] or 0.0 for c in donors.columns])
+
+
+def _pattern(values: Column) -> Column:
+    """Which values are there, as 0 and 1."""
+    return F.concat_ws("", F.transform(values, lambda v: F.when(v.isNull(), "0").otherwise("1")))
 
 
 class _KnnModel(Model):
-    def __init__(self, cols, k, donors):
+    """Rows meet donors by missing pattern: in the columns that a row's pattern and a donor's pattern share, the distance is
+    an ordinary one, so each pair of patterns is a group of its own in the neighbour index. The k best donors of the groups
+    that hold a value are merged per value."""
+
+    def __init__(self, cols: list[str], k: int, donors: DataFrame, means: list[float]):
         super().__init__()
-        self.cols, self.k, self.donors = cols, k, donors
+        self.cols, self.k, self.donors, self.means = cols, k, donors, means
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-
-        cols, k = self.cols, self.k
-        donors = np.asarray(self.donors, dtype=float).reshape(-1, len(cols))
-
-        @F.pandas_udf("array<double>")
-        def filled(rows: pd.Series) -> pd.Series:
-            x = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=float).reshape(-1, len(cols))
-            have = ~np.isnan(donors)
-            means = np.array([donors[have[:, j], j].mean() if have[:, j].any() else 0.0 for j in range(len(cols))])
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                row = x[i].copy()
-                both = have & ~np.isnan(row)
-                seen = both.sum(axis=1)
-                gap = np.where(both, donors - np.nan_to_num(row), 0.0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.where(seen > 0, (gap**2).sum(axis=1) * len(cols) / seen, np.inf)
-                for j in np.flatnonzero(np.isnan(row)):
-                    pool = np.flatnonzero(have[:, j] & np.isfinite(dist))
-                    near = pool[np.argsort(dist[pool], kind="stable")[:k]]
-                    x[i, j] = donors[near, j].mean() if len(near) else means[j]
-            return pd.Series(list(x))
-
-        out = df.withColumn("_filled", filled(F.array(*[clean_number(c) for c in cols])))
-        return out.withColumns({c: F.col("_filled")[j] for j, c in enumerate(cols)}).drop("_filled")
+        from . import neighbours
+
+        n = len(self.cols)
+        staged = cut_lineage(df.withColumn("_v", F.array(*[clean_number(c) for c in self.cols])).withColumn("_row", F.monotonically_increasing_id()))
+        asked = staged.select("_row", F.col("_v").alias("v"), _pattern(F.col("_v")).alias("p")).filter(F.contains("p", F.lit("0")))
+        held = self.donors.withColumn("p", _pattern(F.col("v")))
+        rows, gives = ([r["p"] for r in x.select("p").distinct().collect()] for x in (asked, held))
+        pairs = [(q, d) for q in rows for d in gives if any(a == b == "1" for a, b in zip(q, d)) and any(a == "0" and b == "1" for a, b in zip(q, d))]
+        means = F.array(*[F.lit(float(m)) for m in self.means])
+        if not pairs:
+            filled = staged.withColumn("_f", F.zip_with("_v", means, lambda v, m: F.coalesce(v, m)))
+            return filled.withColumns({c: F.col("_f")[j] for j, c in enumerate(self.cols)}).drop("_v", "_f", "_row")
+        groups = df.sparkSession.createDataFrame(pairs, "q string, d string")
+
+        def projected(side: DataFrame, own: str, ident: Column) -> DataFrame:
+            """Every vector once per group of its pattern, in the shared columns, scaled by how many there are."""
+            both = side.join(F.broadcast(groups), side["p"] == groups[own])
+            shared = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.substr("q", i, F.lit(1)) == "1") & (F.substr("d", i, F.lit(1)) == "1"))
+            scale = F.sqrt(F.lit(float(n)) / F.size(F.filter(shared, lambda b: b)))
+            x = F.transform(F.arrays_zip(F.col("v"), shared.alias("s")), lambda z: F.when(z["s"], z["v"] * scale).otherwise(F.lit(0.0)))
+            return both.select(F.concat_ws("|", "q", "d").alias("group"), ident.alias("id"), x.alias("x"))
+
+        shelf = neighbours.rings(neighbours.entries(projected(held, "d", F.col("_donor")), "id", "x", self.k, "group"))
+        queries = projected(asked, "q", F.concat_ws("|", F.col("_row").cast("string"), "q", "d"))
+        found = neighbours.nearest_entries(neighbours.rings(queries.withColumn("keys", F.array("id")), pivots=shelf.pivots), shelf, self.k).rows
+        at = F.split("id", r"\|")
+        near = found.select(at[0].cast("long").alias("_row"), at[1].alias("q"), F.col("key").alias("_donor"), "distance").join(self.donors, "_donor")
+        missing = F.posexplode("v").alias("j", "value")
+        best = Window.partitionBy("_row", "j").orderBy("distance", "_donor")
+        values = near.select("_row", "q", "_donor", "distance", missing).filter((F.substr("q", F.col("j") + 1, F.lit(1)) == "0") & F.col("value").isNotNull())
+        values = values.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= self.k).groupBy("_row", "j").agg(F.avg("value").alias("value"))
+        fills = values.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("_m"))
+        joined = staged.join(fills, "_row", "left")
+        cell = lambda j: F.coalesce(F.get("_v", F.lit(j)), F.col("_m")[j], F.lit(float(self.means[j])))
+        return joined.withColumns({c: cell(j) for j, c in enumerate(self.cols)}).drop("_v", "_row", "_m")
 
 
 def keep_first(df: DataFrame, features: Sequence[str], key: str) -> DataFrame:

@@ -94,6 +94,25 @@ def multilabel_metrics(df: DataFrame, labels: Mapping[str, tuple[str, str]], key
     return long_metrics(agg, keys, ["micro_f1", "macro_f1", "hamming_loss", "subset_accuracy", "precision", "recall"])
 
 
+def label_set_metrics(df: DataFrame, n_labels: int, keys: Sequence[str] = (), y: str = "y", pred: str = "pred") -> DataFrame:
+    """The metrics of multilabel_metrics for rows that carry their true and predicted labels as arrays of codes. Only
+    labels that a row has or is given are counted, so their number costs nothing."""
+    both = df.select(*keys, y, pred, F.size(F.array_intersect(y, pred)).alias("_tp"))
+    wrong = F.size(y) + F.size(pred) - 2 * F.col("_tp")
+    agg = both.groupBy(*keys).agg(
+        F.sum("_tp").alias("tp"), F.sum(F.size(pred)).alias("pp"), F.sum(F.size(y)).alias("ap"),
+        (F.sum(wrong) / (F.count("*") * n_labels)).alias("hamming_loss"), F.avg((wrong == 0).cast("int")).alias("subset_accuracy"))
+    agg = agg.withColumn("precision", ratio(F.col("tp"), F.col("pp"))).withColumn("recall", ratio(F.col("tp"), F.col("ap")))
+    agg = agg.withColumn("micro_f1", f1_of(F.col("precision"), F.col("recall")))
+    marks = F.concat(F.transform(y, lambda v: F.struct(v.alias("l"), F.lit(1).alias("t"), F.lit(0).alias("p"))), F.transform(pred, lambda v: F.struct(v.alias("l"), F.lit(0).alias("t"), F.lit(1).alias("p"))))
+    hits = F.concat(F.transform(F.array_intersect(y, pred), lambda v: F.struct(v.alias("l"), F.lit(0).alias("t"), F.lit(0).alias("p"), F.lit(1).alias("h"))), F.transform(marks, lambda m: F.struct(m["l"].alias("l"), m["t"].alias("t"), m["p"].alias("p"), F.lit(0).alias("h"))))
+    per = df.select(*keys, F.inline(hits)).groupBy(*keys, "l").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h"))
+    macro = per.groupBy(*keys).agg((F.sum(2.0 * F.col("h") / (F.col("t") + F.col("p"))) / n_labels).alias("macro_f1"))
+    if keys:
+        return long_metrics(agg.join(macro, list(keys), "left").fillna(0.0, ["macro_f1"]), keys, ["micro_f1", "macro_f1", "hamming_loss", "subset_accuracy", "precision", "recall"])
+    return long_metrics(agg, [], ["micro_f1", "hamming_loss", "subset_accuracy", "precision", "recall"]).unionByName(long_metrics(macro.fillna(0.0), [], ["macro_f1"]))
+
+
 def regression_metrics(df: DataFrame, keys: Sequence[str] = (), y: str = "y", pred: str = "pred") -> DataFrame:
     """MAE, RMSE, R2 (0 without variance), SMAPE and MAPE in percent."""
     t, p = F.col(y).cast("double"), F.col(pred).cast("double")

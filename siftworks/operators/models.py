@@ -9,20 +9,27 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-
+import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest)
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import CountVectorizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import detectors, features, metrics, pairwise, sampling, tfidf, vectors
+from ..functions.text import parse_list
+from . import detectors, features, linear, metrics, neighbours, sampling, tfidf, vectors
+from . import topics as topic_models
+from .blocks import sparse_parts
 
 SEED = 42
+#: The vector column of all one-hot categories.
+ONE_HOT = "_onehot"
 
 
 @dataclass(frozen=True)
@@ -40,7 +47,7 @@ class CleanSpec:
     outlier_clip: bool = False
     drop_high_missing_cols: bool = False
 
-    def stages(self, num: Sequence[str], cat: Sequence[str]) -> list:
+    def stages(self, num: Sequence[str], cat: Sequence[str], vectors_of_categories: bool = True) -> list:
         out: list = []
         if num:
             out.append(features.KnnImpute(num) if self.num_imputer == "knn" else features.ImputeNumber(num, self.num_imputer))
@@ -52,40 +59,56 @@ class CleanSpec:
                 out.append(features.Scale(num, self.scaler))
         if cat:
             out.append(features.ImputeCategory(cat, self.cat_imputer))
-            out.append(features.OneHot(cat, numbered=True) if self.encoder == "onehot" else features.OrdinalCodes(cat))
+            if self.encoder != "onehot":
+                out.append(features.OrdinalCodes(cat))
+            else:
+                out.append(features.OneHotVectors(cat, ONE_HOT) if vectors_of_categories else features.OneHot(cat, numbered=True))
         return out
 
 
 @dataclass
 class FittedClean:
+    """``kept``: numeric columns of the feature vector; ``hot``: places kept of the category vector, None for all."""
+
     stages: list
     kept: list[str]
+    hot: list[int] | None = None
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         before = set(df.columns)
         for s in self.stages:
             df = s.transform(df)
         df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.kept})
-        done = VectorAssembler(inputCols=self.kept, outputCol=out).transform(df)
-        return done.drop(*[c for c in self.kept if c not in before])
-
+        parts = list(self.kept)
+        if ONE_HOT in df.columns and self.hot != []:
+            if self.hot is not None:
+                df = VectorSlicer(inputCol=ONE_HOT, outputCol="_sliced", indices=self.hot).transform(df).drop(ONE_HOT).withColumnRenamed("_sliced", ONE_HOT)
+            parts.append(ONE_HOT)
+        done = VectorAssembler(inputCols=parts, outputCol=out).transform(df)
+        return done.drop(ONE_HOT, *[c for c in self.kept if c not in before])
 
     def columns_model(self) -> Model:
         """The column stages alone, for writing cleaned tables instead of feature vectors."""
         return PipelineModel(self.stages)
 
 
-def fit_clean(spec: CleanSpec, train: DataFrame, num: Sequence[str], cat: Sequence[str]) -> FittedClean:
+def fit_clean(spec: CleanSpec, train: DataFrame, num: Sequence[str], cat: Sequence[str], vectors_of_categories: bool = True) -> FittedClean:
     stages, df = [], train.select(*num, *cat)
-    for estimator in spec.stages(num, cat):
+    for estimator in spec.stages(num, cat, vectors_of_categories):
         model = estimator.fit(df)
         stages.append(model)
         df = model.transform(df)
-    kept = df.columns
+    kept, hot = [c for c in df.columns if c != ONE_HOT], None
     if spec.remove_low_variance:
-        gone = features.LowVariance(kept).fit(df).dropped
-        kept = [c for c in kept if c not in gone] or kept
-    return FittedClean(stages, kept)
+        gone = set(features.LowVariance(kept).fit(df).dropped) if kept else set()
+        if ONE_HOT in df.columns:
+            row = df.select(Summarizer.metrics("count", "variance").summary(F.col(ONE_HOT)).alias("s")).select("s.*").first()
+            hot = np.flatnonzero(row["variance"].toArray() * max(row["count"] - 1, 0) > features.MIN_VARIANCE * max(row["count"], 1)).tolist()
+        if len(gone) < len(kept) or hot:
+            kept = [c for c in kept if c not in gone]
+        else:
+            hot = None
+    return FittedClean(stages, kept, hot)
 
 
 def classifiers() -> dict:
@@ -152,7 +175,7 @@ def smote(train: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame
         if extra <= 0:
             continue
         rows = base.filter(F.col("label") == F.lit(label))
-        edges = pairwise.nearest(rows, key, "_x", near_k)
+        edges = neighbours.nearest(rows, key, "_x", near_k)
         order = [sampling.shuffle_key(key, seed), F.col(key)]
         pos = sampling.with_position(rows, order, name="_p")
         copies = F.lit(extra // n) + F.when(F.col("_p") <= extra % n, 1).otherwise(0)
@@ -178,7 +201,6 @@ def indexed(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
 def fold_predictions(df: DataFrame, num: Sequence[str], cat: Sequence[str], key: str, specs: Mapping[str, CleanSpec],
                      models: Callable[[], dict], folds: int, fold: str = "fold") -> tuple[DataFrame | None, list[tuple]]:
     """Predictions of every spec, model and fold, and (spec, success, reason, seconds) per spec."""
-    df = df.persist()
     parts, log = [], []
     for spec_id, spec in specs.items():
         start, mine = time.time(), []
@@ -195,7 +217,7 @@ def fold_predictions(df: DataFrame, num: Sequence[str], cat: Sequence[str], key:
                 fitted_train.unpersist()
             parts += mine
             log.append((spec_id, True, "", time.time() - start))
-        except Exception as exc:  # a spec that cannot be evaluated becomes a zero-score result
+        except (ValueError, AnalysisException, IllegalArgumentException) as exc:  # a spec that does not fit these data
             log.append((spec_id, False, str(exc)[:300], time.time() - start))
     return (_union(parts) if parts else None), log
 
@@ -276,9 +298,9 @@ def evaluate_clustering(df: DataFrame, key: str, vec: str, eps: float = 0.7) ->
     return _union(parts).select("model", "metric", "value")
 
 
-def evaluate_anomaly(df: DataFrame, key: str, vec: str, truth: Column | None = None, k: int = 20) -> DataFrame:
+def evaluate_anomaly(df: DataFrame, key: str, vec: str, truth: Column | None = None, k: int = 20, images: bool = False) -> DataFrame:
     """(model, metric, value) of isolation forest, local outlier factor and PCA reconstruction. With a 0/1 truth that
-    travels with the rows the metrics are supervised, else proxies."""
+    travels with the rows the metrics are supervised, else proxies, of which ``images`` have their own."""
     rows = (df.withColumn("y", truth.cast("int")) if truth is not None else df).persist()
     share = vectors.contamination(rows.count())
     d = vectors.dimension(rows, vec)
@@ -290,7 +312,10 @@ def evaluate_anomaly(df: DataFrame, key: str, vec: str, truth: Column | None = N
     parts = []
     for name, s in scored.items():
         flagged = vectors.flag_top(s.persist(), "score", share)
-        m = vectors.anomaly_supervised(flagged, "y") if truth is not None else vectors.anomaly_proxy(flagged, key)
+        if truth is not None:
+            m = vectors.anomaly_supervised(flagged, "y")
+        else:
+            m = vectors.image_anomaly_proxy(flagged) if images else vectors.anomaly_proxy(flagged, key)
         parts.append(m.withColumn("model", F.lit(name)))
     return _union(parts).select("model", "metric", "value")
 
@@ -304,28 +329,39 @@ def text_classifiers(balance: bool) -> dict:
     }
 
 
+#: How auxiliary columns are cleaned before they stand beside text.
+BESIDE_TEXT = CleanSpec(cat_imputer="constant")
+
+
 def text_features(train: DataFrame, test: DataFrame, terms: Column, min_df: int = 1, max_terms: int = tfidf.MAX_TERMS,
-                  auxiliary: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF vectors fitted on the training rows, optionally joined with standardised auxiliary columns."""
+                  auxiliary: Sequence[str] = (), categories: Sequence[str] = (), spec: CleanSpec = BESIDE_TEXT) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF vectors fitted on the training rows, with auxiliary numbers and categories behind them: imputed, scaled and
+    coded as ``spec`` says, all learned from the training rows. Vectors stay sparse."""
     tr, te = train.withColumn("terms", terms), test.withColumn("terms", terms)
     model = tfidf.TfidfVectors("terms", "features", min_df, max_terms).fit(tr)
-    tr, te = model.transform(tr).drop("terms", "_tf", "_w").persist(), model.transform(te).drop("terms", "_tf", "_w").persist()
-    if auxiliary:
-        aux = fit_clean(CleanSpec(), train, list(auxiliary), [])
+    tr, te = model.transform(tr).drop("terms", "_tf", "_w"), model.transform(te).drop("terms", "_tf", "_w")
+    if auxiliary or categories:
+        names = {c: f"_cat_{i}" for i, c in enumerate(categories)}  # the columns themselves stay
+        with_copies = lambda x: x.withColumns({n: F.col(c) for c, n in names.items()})
+        aux = fit_clean(spec, with_copies(train), list(auxiliary), list(names.values()))
         fuse = VectorAssembler(inputCols=["features", "_aux"], outputCol="fused")
-        tr, te = (fuse.transform(aux.transform(x, "_aux")).drop("features").withColumnRenamed("fused", "features") for x in (tr, te))
-    return tr, te
+        tr, te = (fuse.transform(aux.transform(with_copies(x), "_aux")).drop("features", "_aux").withColumnRenamed("fused", "features") for x in (tr, te))
+    return tr.persist(), te.persist()
+
+
+TERMS = {"word": tfidf.word_terms, "char": tfidf.char_terms}
 
 
 def evaluate_text(df: DataFrame, text: Column, target: str, key: str, balance: bool = False, min_df: int = 1,
-                  max_terms: int = tfidf.MAX_TERMS, auxiliary: Sequence[str] = ()) -> DataFrame:
-    """(model, metric, value) on a stratified 75/25 split of non-blank labelled rows."""
+                  max_terms: int = tfidf.MAX_TERMS, auxiliary: Sequence[str] = (), categories: Sequence[str] = (), terms: str = "word",
+                  spec: CleanSpec = BESIDE_TEXT) -> DataFrame:
+    """(model, metric, value) on a stratified 75/25 split of non-blank labelled rows, on word or character terms."""
     rows, _ = indexed(df.withColumn("_text", text).filter((F.trim("_text") != "") & (F.trim(F.col(target).cast("string")) != "")), target)
     rows = sampling.stratified_holdout(rows, "label", key).persist()
     train, test = rows.filter("NOT is_test"), rows.filter("is_test")
     if balance:
         train = train.join(sampling.class_weights(train, "label").select("label", "weight"), "label")
-    train, test = text_features(train, test, tfidf.word_terms(F.col("_text")), min_df, max_terms, auxiliary)
+    train, test = text_features(train, test, TERMS[terms](F.col("_text")), min_df, max_terms, auxiliary, categories, spec)
     parts = []
     for name, est in text_classifiers(balance).items():
         tr, te = train, test
@@ -337,45 +373,65 @@ def evaluate_text(df: DataFrame, text: Column, target: str, key: str, balance: b
     return metrics.multiclass_metrics(_union(parts), ["model"])
 
 
-def evaluate_text_multilabel(df: DataFrame, text: Column, labels: Sequence[str], key: str, min_df: int = 1) -> DataFrame:
-    """One binary model per non-constant 0/1 label column; (model, metric, value)."""
-    n = df.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in labels]).first()
-    kept = [c for c in labels if 0 < n[c] < n["n"]]
-    rows = sampling.stratified_holdout(df.withColumn("_text", text), None, key).persist()
-    train, test = text_features(rows.filter("NOT is_test"), rows.filter("is_test"), tfidf.word_terms(F.col("_text")), min_df)
+def label_places(df: DataFrame, labels: str | Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, y) and (label, code): the sorted codes of each row's labels, and the labels that some but not all rows have,
+    in sorted order. ``labels`` names a column of lists or several 0/1 columns."""
+    if isinstance(labels, str):
+        cells = F.array_distinct(parse_list(F.col(labels)) if dict(df.dtypes)[labels] == "string" else F.transform(F.col(labels), lambda v: F.trim(v.cast("string"))))
+    else:
+        cells = F.filter(F.array(*[F.when(F.expr(f"try_cast(`{c}` AS double)") == 1, F.lit(c)) for c in labels]), lambda v: v.isNotNull())
+    held = df.select(key, F.explode(cells).alias("label")).filter("label <> ''")
+    counts = held.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") < df.count())
+    codes = sampling.with_position(counts.select("label"), [F.col("label")], name="code").withColumn("code", (F.col("code") - 1).cast("int"))
+    coded = held.join(codes, "label").groupBy(key).agg(F.sort_array(F.collect_set("code")).alias("y"))
+    return df.select(key).join(coded, key, "left").select(key, F.coalesce("y", F.array().cast("array<int>")).alias("y")), codes
+
+
+def evaluate_text_multilabel(df: DataFrame, text: Column, labels: str | Sequence[str], key: str, min_df: int = 1, balance: bool = False,
+                             auxiliary: Sequence[str] = (), categories: Sequence[str] = (), terms: str = "word",
+                             max_terms: int = tfidf.MAX_TERMS, spec: CleanSpec = BESIDE_TEXT) -> DataFrame:
+    """(model, metric, value): a binary model per non-constant label, all labels fitted together; ``labels`` as in
+    label_places. Auxiliary columns are fused as in evaluate_text."""
+    truth, codes = label_places(df, labels, key)
+    truth, n_labels = truth.persist(), codes.count()
+    if not n_labels:
+        raise ValueError("no label that some but not all rows have")
+    rows = sampling.stratified_holdout(df.withColumn("_text", text), None, key).join(truth, key).persist()
+    train, test = text_features(rows.filter("NOT is_test"), rows.filter("is_test"), TERMS[terms](F.col("_text")), min_df, max_terms, auxiliary, categories, spec)
+    columns = (train.select(F.col("features")).first() or [np.zeros(0)])[0].size
+    tr, te = (x.select(key, "y", *sparse_parts("features")) for x in (train, test))
     parts = []
-    for name, est in (("tfidf_ovr_logistic_regression", LogisticRegression(maxIter=50)), ("tfidf_ovr_linear_svc", LinearSVC(maxIter=30))):
-        out = test.select("features", *kept)
-        for c in kept:
-            model = est.copy({est.labelCol: c, est.predictionCol: f"pred_{c}", est.rawPredictionCol: f"raw_{c}"}).fit(train.withColumn(c, F.col(c).cast("double")))
-            out = model.transform(out).drop(f"raw_{c}", "probability").withColumn(f"pred_{c}", F.col(f"pred_{c}").cast("int"))
-        parts.append(metrics.multilabel_metrics(out, {c: (c, f"pred_{c}") for c in kept}).withColumn("model", F.lit(name)))
+    for name, loss in (("tfidf_ovr_logistic_regression", "logistic"), ("tfidf_ovr_linear_svc", "squared_hinge")):
+        pred = linear.fit(tr, columns, n_labels, loss, balance=balance, tolerance=1e-3).predict(te, key)
+        parts.append(metrics.label_set_metrics(pred.join(truth, key), n_labels).withColumn("model", F.lit(name)))
     return _union(parts).select("model", "metric", "value")
 
 
-def topics(df: DataFrame, terms: Column, key: str, n_topics: int, min_df: int = 2, max_terms: int = tfidf.MAX_TERMS, top: int = 10):
-    """(documents with topic and share, top terms per topic)."""
-    rows = df.withColumn("terms", terms)
-    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=min_df, vocabSize=max_terms).fit(rows)
-    counted = counter.transform(rows).persist()
-    model = LDA(k=n_topics, maxIter=10, seed=SEED, optimizer="online").fit(counted)
-    mix = vector_to_array("topicDistribution")
-    docs = model.transform(counted).withColumn("_m", mix).withColumn("share", F.array_max("_m") / F.greatest(F.aggregate("_m", F.lit(0.0), lambda s, v: s + v), F.lit(1e-12)))
-    docs = docs.withColumn("topic", (F.array_position("_m", F.array_max("_m")) - 1).cast("int")).drop("_m", "features", "topicDistribution", "terms")
-    described = model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    described = described.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("index"), F.col("t.termWeights").alias("weight"))
-    names = df.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "index int, term string")
-    return docs, described.join(F.broadcast(names), "index").drop("index")
+def topics(df: DataFrame, terms: Column, key: str, n_topics: int, min_df: int = 2, max_terms: int = tfidf.MAX_TERMS, top: int = 10,
+           carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents with weights, topic and share, top terms per topic). Every document is part of the fit."""
+    rows = df.select(key, *carry, terms.alias("terms"))
+    model = tfidf.TfidfVectors("terms", "features", min_df, max_terms).fit(rows)
+    names = model.stages[0].vocabulary
+    sparse = model.transform(rows).select(key, *carry, *sparse_parts("features"))
+    found = topic_models.fit(sparse, n_topics, len(names), SEED)
+    docs = found.transform(sparse, key, carry=carry)
+    most = F.array_max("weights")
+    docs = docs.withColumn("topic", (F.array_position("weights", most) - 1).cast("int"))
+    docs = docs.withColumn("share", most / F.greatest(F.aggregate("weights", F.lit(0.0), lambda s, v: s + v), F.lit(1e-12)))
+    best = [(t, r, names[i], float(h[i])) for t, h in enumerate(found.h) for r, i in enumerate(np.lexsort((names, -h))[:top], 1)]
+    return docs, df.sparkSession.createDataFrame(best, "topic int, rank int, term string, weight double")
 
 
 def evaluate_topics(df: DataFrame, terms: Column, key: str, label: str | None = None, min_df: int = 2) -> DataFrame:
-    """Coherence proxy, topic diversity and, with a label, NMI and ARI."""
+    """Coherence proxy, topic diversity, silhouette of the topic weights and, with a label, NMI and ARI."""
     n = df.count()
-    k = min(max(2, int(n**0.5)), 10)
-    docs, top = topics(df, terms, key, k, min_df)
+    k = min(max(2, int(n**0.5)), 10, max(n - 1, 2))
+    docs, top = topics(df, terms, key, k, min_df, carry=[label] if label else [])
     docs = docs.persist()
-    out = docs.agg(F.avg("share").alias("value")).select(F.lit("coherence").alias("metric"), "value").unionByName(
+    out = docs.agg(metrics.clamp01(F.avg("share")).alias("value")).select(F.lit("coherence").alias("metric"), "value").unionByName(
         top.agg((F.count_distinct("term") / F.count("*")).alias("value")).select(F.lit("topic_diversity").alias("metric"), "value"))
+    out = out.unionByName(topic_models.silhouette(docs, "weights", "topic", k))
     return out.unionByName(metrics.cluster_agreement(docs, label, "topic")) if label else out
 
 
@@ -398,16 +454,15 @@ def evaluate_vectors(df: DataFrame, vec: str, target: str, key: str, models: Cal
     return long.groupBy("model", "metric").agg(F.avg("value").alias("value"))
 
 
-def evaluate_vectors_multilabel(df: DataFrame, vec: str, labels: Sequence[str], key: str, folds: int = 5) -> DataFrame:
-    """One-vs-rest logistic models on an embedding column, hashed folds; (metric, value)."""
-    rows = sampling.hashed_folds(df.withColumn("features", array_to_vector(F.col(vec))), key, folds).persist()
+def evaluate_vectors_multilabel(df: DataFrame, vec: str, labels: str | Sequence[str], key: str, folds: int = 5) -> DataFrame:
+    """Logistic models for all labels together on an embedding column, hashed folds; (metric, value)."""
+    truth, codes = label_places(df, labels, key)
+    truth, n_labels, d = truth.persist(), codes.count(), vectors.dimension(df, vec)
+    values = F.transform(F.col(vec), lambda v: v.cast("double"))
+    rows = sampling.hashed_folds(df.select(key, F.sequence(F.lit(0), F.size(vec) - 1).alias("indices"), values.alias("values")), key, folds).join(truth, key).persist()
     parts = []
     for f in range(folds):
-        out = rows.filter(F.col("fold") == f).select("features", "fold", *labels)
-        for c in labels:
-            est = LogisticRegression(maxIter=50, labelCol=c, predictionCol=f"pred_{c}", rawPredictionCol=f"raw_{c}", probabilityCol=f"prob_{c}")
-            model = est.fit(rows.filter(F.col("fold") != f).withColumn(c, F.col(c).cast("double")))
-            out = model.transform(out).drop(f"raw_{c}", f"prob_{c}").withColumn(f"pred_{c}", F.col(f"pred_{c}").cast("int"))
-        parts.append(out.drop("features"))
-    long = metrics.multilabel_metrics(_union(parts), {c: (c, f"pred_{c}") for c in labels}, ["fold"])
+        model = linear.fit(rows.filter(F.col("fold") != f), d, n_labels, tolerance=1e-4)
+        parts.append(model.predict(rows.filter(F.col("fold") == f), key).withColumn("fold", F.lit(f)))
+    long = metrics.label_set_metrics(_union(parts).join(truth, key), n_labels, ["fold"])
     return long.groupBy("metric").agg(F.avg("value").alias("value"))

@@ -7,7 +7,7 @@ passes go on until the error stops falling."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,16 +52,16 @@ class TopicModel:
     h: np.ndarray
     errors: list[float] = field(default_factory=list)
 
-    def transform(self, rows: DataFrame, key: str, topic: str = "weights") -> DataFrame:
-        """key and the topic weights of every row of (key, indices, values)."""
-        h = self.h
+    def transform(self, rows: DataFrame, key: str, topic: str = "weights", carry: Sequence[str] = ()) -> DataFrame:
+        """key, the columns of ``carry`` and the topic weights of every row of (key, indices, values)."""
+        h, names = self.h, [key, *carry]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, block in blocks(batches):
-                yield pa.RecordBatch.from_arrays([block.extra[0], pa.array(list(weights(block, h)), pa.list_(pa.float64()))], names=[key, topic])
+                yield pa.RecordBatch.from_arrays([*block.extra, pa.array(list(weights(block, h)), pa.list_(pa.float64()))], names=[*names, topic])
 
-        kind = rows.schema[key].dataType.simpleString()
-        return rows.select("indices", "values", key).mapInArrow(run, f"`{key}` {kind}, `{topic}` array<double>")
+        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+        return rows.select("indices", "values", *names).mapInArrow(run, f"{kinds}, `{topic}` array<double>")
 
 
 def first_topics(rows: DataFrame, k: int, terms: int, mean: float, seed: int) -> np.ndarray:

@@ -166,7 +166,7 @@ def silhouette(df: DataFrame, key: str, vec: str, cluster: str, noise=-1, **limi
     kept = df.filter(F.col(cluster) != F.lit(noise))
     sums = pairwise.cluster_distance_sums(kept, key, vec, cluster, **limits)
     own = kept.select(key, F.col(cluster).alias("_own"))
-    mean = F.when(F.col("cluster") == F.col("_own"), F.col("total") / (F.col("n") - 1)).otherwise(F.col("total") / F.col("n"))
+    mean = F.when(F.col("cluster") == F.col("_own"), F.col("total") / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.col("total") / F.col("n"))
     per = sums.join(own, key).withColumn("m", mean).groupBy(key).agg(
         F.max(F.when(F.col("cluster") == F.col("_own"), F.col("m"))).alias("a"),
         F.min(F.when(F.col("cluster") != F.col("_own"), F.col("m"))).alias("b"),
@@ -207,6 +207,63 @@ def anomaly_proxy(scored: DataFrame, order: str, score: str = "score", pred: str
     return long_metrics(agg, [], ["proxy_score", "score_separation", "stability", "contamination_consistency"])
 
 
+def signal_anomaly_proxy(scored: DataFrame, order: str, z: str, centre: Column, score: str = "score", pred: str = "pred") -> DataFrame:
+    """Proxies for signal features ``z`` (standardised): separation of the scores, stability of the two halves along
+    ``order``, and how close the features lie to their medians ``centre``; weighted 0.4, 0.3 and 0.3."""
+    from .ordering import with_position
+
+    off = F.aggregate(F.zip_with(z, centre, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
+    pos = with_position(scored.select(order, score, pred, off.alias("_off"), F.size(z).alias("_d")), [F.col(order)], name="_p")
+    n = scored.count()
+    hit, half = F.col(pred) == 1, n // 2
+    agg = pos.agg(
+        F.avg(F.when(hit, F.col(score))).alias("out"), F.avg(F.when(~hit, F.col(score))).alias("inn"), F.stddev_pop(score).alias("sd"), (F.sum("_off") / F.sum("_d")).alias("off"),
+        F.avg(F.when(F.col("_p") <= half, F.col(pred))).alias("ha"), F.avg(F.when(F.col("_p") > half, F.col(pred))).alias("hb"))
+    apart = clamp01(0.5 + 0.5 * F.tanh((F.col("out") - F.col("inn")) / F.greatest("sd", F.lit(1e-6))))
+    agg = agg.withColumns({
+        "score_separation": F.when(F.col("out").isNull() | F.col("inn").isNull(), F.lit(0.0)).otherwise(apart),
+        "reconstruction_consistency": clamp01(1 / (1 + F.col("off"))),
+        "stability": clamp01(1 - F.abs(F.col("ha") - F.col("hb"))) if n >= 4 else F.lit(0.5)})
+    agg = agg.withColumn("proxy_score", clamp01(0.4 * F.col("score_separation") + 0.3 * F.col("reconstruction_consistency") + 0.3 * F.col("stability")))
+    return long_metrics(agg, [], ["proxy_score", "score_separation", "reconstruction_consistency", "stability"])
+
+
+def signal_anomaly(df: DataFrame, key: str, vec: str, truth: Column | None = None) -> DataFrame:
+    """(model, metric, value) of PCA reconstruction and of the distance from the medians, both on standardised features;
+    supervised with a 0/1 truth, else by proxies. At least 8 rows."""
+    rows = standardized(df.withColumn("y", truth.cast("int")) if truth is not None else df, vec, "_z").persist()
+    n, d = rows.count(), dimension(rows, "_z")
+    if n < 8:
+        raise ValueError("signal anomalies need at least 8 rows")
+    centre = medians(rows, "_z")
+    found = {
+        "pca_reconstruction": pca_reconstruction(rows, "_z", max(1, min(d - 1, n - 1, max(2, d // 3)))),
+        "distance_from_normal": distance_from_median(rows, "_z", centre),
+    }
+    out = None
+    for name, scored in found.items():
+        flagged = flag_top(scored.persist(), "score", contamination(n, 3.0, 0.02, 0.2))
+        m = anomaly_supervised(flagged, "y") if truth is not None else signal_anomaly_proxy(flagged, key, "_z", centre)
+        m = m.select(F.lit(name).alias("model"), "metric", "value")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def image_anomaly_proxy(scored: DataFrame, score: str = "score", pred: str = "pred") -> DataFrame:
+    """Proxies for images: separation of the scores and agreement with the expected share of anomalies, weighted 0.6 and
+    0.4; they stand in for recall and precision, their sum for F1."""
+    hit = F.col(pred) == 1
+    agg = scored.agg(
+        F.avg(F.when(hit, F.col(score))).alias("out"), F.avg(F.when(~hit, F.col(score))).alias("inn"), F.stddev_pop(score).alias("sd"),
+        F.avg(F.col(pred).cast("double")).alias("rate"), F.count("*").alias("n"))
+    spread = F.when(F.abs("sd") > 1e-12, F.col("sd")).otherwise(F.lit(1.0))
+    target = F.least(F.lit(0.15), F.greatest(F.lit(0.02), F.lit(5.0) / F.greatest("n", F.lit(1))))
+    agg = agg.withColumn("recall", F.when(F.col("out").isNull() | F.col("inn").isNull(), F.lit(0.0)).otherwise(clamp01(0.5 + 0.5 * F.tanh((F.col("out") - F.col("inn")) / spread))))
+    agg = agg.withColumn("precision", clamp01(1 - F.abs(F.col("rate") - target) / target))
+    agg = agg.withColumn("proxy_score", clamp01(0.6 * F.col("recall") + 0.4 * F.col("precision"))).withColumn("f1", F.col("proxy_score"))
+    return long_metrics(agg, [], ["proxy_score", "precision", "recall", "f1"])
+
+
 def anomaly_supervised(scored: DataFrame, y: str, score: str = "score", pred: str = "pred") -> DataFrame:
     """F1, precision, recall, AUROC and AUPRC against 0/1 labels that travel with the rows."""
     base = binary_metrics(scored, [], 1, y, pred).filter("metric <> 'accuracy'")
@@ -223,13 +280,16 @@ def standardized(df: DataFrame, vec: str, out: str = "z") -> DataFrame:
     return df.withColumn(out, F.zip_with(F.zip_with(F.col(vec), m, lambda a, b: a - b), s, lambda a, b: a / b))
 
 
-def distance_from_median(df: DataFrame, vec: str) -> DataFrame:
-    """``score``: Euclidean distance to the vector of exact column medians."""
-    d = dimension(df, vec)
-    flat = df.select(*[F.col(vec)[i].alias(f"c{i}") for i in range(d)])
+def medians(df: DataFrame, vec: str) -> Column:
+    """The vector of exact column medians, as a literal."""
+    flat = df.select(*[F.col(vec)[i].alias(f"c{i}") for i in range(dimension(df, vec))])
     med = exact_quantiles(flat, flat.columns, [0.5])
-    centre = F.array(*[F.lit(float(med[f"c{i}"][0])) for i in range(d)])
-    diff = F.zip_with(F.col(vec), centre, lambda a, b: (a - b) * (a - b))
+    return F.array(*[F.lit(float(med[c][0])) for c in flat.columns])
+
+
+def distance_from_median(df: DataFrame, vec: str, centre: Column | None = None) -> DataFrame:
+    """``score``: Euclidean distance to the vector of exact column medians."""
+    diff = F.zip_with(F.col(vec), medians(df, vec) if centre is None else centre, lambda a, b: (a - b) * (a - b))
     return df.withColumn("score", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v)))
 
 

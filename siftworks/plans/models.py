@@ -20,7 +20,7 @@ def order_rows(spark, d):
 
 @query("evl01_evl28_multiclass_specs")
 def evl01(spark, d):
-    specs = {"plain": PLAIN, "tuned": TUNED, "broken": models.CleanSpec(num_imputer="knn")}
+    specs = {"plain": PLAIN, "tuned": TUNED, "broken": models.CleanSpec(scaler="unknown")}
     return models.evaluate_classification(order_rows(spark, d), "o_orderstatus", ["o_totalprice", "cust_band"], ["o_orderpriority"], "o_orderkey", specs)
 
 
@@ -60,6 +60,11 @@ def evl16(spark, d):
     return models.evaluate_anomaly(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label") == 0)
 
 
+@query("evl16_image_anomaly_proxy")
+def evl16_images(spark, d):
+    return models.evaluate_anomaly(table(spark, d, "embeddings"), "vec_id", "embedding", images=True)
+
+
 @query("evl05_isolation_forest")
 def iforest(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("v"))
@@ -75,7 +80,21 @@ def evl07(spark, d):
 @query("evl07_ftr14_fused_classification")
 def ftr14(spark, d):
     t = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("n_chars", F.col("n_chars").cast("double"))
-    return models.evaluate_text(t, F.col("text"), "quality", "doc_id", balance=True, min_df=2, auxiliary=["n_chars"])
+    return models.evaluate_text(t, F.col("text"), "quality", "doc_id", balance=True, min_df=2, auxiliary=["n_chars"], categories=["lang", "source"])
+
+
+@query("evl07_char_classification")
+def evl07_char(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return models.evaluate_text(t, F.col("text"), "lang", "doc_id", min_df=2, terms="char")
+
+
+@query("evl08_ftr14_fused_multilabel")
+def evl08_fused(spark, d):
+    """Labels as lists, class weights, a number and two categories beside the text."""
+    t = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("n_chars", F.col("n_chars").cast("double"))
+    listed = F.concat_ws("|", F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), "lang")
+    return models.evaluate_text_multilabel(t.withColumn("tags", listed), F.col("text"), "tags", "doc_id", min_df=2, balance=True, auxiliary=["n_chars"], categories=["lang", "source"])
 
 
 @query("evl08_text_multilabel")
@@ -104,7 +123,7 @@ def evl14(spark, d):
 @query("evl14_vector_multilabel")
 def evl14_multi(spark, d):
     t = table(spark, d, "embeddings").withColumns({"low": (F.col("label") < 5).cast("int"), "odd": F.col("label") % 2})
-    return models.evaluate_vectors_multilabel(t, "embedding", ["low", "odd"], "vec_id", 3)
+    return models.evaluate_vectors_multilabel(t, "embedding", ["low", "odd"], "vec_id")
 
 
 @query("evl21_perceptron_classification")

@@ -238,6 +238,19 @@ def ftr09(spark, d):
     return features.OneHot(["o_orderpriority"]).fit(t.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))).transform(t)
 
 
+@query("ftr09_sparse_onehot", """WITH v AS (SELECT c_name, dense_rank() OVER (ORDER BY c_name) - 1 AS place FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey % 4 <> 0)),
+  s AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 + (SELECT count(*) FROM v) AS place FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 3 <> 0))
+  SELECT c_custkey, v.place AS name_place, CASE WHEN c_custkey % 3 <> 0 THEN s.place END AS segment_place, (SELECT count(*) FROM v) + (SELECT count(*) FROM s) AS size
+  FROM customer LEFT JOIN v USING (c_name) LEFT JOIN s USING (c_mktsegment)""")
+def ftr09_sparse(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    model = features.OneHotVectors(["c_name", "c_mktsegment"], "hot").fit(t.filter("c_custkey % 4 <> 0"))
+    names, segments = (len(model.categories[c]) for c in ("c_name", "c_mktsegment"))
+    at = F.unwrap_udt("hot")["indices"]
+    place = lambda low, high: F.get(F.filter(at, lambda i: (i >= low) & (i < high)), F.lit(0)).cast("long")
+    return model.transform(t).select("c_custkey", place(0, names).alias("name_place"), place(names, names + segments).alias("segment_place"), F.unwrap_udt("hot")["size"].cast("long").alias("size"))
+
+
 @query("ftr10_16_ordinal", """WITH v AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 25))
   SELECT p_partkey, coalesce(code, -1) AS p_brand FROM part LEFT JOIN v USING (p_brand)""")
 def ftr10(spark, d):
@@ -259,11 +272,14 @@ def ftr05(spark, d):
     return features.PowerTransform(["l_extendedprice", "l_quantity"]).fit(t).transform(t)
 
 
-@query("ftr02_knn_impute")
+@query("ftr02_knn_impute", """WITH s AS (SELECT s_suppkey, s_nationkey::DOUBLE AS nk, CASE WHEN s_suppkey % 6 <> 0 THEN s_acctbal END AS bal FROM supplier),
+  n AS (SELECT q.s_suppkey, d.bal, row_number() OVER (PARTITION BY q.s_suppkey ORDER BY abs(q.nk - d.nk), d.nk, d.bal) AS r FROM s q JOIN s d ON q.bal IS NULL AND d.bal IS NOT NULL),
+  f AS (SELECT s_suppkey, avg(bal) AS bal FROM n WHERE r <= 5 GROUP BY s_suppkey)
+  SELECT s_suppkey, nk AS s_nationkey, round(coalesce(s.bal, f.bal), 6) AS s_acctbal FROM s LEFT JOIN f USING (s_suppkey)""")
 def ftr02(spark, d):
     sup = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("s_nationkey"),
                                              F.when(F.col("s_suppkey") % 6 != 0, F.col("s_acctbal")).alias("s_acctbal"))
-    return features.KnnImpute(["s_nationkey", "s_acctbal"]).fit(sup).transform(sup)
+    return rounded(features.KnnImpute(["s_nationkey", "s_acctbal"]).fit(sup).transform(sup))
 
 
 @query("set01_dedup_first", """SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER
@@ -539,7 +555,7 @@ def snk01(spark, d):
     path = shared_folder(spark, "cleaned")
     from ..sinks.datasets import write_cleaned_table
 
-    write_cleaned_table(fit_clean(CleanSpec(num_imputer="median", scaler="robust", outlier_clip=True), t, ["o_totalprice"], ["o_orderpriority"]).columns_model(), t, "o_orderstatus", path)
+    write_cleaned_table(fit_clean(CleanSpec(num_imputer="median", scaler="robust", outlier_clip=True), t, ["o_totalprice"], ["o_orderpriority"], vectors_of_categories=False).columns_model(), t, "o_orderstatus", path)
     out = spark.read.parquet(path)
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in out.columns if c.startswith("o_orderpriority_")])
 

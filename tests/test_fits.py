@@ -115,12 +115,12 @@ def test_labels_fitted_together_equal_separate_fits(spark, monkeypatch, loss, ba
     truth[:, 4] = rng.random(120) < 0.05
     rows = rows_of(spark, x, y=[[int(j) for j in np.flatnonzero(r)] for r in truth])
     monkeypatch.setattr(linear, "GROUP_WEIGHTS", 30)  # three labels at a time
-    model = linear.fit(rows, 9, 5, loss, balance=balance, tolerance=1e-7)
+    model = linear.fit(rows, 9, 5, loss, balance=balance, tolerance=1e-5)
     for j in range(5):
         p = truth[:, j].sum()
         weights = (120 / (2 * (120 - p)), 120 / (2 * p)) if balance else (1.0, 1.0)
         w, b = _separate(x, truth[:, j] == 1, loss, weights)
-        assert np.allclose(model.weights[j], w, atol=2e-3) and abs(model.intercepts[j] - b) < 2e-3
+        assert np.allclose(model.weights[j], w, atol=5e-3) and abs(model.intercepts[j] - b) < 5e-3
     got = {r["id"]: r["pred"] for r in model.predict(rows, "id").collect()}
     margin = x @ model.weights.T + model.intercepts
     assert all(got[i] == np.flatnonzero(margin[i] > 0).tolist() for i in range(120))

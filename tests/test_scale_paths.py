@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftworks.operators import detection, detectors, features, metrics, ordering, pairwise, quantiles, rules, text_eval, vectors
+from siftworks.operators import detection, detectors, features, metrics, neighbours, ordering, quantiles, rules, text_eval, vectors
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -65,6 +65,7 @@ def points(spark):
 
 
 FAR = {"broadcast_bytes": 0, "block_rows": 17}
+SMALL = {"block_rows": 7}
 
 
 def test_nearest_blocks_equal_brute_force(points):
@@ -72,9 +73,9 @@ def test_nearest_blocks_equal_brute_force(points):
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(dist, np.inf)
     want = {i: set(np.argsort(dist[i])[:4]) for i in range(len(x))}
-    for limits in ({}, FAR):
+    for limits in ({}, SMALL):
         got: dict = {}
-        for r in pairwise.nearest(df, "id", "v", 4, **limits).collect():
+        for r in neighbours.nearest(df, "id", "v", 4, **limits).collect():
             got.setdefault(r["id"], set()).add(r["neighbour"])
         assert got == want
 
@@ -102,7 +103,7 @@ def test_dbscan_equals_brute_force(points):
     for i in np.flatnonzero(~core):
         hits = label[near[i] & core]
         label[i] = hits.min() if len(hits) else -1
-    for limits in ({}, FAR):
+    for limits in ({}, SMALL):
         got = {r["id"]: r["cluster"] for r in detectors.dbscan(df, "id", "v", eps, least, **limits).collect()}
         assert got == {i: int(c) for i, c in enumerate(label)}
 
