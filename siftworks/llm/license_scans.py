@@ -20,10 +20,12 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Short notices of public licences (fixed values).
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -293,11 +295,16 @@ def scan(docs: DataFrame, model: LicenceModel, key: str = "doc_id", text: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of the templates
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            rows = [(k, *x, x[4] >= CONFIRM) for k, t in zip(batch[key], batch[text], strict=True) for x in own.paragraphs(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "paragraph", "n_lines", "family", "probability", "similarity", "confirmed"]).astype({"family": object})
+        for batch in slices(batches):
+            rows = [(i, *x, bool(x[4] >= CONFIRM)) for i, t in enumerate(batch.column(1).to_pylist()) for x in own.paragraphs(t or "")]
+            at, *columns = zip(*rows, strict=True) if rows else [()] * 7
+            # the key stays an Arrow column: as numbers of numpy, ids beside a NULL would lose their last digits
+            made = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(made, names=[key, "paragraph", "n_lines", "family", "probability", "similarity", "confirmed"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, paragraph int, n_lines int, family string, probability double, similarity double, confirmed boolean")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, paragraph int, n_lines int, family string, probability double, similarity double, confirmed boolean")

@@ -35,6 +35,11 @@ def _solid_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
 
+def _doc_key(key: Column) -> Column:
+    """The key, or the smallest number where it is NULL."""
+    return F.coalesce(key.cast("long"), F.lit(-(2**63)))
+
+
 def _text_key(text: Column) -> Column:
     return F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")))
 
@@ -42,7 +47,7 @@ def _text_key(text: Column) -> Column:
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines that stand twice or more: d, t (row key), pos, words, id (level 0 rank)."""
     line = F.posexplode(_solid_lines(F.col(text)))
-    lines = docs.select(F.col(key).cast("long").alias("d"), _text_key(F.col(text)).alias("t"), line.alias("pos", "line"))
+    lines = docs.select(_doc_key(F.col(key)).alias("d"), _text_key(F.col(text)).alias("t"), line.alias("pos", "line"))
     # repeated rows are one document
     lines = cut_lineage(lines.select("d", "t", "pos", F.xxhash64(F.lit(1), "line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b"), F.size(words_of(F.col("line"))).alias("words")))
     counts = lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
@@ -104,12 +109,13 @@ def later_copies(first: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.filter(~same).select("d", "t", "pos", "m")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with later copies cut from ``text``, and n_lines, n_removed (non-blank lines).
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """Rows of ``docs`` with later copies cut from ``text``, and n_lines, n_removed (non-blank lines), named by ``counts``.
 
     Order of copies: key, then line; the first stays. Blank lines stay where they are in a text that loses no line and go
     with it otherwise. NULL texts stay NULL, empty texts empty. Rows equal in key and text are one document: all get the
-    same text. Rows with a NULL key come first. ``n_lines`` and ``n_removed`` replace columns of those names.
+    same text. Rows with a NULL key come first, in the order of their texts' hashes. The counts replace columns of those
+    names. Texts of any length are split whole; an empty table gives an empty result.
     """
     first = cut_lineage(repeated_lines(docs, key, text))
     copies = cut_lineage(later_copies(first, min_words))
@@ -117,11 +123,11 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text
     gone = copies.groupBy("d", "t").agg(F.array_distinct(span).alias("_gone")).withColumnsRenamed({"d": "_gone_d", "t": "_gone_t"})  # at most the lines of one text
     if counted(copies, BROADCAST_RUNS):
         gone = F.broadcast(gone)
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in counts]
     base = docs.select(*kept)
-    joined = base.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gone_d")) & (_text_key(F.col(text)) == F.col("_gone_t")), "left")
+    joined = base.join(gone, (_doc_key(F.col(key)) == F.col("_gone_d")) & (_text_key(F.col(text)) == F.col("_gone_t")), "left")
     all_lines = _solid_lines(F.col(text))
     rest = let(all_lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
     new_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)
-    counts = {"n_lines": F.size(all_lines).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return joined.select(*[new_text.alias(c) if c == text else base[c] for c in kept], *[v.alias(k) for k, v in counts.items()])
+    found = (F.size(all_lines).cast("long"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    return joined.select(*[new_text.alias(c) if c == text else base[c] for c in kept], *[v.alias(k) for k, v in zip(counts, found, strict=True)])

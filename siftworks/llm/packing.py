@@ -18,11 +18,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import slices
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -36,22 +37,23 @@ LEDGER = "length long, first_rank long, n long, first_sequence long, offset long
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32. A NULL text counts as empty: the end id alone."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                rows = []
-                for k, t in zip(part[key], part[text], strict=True):
-                    ids = np.append(enc.ids(t), np.uint32(end_id)).astype("<u4")
-                    first = len(ids) % capacity or capacity
-                    for i, end in enumerate(range(first, len(ids) + 1, capacity)):
-                        start = 0 if i == 0 else end - capacity
-                        rows.append((k, i, start, end - start, zlib.crc32(ids[start:end].tobytes())))
-                yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"]).astype({key: batch[key].dtype})
+        for batch in slices(batches):
+            rows = []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                ids = np.append(enc.ids(t), np.uint32(end_id)).astype("<u4")
+                first = len(ids) % capacity or capacity
+                for i, end in enumerate(range(first, len(ids) + 1, capacity)):
+                    start = 0 if i == 0 else end - capacity
+                    rows.append((row, i, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+            at, *columns = zip(*rows, strict=True)
+            # the key stays an Arrow column: as numbers of numpy, ids beside a NULL would lose their last digits
+            made = [batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
+            yield pa.RecordBatch.from_arrays(made, names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -122,7 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """Pieces with their place: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     NULL and empty texts are packed as the end id alone. Rows that repeat are packed as often as they stand. Ties between
-    pieces of one length go by key. An empty table gives an empty result. Other columns are not read.
+    pieces of one length go by key. Texts of any length are encoded whole. An empty table gives an empty result. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     numbered = cut_lineage(pieces(docs, tokenizer, capacity, end_id, key, text))

@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .tokens import encoder
 
 
@@ -39,30 +40,26 @@ def attribute(ends: np.ndarray, starts: np.ndarray, n_chars: int) -> tuple[np.nd
 def count_by_section(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per section: key, section, start_char, end_char, n_tokens, n_crossing.
 
-    A NULL or empty text has one empty section without tokens. Repeated rows give repeated results; other columns are not
-    read; an empty table gives an empty result.
+    A NULL or empty text has one empty section without tokens. Texts of any length are encoded whole. Repeated rows give
+    repeated results; other columns are not read; an empty table gives an empty result.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                out = []
-                for t in part[text]:
-                    t = t or ""
-                    starts = line_starts(t)
-                    ends = enc.ends(t)
-                    counts, crossing = attribute(ends, starts, len(t)) if len(ends) else (np.zeros(len(starts), np.int64),) * 2
-                    out.append((starts, np.append(starts[1:], len(t)), counts, crossing))
-                sizes = [len(x[0]) for x in out]
-                yield pd.DataFrame(
-                    {
-                        key: part[key].repeat(sizes).array,
-                        "section": np.concatenate([np.arange(n) for n in sizes]),
-                        **{c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("start_char", "end_char", "n_tokens", "n_crossing"))},
-                    }
-                )
+        for batch in slices(batches):
+            out = []
+            for t in batch.column(1).to_pylist():
+                t = t or ""
+                starts = line_starts(t)
+                ends = enc.ends(t)
+                counts, crossing = attribute(ends, starts, len(t)) if len(ends) else (np.zeros(len(starts), np.int64),) * 2
+                out.append((starts, np.append(starts[1:], len(t)), counts, crossing))
+            sizes = [len(x[0]) for x in out]
+            at = pa.array(np.repeat(np.arange(len(out)), sizes))
+            section = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
+            # the key stays an Arrow column: as numbers of numpy, ids beside a NULL would lose their last digits
+            made = [batch.column(0).take(at), section, *(pa.array(np.concatenate([x[i] for x in out]).astype(np.int64)) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(made, names=[key, "section", "start_char", "end_char", "n_tokens", "n_crossing"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(count, f"`{key}` {kind}, section int, start_char long, end_char long, n_tokens long, n_crossing long")
+    return docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, section int, start_char long, end_char long, n_tokens long, n_crossing long")
