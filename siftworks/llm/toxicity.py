@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROWS = 12_000
@@ -30,6 +30,8 @@ MIN_SUPPORT = 5
 MIN_STEM, MAX_STEM = 4, 12
 WINDOW = 6
 THRESHOLD = 0.3
+#: Words without a hit that a worker remembers.
+CLEAN_WORDS = 200_000
 QUOTES = "\"'“”„«»‘’"
 KINDS = {**dict.fromkeys("\"“”„", "double"), **dict.fromkeys("'‘’", "single"), **dict.fromkeys("«»", "angle")}
 EDGE = QUOTES + ".,;:!?()[]{}*#$%&|<>-_…¿¡"
@@ -39,7 +41,7 @@ REPORTING = frozenset("said says say wrote writes quoted quote quotes called rep
 class LexiconAutomaton:
     """Trie of terms times Levenshtein automata, made deterministic state by state as words ask for it."""
 
-    MAX_STATES = 200_000
+    MAX_STATES = 50_000
 
     def __init__(self, whole: Iterable[str], stems: Iterable[str], edits_from: tuple[int, ...] = (5, 10)):
         self.children: list[dict[str, int]] = [{}]
@@ -193,7 +195,7 @@ class ToxicityModel:
                 self.hits[w] = hit
             else:
                 self.clean.add(w)
-        if len(self.clean) > 1_000_000:
+        if len(self.clean) > CLEAN_WORDS:
             self.clean.clear()
         return seen & self.hits.keys()
 
@@ -328,6 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_supp
         table = rows.mapInPandas(featured, "a double, b double, c double, d double, y double").toPandas()  # max_rows rows
         x, y = table[list("abcd")].to_numpy(), table["y"].to_numpy()
         model.weights = _ridge_logistic(x, y)
+        model.weights[1:] = [max(w, 0.0) for w in model.weights[1:]]  # hits of no kind speak against toxicity
         if not x[:, 1].any():  # misspellings not seen in training count half an exact hit
             model.weights[2] = 0.5 * model.weights[1]
         if not x[:, 2].any():  # nor quotations: a tenth
@@ -337,18 +340,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_supp
         rows.unpersist()
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score and predicted to every row; columns of those names are replaced. NULL and empty texts have no hits and get the score of that."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon learned from a bounded sample
+def scores(model: ToxicityModel, spark: SparkSession, text: Column) -> Column:
+    """The score of every text, 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)  # a lexicon learned from a bounded sample
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         own = shared.value
         return pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    return docs.select(*kept).withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored(text)
 
 
-def toxicity_of(spark: SparkSession, sf_dir: str) -> ToxicityModel:
-    return train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Adds score and predicted to every row; columns of those names are replaced. NULL and empty texts have no hits and get
+    the score of that; repeated rows get equal scores. Texts of any length are read whole. An empty table gives an empty
+    result."""
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    return docs.select(*kept).withColumn("score", scores(model, docs.sparkSession, F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

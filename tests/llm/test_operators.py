@@ -108,6 +108,29 @@ def test_plan_places_every_piece_once(seed):
     assert all(sum(3 * n > 100 for _, n in p) <= 2 for p in used.values())
 
 
+def test_ids_beside_a_null_keep_their_digits(spark, docs):
+    big = 2**53 + 1
+    notice = license_scans.TEMPLATES["mit"][0]
+    own = spark.createDataFrame([(big, notice), (None, notice), (big + 2, notice)], "doc_id long, text string").coalesce(1)
+    want = {big, None, big + 2}
+    assert {r["doc_id"] for r in packing.pack(own, BPE).collect()} == want
+    assert {r["doc_id"] for r in token_counts.count_by_section(own, BPE).collect()} == want
+    assert {r["doc_id"] for r in license_scans.scan(own, license_scans.train(docs)).collect()} == want
+
+
+def test_sequences_are_close_to_the_least_number(spark):
+    """No packing needs fewer sequences than its tokens or its pieces over half the capacity ask for."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), BPE).select("length", "sequence_id").collect()
+    least = max(-(-sum(r["length"] for r in rows) // 1024), sum(r["length"] > 512 for r in rows))
+    assert len({r["sequence_id"] for r in rows}) <= 1.02 * least + 1
+
+
+def test_rows_without_a_key_take_part_in_line_dedup(spark):
+    rows = [(None, "first\n" + RUN), (1, "second\n" + RUN), (2, "third\n" + RUN)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: ("first\n" + RUN, 0), 1: ("second", 4), 2: ("third", 4)}
+
+
 def test_token_counts(odd, empty):
     whole = Tokenizer.from_file(BPE)
     got = collections.Counter()
@@ -371,10 +394,15 @@ def test_toxicity(spark, docs, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = toxicity.train(large, labels)
-    rows = toxicity.score(large.join(labels, "doc_id").filter("pmod(crc32(cast(doc_id as string)), 4) = 2"), model).select("toxic", "predicted", "score").collect()
-    hit = sum(r["toxic"] and r["predicted"] for r in rows) / sum(r["toxic"] for r in rows)
+    rows = toxicity.score(large.join(labels, "doc_id").filter("pmod(crc32(cast(doc_id as string)), 4) = 2"), model).select("doc_id", "toxic", "predicted", "score").collect()
     wrong = sum(r["predicted"] and not r["toxic"] for r in rows) / sum(not r["toxic"] for r in rows)
-    assert hit > 0.95 and wrong < 0.01 and all(0 <= r["score"] <= 1 for r in rows)
+    # these six hold no word that is more frequent in toxic than in clean training rows: nothing says what they are
+    missed = {r["doc_id"] for r in rows if r["toxic"] and not r["predicted"]}
+    assert missed <= {383, 2514, 3351, 8743, 8847, 9062} and wrong < 0.01 and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(w >= 0 for w in model.weights[1:])
+    for words in (20, 300):  # a misspelt insult never counts less than a calm text of the same length
+        calm = " ".join(f"w{i}" for i in range(words))
+        assert model.score("you are an idiiot and a mooron " + calm) >= model.score("we are at home and at peace " + calm)
     plain, misspelt = model.score("you are an idiot and a moron they are"), model.score("you are an idiiot and a mooron they are")
     said = model.score('he said "idiot" and she wrote "moron" to them')
     assert plain > 0.3 and plain > misspelt > model.score("a calm text") and plain > said
@@ -491,5 +519,28 @@ def test_pipeline(spark, docs):
     assert {r["doc_id"] for r in frames[4].collect()} == {r["doc_id"] for r in frames[3].collect()}
 
 
+def test_stages_keep_odd_rows_and_clashing_columns(spark, odd, empty):
+    """Every stage on NULL, empty and long texts, repeated rows, a NULL key and columns named like the stages' own."""
+    extra = {"score": 42.0, "predicted": 7, "n_lines": -7, "n_removed": -3, "component_id": 5, "d": 1}
+    from pyspark.sql import functions as F
+
+    rows = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(v).alias(k) for k, v in extra.items()])
+    kept = [(1, 2, 3, 4, 5, 6, 7, 7, 8, 9, None), (1, 2, 3, 4, 5, 6, 7, 7, 9, None)]
+    step = rows
+    for (name, stage), ids in zip(corpus_pipeline.STAGES, [kept[0], kept[1], None, None], strict=False):
+        after = cut_lineage(stage(spark, step, SF))
+        assert after.columns == rows.columns, name
+        found = after.collect()
+        assert all(r[k] == v for r in found for k, v in extra.items()), name
+        if ids:
+            assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in found) == sorted((i is not None, i or 0) for i in ids), name
+        assert {r["doc_id"] for r in found} >= {1, 2, 3, 4, 5, 6, 9, None}, name
+        step = after
+        assert stage(spark, rows.limit(0), SF).collect() == [], name
+    packed = corpus_pipeline.STAGES[-1][1](spark, step, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in step.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, rows.limit(0), SF).collect() == []
+
+
 def test_queries_are_registered():
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES if n != "pipeline"} == {str(i) for i in range(1, 11)} and "pipeline" in QUERIES
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES if n != "pipeline"} == {str(i) for i in range(1, 14)} and "pipeline" in QUERIES
