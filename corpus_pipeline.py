@@ -1,7 +1,11 @@
 """Cleans a corpus and packs it: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet below the shared folder
-and hands the reread table to the next stage. All stages but the last return the columns of documents.
+and hands the reread table to the next stage. All stages but the last return the columns of documents, further columns of
+any name among them, untouched.
+
+NULL, empty and very long texts go through every stage like others; an empty table stays empty. Repeated rows are judged
+alike: of rows that share doc_id and text all stay or go, as a doc_id stands for one document.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon model, learned from the labelled documents, does not call toxic."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return docs.filter(toxicity.scores(model, spark, F.col("text")) < toxicity.THRESHOLD)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long line runs go; a document that consists of them altogether goes with them."""
-    out = line_dedup.dedup(docs)
-    kept = out.filter("n_removed = 0 or n_removed < n_lines")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, gone = "_pipeline_lines", "_pipeline_gone"
+    out = line_dedup.dedup(docs, counts=(lines, gone)).filter((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
+    return out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
