@@ -316,18 +316,19 @@ class _KnnModel(Model):
         groups = df.sparkSession.createDataFrame(pairs, "q string, d string")
 
         def projected(side: DataFrame, own: str, ident: Column) -> DataFrame:
-            """Every vector once per group of its pattern, in the shared columns, scaled by how many there are."""
+            """Every vector once per group of its pattern, with zeros outside the shared columns."""
             both = side.join(F.broadcast(groups), side["p"] == groups[own])
             shared = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.substr("q", i, F.lit(1)) == "1") & (F.substr("d", i, F.lit(1)) == "1"))
-            scale = F.sqrt(F.lit(float(n)) / F.size(F.filter(shared, lambda b: b)))
-            x = F.transform(F.arrays_zip(F.col("v"), shared.alias("s")), lambda z: F.when(z["s"], z["v"] * scale).otherwise(F.lit(0.0)))
+            x = F.transform(F.arrays_zip(F.col("v"), shared.alias("s")), lambda z: F.when(z["s"], z["v"]).otherwise(F.lit(0.0)))
             return both.select(F.concat_ws("|", "q", "d").alias("group"), ident.alias("id"), x.alias("x"))
 
         shelf = neighbours.rings(neighbours.entries(projected(held, "d", F.col("_donor")), "id", "x", self.k, "group"))
         queries = projected(asked, "q", F.concat_ws("|", F.col("_row").cast("string"), "q", "d"))
         found = neighbours.nearest_entries(neighbours.rings(queries.withColumn("keys", F.array("id")), pivots=shelf.pivots), shelf, self.k).rows
         at = F.split("id", r"\|")
-        near = found.select(at[0].cast("long").alias("_row"), at[1].alias("q"), F.col("key").alias("_donor"), "distance").join(self.donors, "_donor")
+        shared = F.length(F.regexp_replace(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.substr(at[1], i, F.lit(1)), F.substr(at[2], i, F.lit(1)), F.lit(",")))), "(00|01|10),", "")) / 3
+        scaled = F.col("distance") * F.sqrt(F.lit(float(n)) / shared)  # the fewer columns are shared, the more each counts
+        near = found.select(at[0].cast("long").alias("_row"), at[1].alias("q"), F.col("key").alias("_donor"), scaled.alias("distance")).join(self.donors, "_donor")
         missing = F.posexplode("v").alias("j", "value")
         best = Window.partitionBy("_row", "j").orderBy("distance", "_donor")
         values = near.select("_row", "q", "_donor", "distance", missing).filter((F.substr("q", F.col("j") + 1, F.lit(1)) == "0") & F.col("value").isNotNull())
