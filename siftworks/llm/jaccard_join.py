@@ -3,7 +3,7 @@
 Sets are 64-bit hashes of five-word shingles; a set is known by the 64-bit digest of its hashes, so exact copies are one
 set from the start (with n sets, two different ones meet by chance with probability n^2 / 2^65).
 
-* Order of shingles: rare before frequent, by hash among each. Frequent ones are counted over all sets. The list of
+* Order of shingles: rare before frequent, by hash among each. All shingles of all sets are counted. The list of
   frequent shingles sent to the tasks is bounded by ``MAX_FREQUENT``: with more, the least frequent of them count as
   rare, which changes the order, not the result.
 * Index: two sets can only reach the threshold t if they share a shingle among the first n - ceil(t n) + 1 of both. A
@@ -13,10 +13,12 @@ set from the start (with n sets, two different ones meet by chance with probabil
   the overlap bound, or whose sizes differ too much, is skipped whole.
 * Skipping by set relations: in every list the members of a size class first meet one leader, the
   set with the fewest rarer shingles; each set is checked against
-  the leader it meets most. A set linked to its leader belongs to the leader's cluster, its difference from the leader
+  the leader it meets most. Sets left over elect new leaders among themselves, for as long as rounds link a good part of
+  them. A set linked to its leader belongs to the leader's cluster, its difference from the leader
   is known, and its other answers derive from the leader's: |y - z| lies within |x - w| -+ (|x - y| + |w - z|) for leaders
   x, w. Leaders of different clusters that share a list are checked once; members are compared only where these bounds
-  leave the answer open.
+  leave the answer open. Clusters of one component never meet, and in crowded lists the leaders' sketches are part of the
+  join's condition, so clusters that these bounds keep apart give no row.
 
 * Verification: a set of n shingles has an odd sketch of 2n to 4n bits, bit i telling whether an odd number of its shingles
   hash to i. Every bit in which two sketches differ is a shingle in one set only, so the differing bits are a lower bound
@@ -47,13 +49,15 @@ PERCENT = 80
 #: A shingle is frequent if more sets hold it.
 FREQUENT = 64
 MAX_FREQUENT = 1_000_000
-#: Share of the hash range whose shingles are counted; prefixes seldom reach further.
-COUNTED_SHARE = 0.35
 BLOCK_SHINGLES = 500_000
 #: Texts or sets that are sent to Python at a time.
 BATCH_ROWS = 500
 #: Documents whose sets are compared that may be sent to every task as ids.
 BROADCAST_IDS = 1_000_000
+#: Lists with more blocks than this carry their clusters' sketches into the join; shorter ones give few rows without.
+CROWDED = 16
+#: Leader rounds go on while they link at least this share of the sets they try.
+WORTH_A_ROUND = 0.05
 
 
 #: Upper half of a hash.
@@ -75,6 +79,39 @@ def _differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _folded(odd: bytes, n: int, percent: int) -> np.ndarray:
+    """A sketch folded to the power of two of bits that is at least four times the difference a link allows between sets of
+    this size: 64-bit words, a power of two of them."""
+    words, most = np.frombuffer(odd, np.int64), max(64, 4 * (100 - percent) * 2 * n // (100 + percent))
+    while len(words) * 32 >= most and len(words) > 1:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _prints(sketches: DataFrame, percent: int) -> DataFrame:
+    """cluster and print of leaders, from sig, n and odd sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_folded(o, n, percent) for n, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cluster", "print"])
+
+    return sketches.select("sig", "n", "odd").mapInArrow(run, "cluster long, print array<long>")
+
+
+def _differing_bits(x: Column, y: Column) -> Column:
+    """Differing bits of two folded sketches, of one size or one twice the other's. Compared sets differ less than twofold
+    in size, as their leaders do."""
+
+    def halved(c: Column, other: Column) -> Column:
+        half = F.floor(F.size(c) / 2).cast("int")
+        folded = F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(c) > F.size(other), folded).otherwise(c)
+
+    bits = F.zip_with(halved(x, y), halved(y, x), lambda p, q: F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0)))
+    return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+
+
 def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -128,7 +165,7 @@ def _among(s: np.ndarray, often: np.ndarray, mask: np.uint64) -> np.ndarray:
 def frequent_shingles(docs: DataFrame, buckets: int, size: int = SHINGLE, text: str = "text") -> np.ndarray:
     """Sorted names of the shingles that more than FREQUENT sets hold, the most frequent MAX_FREQUENT of them. A name is the
     bucket and the upper half of a hash: shingles of one name would count together, which changes the order alone."""
-    mask, limit = np.uint64(buckets - 1), np.uint64(int(COUNTED_SHARE * 2**64))
+    mask = np.uint64(buckets - 1)
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)  # a hot shingle is one entry from here on
@@ -138,7 +175,7 @@ def frequent_shingles(docs: DataFrame, buckets: int, size: int = SHINGLE, text:
         parts, held, seen = [], 0, set()
         for batch in slices(batches):
             for _, s in _new_sets(utf8(batch.column(0)), size, seen):
-                parts.append(_named(s[: np.searchsorted(s, limit)], mask))
+                parts.append(_named(s, mask))
                 held += len(parts[-1])
                 if held > BLOCK_SHINGLES:
                     yield flush(parts)
@@ -274,19 +311,32 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / -np.log(percent / 100)).cast("int")
 
 
-def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Cluster pairs (a < b) of entries s, sig, n, pos, cluster that share a list, found block by block."""
+def _block_pairs(entries: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Cluster pairs (a < b) of different labels among entries s, sig, n, pos, cluster, away, label that share a list, found
+    block by block. Linked members of two clusters share no label and pass every condition in each list they share."""
     width = 16
     blocks = entries.withColumn("band", _band(F.col("n"), percent)).withColumn("pb", F.floor(F.col("pos") / width))
-    heads = blocks.groupBy("s", "cluster", "band", "pb").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("p"))
+    heads = blocks.groupBy("s", "cluster", "label", "band", "pb").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("p"), F.max("away").alias("r"))
     alone = entries.groupBy("cluster").agg((F.min("sig") == F.max("sig")).alias("alone"))
     heads = cut_lineage(heads.join(alone, "cluster"))
-    other = heads.select("s", *[F.col(c).alias(f"{c}2") for c in ("cluster", "band", "pb", "lo", "hi", "p", "alone")])
+    crowds = cut_lineage(heads.groupBy("s").count().filter(F.col("count") > CROWDED).select("s"))
+    crowded = heads.join(crowds, "s", "left_semi")
+    leaders = sketches.join(crowded.select(F.col("cluster").alias("sig")).distinct(), "sig", "left_semi")
+    crowded = cut_lineage(crowded.join(_prints(leaders, percent), "cluster"))
+    columns = ("cluster", "label", "band", "pb", "lo", "hi", "p", "alone", "r")
     near = F.abs(F.col("band") - F.col("band2")) <= 1
     sizes = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
     room = F.least(F.col("hi") - F.col("p"), F.col("hi2") - F.col("p2"))
     reach = (100 + percent) * room >= percent * (F.col("lo") + F.col("lo2"))
-    found = heads.join(other, "s").filter((F.col("cluster") < F.col("cluster2")) & near & sizes)
+    able = (F.col("cluster") < F.col("cluster2")) & (F.col("label") != F.col("label2")) & near & sizes
+    apart = _differing_bits(F.col("print"), F.col("print2")) - F.col("r") - F.col("r2")
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("hi") + F.col("hi2"))
+
+    def met_in(some: DataFrame, more: tuple[str, ...], condition: Column) -> DataFrame:
+        other = some.select(F.col("s").alias("s2"), *[F.col(c).alias(f"{c}2") for c in (*columns, *more)])
+        return some.join(other, (F.col("s") == F.col("s2")) & condition).drop("print", "print2")
+
+    found = met_in(heads.join(crowds, "s", "left_anti"), (), able).unionByName(met_in(crowded, ("print",), able & close))
     met = found.groupBy(F.col("cluster").alias("a"), F.col("cluster2").alias("b")).agg(
         F.count("*").alias("m"), F.max(reach).alias("reach"), F.min(F.col("alone") & F.col("alone2")).alias("alone"), F.max("p").alias("p1"), F.max("p2").alias("p2"),
         *[f(c).alias(f"{c}_") for f, names in ((F.max, ("hi", "hi2")), (F.min, ("lo", "lo2"))) for c in names],
@@ -299,6 +349,21 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("reach") & enough & single).select("a", "b")
 
 
+def _led(entries: DataFrame, percent: int) -> DataFrame:
+    """For sets of entries s, sig, n, pos, label the leader they meet most among those of another label: a, b."""
+    # of each size class of a list the set with the fewest rarer shingles, as copies differ by rare ones
+    banded = entries.withColumn("band", _band(F.col("n"), percent))
+    first = banded.groupBy("s", "band").agg(F.min(F.struct("pos", "sig", "n", "label")).alias("_m"))
+    leaders = cut_lineage(first.select("s", "band", F.col("_m.sig").alias("leader"), F.col("_m.pos").alias("pos2"), F.col("_m.n").alias("n2"), F.col("_m.label").alias("label2")))
+    both = leaders.unionByName(leaders.withColumn("band", F.col("band") + 1))
+    met = banded.join(both, ["s", "band"]).filter("label <> label2")
+    shared = met.groupBy("sig", "leader").agg(F.count("*").alias("n"), F.max("n").alias("n1"), F.max("n2").alias("n2"), F.max("pos").alias("p1"), F.max("pos2").alias("p2"))
+    # where they follow other leaders they may share some more; what this leaves out the block pairs bring back
+    hopeful = _reachable(F.col("n") * 1.25 + 4, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
+    most = shared.filter(hopeful).groupBy("sig").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("leader"))).alias("m"))
+    return most.select(F.col("sig").alias("a"), F.bitwise_not("m.leader").alias("b"))
+
+
 def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """Component labels of sets: node, label. ``known`` has key, n_shingles, sig and odd sketch of every document."""
     entries = cut_lineage(entries)
@@ -318,33 +383,29 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
         exact = _overlap(left, reduce(DataFrame.unionByName, have), percent)
         return exact.unionByName(possible.filter("not open").select("a", "b", "diff", F.lit(False).alias("linked")))
 
-    # leaders: of each size class of a list the set with the fewest rarer shingles, as copies differ by rare ones
-    banded = entries.withColumn("band", _band(F.col("n"), percent))
-    leaders = cut_lineage(banded.groupBy("s", "band").agg(F.min(F.struct("pos", "sig", "n")).alias("_m")).select("s", "band", F.col("_m.sig").alias("leader"), F.col("_m.pos").alias("pos2"), F.col("_m.n").alias("n2")))
-    both = leaders.unionByName(leaders.withColumn("band", F.col("band") + 1))
-    met = banded.join(both, ["s", "band"]).filter("sig <> leader")
-    shared = met.groupBy("sig", "leader").agg(F.count("*").alias("n"), F.max("n").alias("n1"), F.max("n2").alias("n2"), F.max("pos").alias("p1"), F.max("pos2").alias("p2"))
-    # where they follow other leaders they may share some more; what this leaves out the block pairs bring back
-    hopeful = _reachable(F.col("n") * 1.25 + 4, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
-    most = shared.filter(hopeful).groupBy("sig").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("leader"))).alias("m"))
-    first = compared(most.select(F.col("sig").alias("a"), F.bitwise_not("m.leader").alias("b")))
-    found = first.filter("linked")
-    edges = found.select("a", "b")
-
     def labelled(edges: DataFrame) -> DataFrame:
         return components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
-    label = labelled(edges)
-    # clusters: a leader and the sets linked to it that follow no one else
-    follows = found.select(F.col("a").alias("sig"), F.col("b").alias("cluster"), F.col("diff").alias("away"))
-    heads = follows.select(F.col("sig").alias("_h"))
-    follows = follows.join(heads, F.col("cluster") == F.col("_h"), "left_anti")
-    of = entries.join(follows, "sig", "left").join(label, F.col("sig") == F.col("node"), "left")
-    of = cut_lineage(of.select("s", "sig", "n", "pos", F.coalesce("cluster", "sig").alias("cluster"), F.coalesce("away", F.lit(0)).alias("away"), F.coalesce("label", "sig").alias("label")))
-    mixed_lists = of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("s")
-    of = cut_lineage(of.join(mixed_lists, "s"))
-
-    pairs = _apart(_block_pairs(of, percent), label)
+    of, rest, edges, follows = None, entries.withColumn("label", F.col("sig")), None, None
+    while True:
+        tried = compared(_led(rest, percent))
+        found = tried.filter("linked")
+        edges = found.select("a", "b") if edges is None else cut_lineage(edges.unionByName(found.select("a", "b")))
+        label = labelled(edges)
+        # clusters: a leader and the sets linked to it that follow no one else
+        fresh = found.select(F.col("a").alias("sig"), F.col("b").alias("cluster"), F.col("diff").alias("away"))
+        fresh = fresh.join(fresh.select(F.col("sig").alias("_h")), F.col("cluster") == F.col("_h"), "left_anti")
+        follows = cut_lineage(fresh if follows is None else follows.unionByName(fresh))
+        of = entries.join(follows, "sig", "left").join(label, F.col("sig") == F.col("node"), "left")
+        of = cut_lineage(of.select("s", "sig", "n", "pos", F.coalesce("cluster", "sig").alias("cluster"), F.coalesce("away", F.lit(0)).alias("away"), F.coalesce("label", "sig").alias("label")))
+        mixed_lists = of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("s")
+        of = cut_lineage(of.join(mixed_lists, "s"))
+        if found.count() <= WORTH_A_ROUND * tried.count():
+            break
+        taken = follows.select("sig").union(follows.select("cluster")).distinct()
+        rest = of.join(taken, "sig", "left_anti")  # neither leader nor led
+
+    pairs = _apart(_block_pairs(of, sketches, percent), label)
     second = compared(pairs)
     edges = cut_lineage(edges.unionByName(second.filter("linked").select("a", "b")))
     label = labelled(edges)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -342,6 +343,45 @@ def test_odd_sketches_bound_the_difference(sizes):
     assert jaccard_join._differing(jaccard_join.odd_sketch(x), jaccard_join.odd_sketch(x)) == 0
 
 
+@pytest.mark.parametrize("sizes", [(1, 1), (60, 75), (300, 370), (1_000, 560), (4_000, 4_900)])
+def test_folded_sketches_bound_the_difference(spark, sizes):
+    rng = np.random.default_rng(sum(sizes))
+    rows, diffs = [], []
+    for common in (0, 1, min(sizes) // 2, min(sizes)):
+        x, y = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in sizes)
+        y[:common] = x[:common]
+        folded = [jaccard_join._folded(jaccard_join.odd_sketch(np.unique(v)), len(v), 80) for v in (x, y)]
+        rows.append([w.tolist() for w in folded])
+        diffs.append(len(set(x.tolist()) ^ set(y.tolist())))
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>")
+    for columns in (("x", "y"), ("y", "x")):
+        got = [r[0] for r in frame.select(jaccard_join._differing_bits(*map(F.col, columns))).collect()]
+        assert all(a is not None and a <= b for a, b in zip(got, diffs, strict=True))
+        assert 180 * got[0] > 20 * sum(sizes) or sum(sizes) < 10  # sets without a common shingle are told apart
+
+
+@pytest.mark.parametrize("crowded", [0, 1_000_000])
+def test_jaccard_join_in_crowded_lists(spark, crowded, monkeypatch):
+    """Texts that share most of their words without being near copies, chains among them, with and without sketches in the join."""
+    monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard_join, "WORTH_A_ROUND", 0.0)
+    rng = np.random.default_rng(11)
+    passage, own = [f"p{k}" for k in range(120)], {}
+    for i in range(120):  # some pairs reach the threshold, most do not
+        own[i] = " ".join(passage + [f"y{k}" for k in rng.integers(0, 10_000, int(rng.integers(8, 40)))])
+    for i in range(80):  # a chain: each text replaces three more words of the one before
+        own[1_000 + i] = " ".join([f"z{k}" for k in range(3 * i)][-90:] + [f"c{k}" for k in range(3 * i, 150)])
+    for i in range(60):  # near copies of near copies, none close to all others
+        w = [f"g{k}" for k in range(200)]
+        for at in rng.choice(200, 6, replace=False):
+            w[at] = f"h{i}"
+        own[2_000 + i] = " ".join(w)
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame).collect()}
+    assert got == _brute_components(own)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101)], "a long, b long")
     label = {r["node"]: r["label"] for r in components.components(edges).collect()}
