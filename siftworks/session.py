@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,9 +26,19 @@ def local_session(app: str = "siftworks", cores: str = "8", partitions: int = 8)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which need not have it on their path. Call it for a session of your own."""
+    if any(f.endswith("/siftworks.zip") for f in spark.sparkContext.listFiles):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="siftworks-ship-"), "siftworks"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
