@@ -26,18 +26,37 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, runs)
 
 
-def overlap_f1(df: DataFrame, key: str, pred: str, ref: str, n: int, out: str) -> DataFrame:
-    """(key, F1 of multiset n-gram overlap). Grams of both sides are counted per (key, gram) with map-side combining."""
-    p, r = (ngrams(tx.words(F.lower(F.coalesce(F.col(c), F.lit("")))), n) for c in (pred, ref))
-    grams = df.select(key, F.explode(F.concat(
-        F.transform(p, lambda g: F.struct(g.alias("g"), F.lit(1).alias("p"), F.lit(0).alias("r"))),
-        F.transform(r, lambda g: F.struct(g.alias("g"), F.lit(0).alias("p"), F.lit(1).alias("r"))))).alias("x"))
-    cells = grams.groupBy(key, "x.g").agg(F.sum("x.p").alias("p"), F.sum("x.r").alias("r"))
-    sums = cells.groupBy(key).agg(
-        F.sum(F.least("p", "r")).alias("o"), F.sum("p").alias("np"), F.sum("r").alias("nr"))
-    prec, rec = F.col("o") / F.greatest("np", F.lit(1)), F.col("o") / F.greatest("nr", F.lit(1))
-    scored = sums.select(key, (2 * prec * rec / F.greatest(prec + rec, F.lit(EPS))).alias(out))
-    return df.select(key).join(scored, key, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+def numbered(items: Column) -> Column:
+    """Each text of an array marked with how many equal ones it completes, so that a multiset becomes a set. Equal texts
+    lie together after sorting; a run's start gives the count, so the work is one sort and one pass."""
+
+    def marks(run):
+        last = F.size(run) - 1
+        return let(F.filter(F.transform(run, lambda g, i: F.when((i == 0) | (g != F.get(run, i - 1)), i)), lambda i: i.isNotNull()), lambda starts: F.flatten(F.transform(
+            starts, lambda at, j: F.transform(F.sequence(at, F.coalesce(F.get(starts, j + 1) - 1, last)), lambda i: F.concat(F.get(run, at), F.lit("\x01"), (i - at).cast("string"))))))
+
+    return let(F.array_sort(items), marks)
+
+
+def multiset_f1(pred: Column, ref: Column) -> Column:
+    """F1 of the overlap of two arrays of texts, repeats counted; 0 when one is empty. Stays inside the row."""
+
+    def f1(sides):
+        shared = F.size(F.array_intersect(numbered(sides["p"]), numbered(sides["r"])))
+        prec, rec = shared / F.greatest(F.size(sides["p"]), F.lit(1)), shared / F.greatest(F.size(sides["r"]), F.lit(1))
+        return 2 * prec * rec / F.greatest(prec + rec, F.lit(EPS))
+
+    return let(F.struct(pred.alias("p"), ref.alias("r")), f1)
+
+
+def lower_words(text: Column) -> Column:
+    """Lower-cased words; a missing text has none."""
+    return tx.words(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def overlap_f1(pred: str, ref: str, n: int) -> Column:
+    """F1 of the n-grams two text columns share."""
+    return multiset_f1(*[ngrams(lower_words(F.col(c)), n) for c in (pred, ref)])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -74,8 +93,8 @@ def run_f1(pred: Column, ref: Column) -> Column:
 
 def rouge(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
     """rouge1, rouge2 and rouge_l (contiguous run) per row."""
-    base = df.select(key, run_f1(F.col(pred), F.col(ref)).alias("rouge_l"))
-    return base.join(overlap_f1(df, key, pred, ref, 1, "rouge1"), key).join(overlap_f1(df, key, pred, ref, 2, "rouge2"), key)
+    words = df.select(key, lower_words(F.col(pred)).alias("_pw"), lower_words(F.col(ref)).alias("_rw"), run_f1(F.col(pred), F.col(ref)).alias("rouge_l"))
+    return words.select(key, *[multiset_f1(ngrams(F.col("_pw"), n), ngrams(F.col("_rw"), n)).alias(f"rouge{n}") for n in (1, 2)], "rouge_l")
 
 
 def summarization_scores(df: DataFrame, key: str, source: str, summary: str) -> DataFrame:
@@ -90,8 +109,7 @@ def qa_scores(df: DataFrame, key: str, context: str, question: str, answer: str)
     pred = tx.best_sentence(F.coalesce(F.col(context), F.lit("")), F.coalesce(F.col(question), F.lit("")))
     picked = df.select(key, pred.alias("_pred"), F.coalesce(F.col(answer), F.lit("")).alias("_ref"))
     em = (F.lower(F.trim("_pred")) == F.lower(F.trim("_ref"))).cast("double")
-    f1 = overlap_f1(picked, key, "_pred", "_ref", 1, "token_f1")
-    return picked.select(key, em.alias("exact_match")).join(f1, key).agg(
+    return picked.select(em.alias("exact_match"), overlap_f1("_pred", "_ref", 1).alias("token_f1")).agg(
         F.avg("exact_match").alias("exact_match"), F.avg("token_f1").alias("token_f1"))
 
 

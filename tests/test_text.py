@@ -2,6 +2,7 @@
 
 import difflib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftworks.functions import english as en
@@ -113,3 +114,24 @@ def test_character_terms_of_short_words(spark):
 def test_word_errors_ignore_case_and_outer_blanks(spark):
     df = spark.createDataFrame([(0, " The Cat sat ", "the cat SAT"), (1, "a b", "a c d"), (2, None, "x y")], "i int, a string, b string")
     assert run(df, tx.token_distance(F.col("a"), F.col("b"))) == [0, 2, 2]
+
+
+def test_overlap_counts_repeats_inside_the_row(spark):
+    from collections import Counter
+
+    def f1(a, b, n):
+        a, b = ([" ".join(w[i:i + n]) for i in range(len(w) - n + 1)] for w in ((a or "").lower().split(), (b or "").lower().split()))
+        shared = sum((Counter(a) & Counter(b)).values())
+        p, r = shared / max(len(a), 1), shared / max(len(b), 1)
+        return 2 * p * r / max(p + r, 1e-12)
+
+    pairs = [("a a b A", "a b b a"), ("", "q"), (None, "q"), (None, None), ("x", "x"), ("a\x011 a", "a a\x011 a"), ("one", "two"), ("w " * 400 + "v", "v " + "w " * 300), (" ".join(str(i % 7) for i in range(900)), " ".join(str(i % 11) for i in range(700)))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for n in (1, 2, 3):
+        assert run(df, text_eval.overlap_f1("a", "b", n)) == pytest.approx([f1(a, b, n) for a, b in pairs])
+
+
+def test_summaries_are_scored_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b c", "a b")], "id int, s string, r string")
+    for scored in (text_eval.rouge(df, "id", "s", "r"), df.select(text_eval.overlap_f1("s", "r", 1))):
+        assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
