@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .correlations import pairwise_correlations
 from .quantiles import clean_number, exact_quantiles
 
 # Thresholds of the profile flags.
@@ -234,10 +235,20 @@ def _pair_correlation(a: str, b: str) -> Column:
     return F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
 
 
-def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float = HIGH_CORRELATION, min_rows: int = 10) -> DataFrame:
-    """Upper-triangle Pearson correlations over pairwise complete rows whose absolute value exceeds ``threshold``."""
+#: Columns up to which each pair is an expression of its own: same values, no Python worker.
+FEW_COLUMNS = 16
+
+
+def correlated_pairs(
+    df: DataFrame, cols: Sequence[str], threshold: float = HIGH_CORRELATION, min_rows: int = 10, few_columns: int = FEW_COLUMNS
+) -> DataFrame:
+    """Upper-triangle Pearson correlations over pairwise complete rows whose absolute value exceeds ``threshold``; none in
+    tables of fewer than ``min_rows`` rows. Many columns are summed block by block instead of pair by pair."""
     pairs = _column_pairs(cols)
-    if not pairs:
+    if len(cols) > few_columns and df.limit(min_rows).count() == min_rows:
+        found = pairwise_correlations(df, cols)
+        return found.filter(~F.isnan("r") & (F.abs("r") > threshold)).drop("n")
+    if not pairs or len(cols) > few_columns:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     one = df.agg(F.count("*").alias("rows"), *[_pair_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     entries = [
@@ -327,7 +338,7 @@ def profile_table(df: DataFrame, target: str | None = None) -> TableProfile:
     """The whole profile in a handful of jobs: two aggregations over all columns with the quantiles between them, and one
     job each for cardinality, duplicates and the target."""
     num, cat = split_columns(df, target)
-    features, pairs = num + cat, _column_pairs(num)
+    features, pairs = num + cat, _column_pairs(num) if len(num) <= FEW_COLUMNS else []
     first = df.agg(
         F.count("*").alias("rows"),
         *[F.avg(is_missing(df, c).cast("int")).alias(f"m{i}") for i, c in enumerate(features)],
@@ -354,7 +365,11 @@ def profile_table(df: DataFrame, target: str | None = None) -> TableProfile:
             outlier_ratio=second[f"o{i}"], is_binary=second[f"i{i}"] == 0)
     for row in cardinality(df, cat).collect() if cat else []:
         columns[row["column_name"]].update(cardinality=row["cardinality"], high_cardinality=row["high_cardinality"])
-    strong = [(a, b) for i, (a, b) in enumerate(pairs) if first["rows"] >= 10 and (first[f"r{i}"] or 0.0) ** 2 > HIGH_CORRELATION**2]
+    if len(num) > FEW_COLUMNS:
+        found = {(r["col_a"], r["col_b"]) for r in correlated_pairs(df, num).select("col_a", "col_b").collect()}
+        strong = [p for p in _column_pairs(num) if p in found]
+    else:
+        strong = [(a, b) for i, (a, b) in enumerate(pairs) if first["rows"] >= 10 and (first[f"r{i}"] or 0.0) ** 2 > HIGH_CORRELATION**2]
     balance = class_balance(df, target).first() if target else None
     return TableProfile(
         n_rows=first["rows"],

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import columns, features, metrics, rules, sampling, series
 from ..operators import tabular_profile as tp
+from ..operators.correlations import pairwise_correlations
 from ..session import table
 from .registry import query, rounded
 
@@ -112,6 +113,21 @@ def prf12(spark, d):
     return rounded(tp.correlated_pairs(t, CORR_COLS))
 
 
+#: Twenty columns of every line, some with gaps.
+WIDE = {c: f"CAST({c} AS DOUBLE)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+WIDE |= {"net": "l_extendedprice * (1 - l_discount)", "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "unit_price": "l_extendedprice / l_quantity"}
+WIDE |= {f"{c}_gaps": f"CASE WHEN l_linenumber <> {i % 4 + 1} THEN {e} END" for i, (c, e) in enumerate(list(WIDE.items())[3:])}
+WIDE |= {"always": "CAST(7 AS DOUBLE)"}
+
+
+@query("prf12_wide_correlations", f"WITH t AS (SELECT {', '.join(f'{e} AS {c}' for c, e in WIDE.items())} FROM lineitem), p AS (SELECT unnest([" + ", ".join(
+    f"{{'col_a': '{a}', 'col_b': '{b}', 'n': count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END), 'r': CASE WHEN '{b}' <> 'always' THEN corr({a}, {b}) END}}"
+    for i, a in enumerate(WIDE) for b in list(WIDE)[i + 1:]) + "], recursive := true) FROM t) SELECT col_a, col_b, n, round(r, 6) AS r FROM p")
+def prf12_wide(spark, d):
+    t = table(spark, d, "lineitem").select(*[F.expr(e).alias(c) for c, e in WIDE.items()])
+    return rounded(pairwise_correlations(t, list(WIDE)).withColumn("r", F.nanvl("r", F.lit(None).cast("double"))))
+
+
 @query("prf01_13_summary_flags", f"""WITH {HOLED}, q AS (SELECT quantile_cont(l_tax, 0.25) AS t1, quantile_cont(l_tax, 0.75) AS t3,
     quantile_cont(l_discount, 0.25) AS d1, quantile_cont(l_discount, 0.75) AS d3 FROM holed),
   m AS (SELECT avg((l_tax IS NULL)::INT) AS mt, avg((l_discount IS NULL)::INT) AS md, avg((l_quantity IS NULL)::INT) AS mq,
