@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import columns
 from ..session import shared_folder, spread, table
 from ..sources import annotations as an
-from ..sources import corpora, manifests, records
+from ..sources import corpora, manifests, records, splits
 from .registry import query, rounded
 
 
@@ -21,6 +21,30 @@ def src01(spark, d):
     return rounded(df.agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"), F.count_distinct("c_mktsegment").alias("segments")), digits=2).withColumn("types", F.lit(kinds))
 
 
+@query("src01_split_csv", "SELECT doc_id, md5(text) AS digest, length(text) AS chars, source FROM documents")
+def src01_split(spark, d):
+    """Whole texts with their line breaks through CSV and back."""
+    t, path = table(spark, d, "documents").select("doc_id", "text", "source"), shared_folder(spark, "split-csv")
+    t.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df = splits.read_split_csv(spark, path, schema=t.schema)
+    return df.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"), "source")
+
+
+#: Rows of one list in the files of ``src02_split_json``.
+LIST_ROWS = 1000
+
+
+@query("src02_split_json", "SELECT doc_id, md5(text) AS digest, source FROM documents")
+def src02_split(spark, d):
+    """Whole texts as lists of objects, each file one line, cut into objects again."""
+    t, path = table(spark, d, "documents").select("doc_id", "text", "source"), shared_folder(spark, "split-json")
+    lists = t.withColumn("list", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, t.count() // LIST_ROWS))))
+    lists = lists.groupBy("list").agg(F.to_json(F.collect_list(F.struct("doc_id", "text", "source"))).alias("value"))
+    lists.write.partitionBy("list").text(path)
+    field = {c: F.variant_get("rec", f"$.{c}", k).alias(c) for c, k in t.dtypes}
+    return splits.read_split_json(spark, path).select(field["doc_id"], F.md5(F.variant_get("rec", "$.text", "string")).alias("digest"), field["source"])
+
+
 def line_documents(spark, d):
     """One JSON document per line item: a header and a list of two records."""
     li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
