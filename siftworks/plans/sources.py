@@ -328,8 +328,7 @@ MANIFEST = """e AS (SELECT event_id AS k, event_id % 4000 AS f, event_id % 3999
   (SELECT count(*) FROM u WHERE ok) - (SELECT count(*) FROM s) AS duplicate_count""")
 def src28(spark, d):
     m, files = audio_manifest(spark, d)
-    rec = manifests.resolved_records(m, "row_id", files)
-    return manifests.manifest_report(rec, manifests.samples(rec, "row_id"), files)
+    return manifests.manifest_report(*manifests.settled(m, "row_id", files), files)
 
 
 @query("flt11_segments", f"WITH {MANIFEST} SELECT k AS row_id, s2::DOUBLE AS start, e2::DOUBLE AS \"end\", coalesce(wrong OR over, false) AS invalid_segment FROM z")
@@ -357,7 +356,7 @@ def flt17(spark, d):
   UNION ALL SELECT 'pairs_noise', count(*) FROM z WHERE kd = 'noise_pair' UNION ALL SELECT 'pairs_speaker', count(*) FROM z WHERE kd = 'speaker_pair' UNION ALL SELECT 'events', 0 UNION ALL SELECT 'anomaly', 0""")
 def snk07(spark, d):
     m, files = audio_manifest(spark, d)
-    kept = manifests.samples(manifests.resolved_records(m, "row_id", files), "row_id")
+    _, kept = manifests.settled(m, "row_id", files)
     parts = [df.agg(F.lit(name).alias("manifest"), F.count("*").alias("n")) for name, df in manifests.output_manifests(kept).items()]
     out = parts[0]
     for p in parts[1:]:

@@ -120,18 +120,30 @@ def leaf(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def path_forms(p: Column) -> Column:
+    """The spellings under which a path is looked up, best first."""
+    return F.array(p, F.lower(p), leaf(p), F.lower(leaf(p)))
+
+
+def file_index(files: DataFrame, file_path: str = "path") -> DataFrame:
+    """(_form, _file): one file for every spelling of a path."""
+    forms = files.select(F.col(file_path).alias("_file"), F.explode(F.array_distinct(path_forms(F.col(file_path)))).alias("_form"))
+    return forms.groupBy("_form").agg(F.min("_file").alias("_file"))
+
+
 def resolve_paths(rows: DataFrame, key: str, path: str, files: DataFrame, file_path: str = "path") -> DataFrame:
-    """(key, file_path or NULL) for every row: exact path, lower-cased path, file name, lower-cased file name, in that
-    order. Lookup keys of the files are reduced to one file each before the join."""
-    def forms(p):
-        return F.array(p, F.lower(p), leaf(p), F.lower(leaf(p)))
-
-    index = files.select(F.col(file_path).alias("_file"), F.explode(F.array_distinct(forms(F.col(file_path)))).alias("_form"))
-    index = index.groupBy("_form").agg(F.min("_file").alias("_file"))
-    asked = rows.select(F.col(key).alias("_key"), safe_relative_path(F.col(path)).alias("_p"))
-    asked = asked.filter("_p IS NOT NULL").select("_key", F.posexplode(forms(F.col("_p"))).alias("_rank", "_form"))
-    hits = asked.join(index, "_form").groupBy("_key").agg(F.min_by("_file", "_rank").alias("resolved_path"))
-    return rows.select(F.col(key).alias("_key")).join(hits, "_key", "left").select(F.col("_key").alias(key), "resolved_path")
+    """(key, file_path or NULL), one row per key: exact path, lower-cased path, file name, lower-cased file name, in that
+    order. Lookup keys of the files are reduced to one file each before the join; rows and files are read once."""
+    named = safe_relative_path(F.col(path))
+    nowhere = F.array(F.concat(F.lit("\x00"), F.xxhash64(key).cast("string")))  # no file has this name; keeps rows without a path apart
+    asked = rows.select(F.col(key).alias("_key"), F.posexplode(F.when(named.isNotNull(), path_forms(named)).otherwise(nowhere)).alias("_rank", "_form"))
+    hits = asked.join(file_index(files, file_path), "_form", "left")
+    return hits.groupBy("_key").agg(best_file().alias("resolved_path")).withColumnRenamed("_key", key)
+
+
+def best_file() -> Column:
+    """The file found under the best spelling of a group of joined lookups."""
+    return F.min_by("_file", F.when(F.col("_file").isNotNull(), F.col("_rank")))
 
 
 def corpus_with_metadata(meta: DataFrame, key: str, files: DataFrame) -> DataFrame:

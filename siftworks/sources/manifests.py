@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rows import side_by_side
-from .corpora import folder, resolve_paths, stem
+from ..session import cut_lineage
+from .corpora import best_file, file_index, folder, path_forms, safe_relative_path, stem
 
 # Column names accepted for each role, first one present wins; words read as truth values.
 ALIASES = {
@@ -98,12 +99,12 @@ def record_status(m: DataFrame) -> Column:
 
 
 def resolved_records(m: DataFrame, key: str, files: DataFrame) -> DataFrame:
-    """Canonical records with every named file resolved; ``kind`` is NULL when a needed file is missing. All file roles are
-    resolved in one join."""
-    named = m.select(key, F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("named")) for r in FILE_ROLES]))).filter("named <> ''")
-    named = named.withColumn("_rk", F.concat_ws("|", F.col(key).cast("string"), "role"))
-    hits = named.select(key, "role", "_rk").join(resolve_paths(named, "_rk", "named", files), "_rk")
-    found = hits.groupBy(key).agg(*[F.max(F.when(F.col("role") == r, F.col("resolved_path"))).alias(f"{r}_file") for r in FILE_ROLES])
+    """Canonical records with every named file resolved; ``kind`` is NULL when a needed file is missing. The lookups of all
+    file roles meet the files in one join and fold back to one row per record."""
+    named = m.select(key, F.inline(F.array(*[F.struct(F.lit(r).alias("role"), safe_relative_path(F.col(r)).alias("named")) for r in FILE_ROLES]))).filter("named IS NOT NULL")
+    asked = named.select(key, "role", F.posexplode(path_forms(F.col("named"))).alias("_rank", "_form"))
+    hits = asked.join(file_index(files), "_form").groupBy(key, "role").agg(best_file().alias("file"))
+    found = hits.groupBy(key).agg(*[F.max(F.when(F.col("role") == r, F.col("file"))).alias(f"{r}_file") for r in FILE_ROLES])
     out = m.join(found, key, "left").withColumn("_kind", record_status(m))
     needs = {"noise_pair": ("noisy", "clean"), "speaker_pair": ("pair_a", "pair_b"), "single": ("path",)}
     complete, absent = F.lit(False), F.lit(1)
@@ -122,12 +123,19 @@ def samples(records: DataFrame, key: str) -> DataFrame:
     """Usable records, the first of each combination of files, with checked segments."""
     dup = ["primary_file", *FILE_ROLES]
     usable = records.filter("kind IS NOT NULL")
-    first = usable.groupBy(*dup).agg(F.min(key).alias(key))
-    kept = usable.join(first.select(key), key, "left_semi")
+    others = [c for c in usable.columns if c not in dup]
+    kept = usable.groupBy(*dup).agg(F.min_by(F.struct(*others), key).alias("_first")).select(*dup, "_first.*").select(*usable.columns)
     start, end, bad = checked_segment(F.col("start"), F.col("end"), F.col("duration"))
     return kept.withColumns({"start": start, "end": end, "invalid_segment": bad, "same": same_speaker(F.col("same_speaker"))})
 
 
+def settled(m: DataFrame, key: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resolved records and samples, each written once below the checkpoint folder, for all the reports and manifests that
+    are read off them."""
+    records = cut_lineage(resolved_records(m, key, files))
+    return records, cut_lineage(samples(records, key))
+
+
 def manifest_report(records: DataFrame, kept: DataFrame, files: DataFrame) -> DataFrame:
     """One row: records read, kept, duplicate; missing and unused files; invalid pairs and segments."""
     used = kept.select(F.explode(F.array_compact(F.array(*[F.col(f"{r}_file") for r in FILE_ROLES]))).alias("path")).distinct()
