@@ -1,9 +1,10 @@
-"""Scoring of detections against true boxes: overlaps by spatial join, greedy matching in parallel rounds, mean AP."""
+"""Scoring of detections against true boxes: overlaps by spatial join, greedy matching of all thresholds at once, mean AP."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +50,64 @@ def overlaps(pred: DataFrame, truth: DataFrame, cell: float = 64.0) -> DataFrame
     return iou.select("image_id", "pred_id", "score", "truth_id", "iou")
 
 
-def greedy_matches(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, max_rounds: int = 1000) -> DataFrame:
-    """(threshold, image_id, pred_id, truth_id): predictions in score order each take their best free truth.
-
-    A prediction is settled as soon as no better-scored open prediction could still want its best free truth. All
-    settled ones of all images are taken in one round, so the rounds follow the longest chain of rivals, not the
-    number of boxes."""
-    levels = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("iou") >= t)
+#: Pairs of an image up to which one task matches it in one fold; the rounds take larger images.
+CROWDED_PAIRS = 1_000_000
+
+
+def greedy_matches(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, crowded_pairs: int = CROWDED_PAIRS) -> DataFrame:
+    """(threshold, image_id, pred_id, truth_id): predictions in score order each take their best free truth, at every
+    threshold. Equal scores go by pred_id, equal overlaps by truth_id. Both ways of matching give the same rows."""
+    masked = cut_lineage(pairs.withColumn("levels", sum(F.when(F.col("iou") >= float(t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(thresholds))).filter("levels > 0"))
+    crowded = cut_lineage(masked.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") > crowded_pairs).select("image_id"))
+    if crowded.isEmpty():
+        return folded_matches(masked, thresholds)
+    return folded_matches(masked.join(crowded, "image_id", "left_anti"), thresholds).unionByName(
+        settled_matches(masked.join(crowded, "image_id", "left_semi"), thresholds))
+
+
+def folded_matches(masked: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """The matches of whole images. Pairs stream through a task in the order in which predictions choose; kept are one
+    bit per threshold for each truth of the image at hand and for the prediction at hand."""
+    ordered = masked.select("image_id", "score", "pred_id", "truth_id", "iou", "levels").repartition("image_id").sortWithinPartitions(
+        "image_id", F.desc("score"), "pred_id", F.desc("iou"), "truth_id").select("image_id", "pred_id", "truth_id", "levels")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chooser, taken, wanted = None, None, {}, 0
+        for batch in batches:
+            rows, given = [], []
+            for i, (image, pred, truth, levels) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
+                if (image,) != at:
+                    at, chooser, taken = (image,), None, {}
+                if (pred,) != chooser:
+                    chooser, wanted = (pred,), -1
+                got = wanted & levels & ~taken.get(truth, 0)
+                if got:
+                    taken[truth] = taken.get(truth, 0) | got
+                    wanted &= ~got
+                    rows.append(i)
+                    given.append(got)
+            out = batch.take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(given, pa.int32())], schema=pa.schema([*list(batch.schema)[:3], pa.field("levels", pa.int32())]))
+
+    found = ordered.mapInArrow(fold, ordered.schema)
+    return found.withColumn("threshold", explode_levels(thresholds)).select("threshold", "image_id", "pred_id", "truth_id")
+
+
+def explode_levels(thresholds: Sequence[float]) -> Column:
+    hit = [F.when(F.col("levels").bitwiseAND(F.lit(1 << i)) != 0, F.lit(float(t))) for i, t in enumerate(thresholds)]
+    return F.explode(F.array_compact(F.array(*hit)))
+
+
+def settled_matches(masked: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """The matches of images of any size, in rounds. A prediction is settled as soon as no better-scored open prediction
+    could still want its best free truth. All settled ones are taken in one round, so the rounds follow the longest chain of
+    rivals, not the number of boxes; every round settles at least one."""
     order = F.struct(-F.col("score"), F.col("pred_id"))
     best = F.struct(F.col("iou"), -F.col("truth_id"))
-    open_pairs = cut_lineage(pairs.withColumn("threshold", F.explode(levels)))
+    open_pairs = cut_lineage(masked.withColumn("threshold", explode_levels(thresholds)))
     key = ["threshold", "image_id"]
     done = None
-    for _ in range(max_rounds):
+    while True:
         wish = open_pairs.groupBy(*key, "pred_id").agg(F.max_by("truth_id", best).alias("truth_id"))
         first = open_pairs.groupBy(*key, "truth_id").agg(F.min_by("pred_id", order).alias("_first"))
         settled = cut_lineage(wish.join(first, [*key, "truth_id"]).filter(F.col("pred_id") == F.col("_first")).drop("_first"))
@@ -70,11 +116,7 @@ def greedy_matches(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, m
         done = settled if done is None else done.unionByName(settled)
         rest = open_pairs.join(settled.select(*key, "pred_id"), [*key, "pred_id"], "left_anti")
         open_pairs = cut_lineage(rest.join(settled.select(*key, "truth_id"), [*key, "truth_id"], "left_anti"))
-    else:
-        raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
-    if done is None:
-        return open_pairs.select(*key, "pred_id", "truth_id")
-    return done.select(*key, "pred_id", "truth_id")
+    return (open_pairs if done is None else done).select(*key, "pred_id", "truth_id")
 
 
 def detection_metrics(pred: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS, cell: float = 64.0) -> DataFrame:

@@ -184,7 +184,7 @@ def mth05(spark, d):
 @query("evl17_detection")
 def evl17(spark, d):
     pred, truth = boxes(spark, d)
-    return detection.detection_metrics(pred, truth, (0.5, 0.75, 0.9))
+    return detection.detection_metrics(pred, truth)
 
 
 @query("snk05_standardized_signals")

@@ -153,6 +153,12 @@ def test_greedy_matching_equals_serial_matching(spark):
     t = spark.createDataFrame([(a, b, *c) for a, b, c in truth], "image_id int, truth_id int, " + cols)
     got = {(r["image_id"], r["pred_id"], r["truth_id"]) for r in detection.greedy_matches(detection.overlaps(p, t, 32.0), (0.5,)).collect()}
     assert got == brute_greedy(pred, truth, 0.5)
+    pairs = detection.overlaps(p, t, 32.0)
+    want = {(level, *m) for level in detection.THRESHOLDS for m in brute_greedy(pred, truth, level)}
+    assert len({w[0] for w in want}) > 5
+    for crowded in (1_000_000, len(pred) // 3, 0):  # all images in one fold, some, none
+        assert {tuple(r) for r in detection.greedy_matches(pairs, crowded_pairs=crowded).collect()} == want
+    assert detection.greedy_matches(pairs.filter("iou > 2")).count() == 0
     m = detection.detection_metrics(p, t, (0.5, 0.75)).first()
     assert abs(m["recall"] - len(got) / len(truth)) < 1e-12 and 0 < m["map_75"] <= m["map_50"] <= 1
 
