@@ -8,6 +8,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Model, PipelineModel
@@ -21,8 +22,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.text import parse_list
+from ..session import cut_lineage
 from . import detectors, features, linear, metrics, neighbours, sampling, tfidf, vectors
 from . import topics as topic_models
 from .blocks import sparse_parts
@@ -198,27 +201,56 @@ def indexed(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
     return (out if target == "label" else out.drop("_target")), list(model.labels)
 
 
+#: Folds that are fitted at a time, from threads of the driver; each has its training rows cached meanwhile.
+FITS_AT_ONCE = 6
+
+
+def _predict_all(fitted: Mapping[str, Model], test: DataFrame, fold: int, spec_id: str) -> DataFrame:
+    """Predictions of all models in one scan of the test rows."""
+    out, cells = test, []
+    for i, (name, model) in enumerate(fitted.items()):
+        out = model.transform(out)
+        prob = vector_to_array("probability") if "probability" in out.columns else None
+        score = F.col("prediction") if prob is None else prob[F.greatest(F.size(prob) - 1, F.lit(0))]
+        out = out.withColumns({f"_p{i}": F.col("prediction"), f"_s{i}": score}).drop("prediction", "rawPrediction", "probability")
+        cells.append(F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("pred"), F.col(f"_s{i}").alias("score")))
+    out = out.select("label", F.inline(F.array(*cells)))
+    return out.select(F.lit(spec_id).alias("spec_id"), "model", F.lit(fold).alias("fold"), F.col("label").alias("y"), "pred", "score")
+
+
 def fold_predictions(df: DataFrame, num: Sequence[str], cat: Sequence[str], key: str, specs: Mapping[str, CleanSpec],
                      models: Callable[[], dict], folds: int, fold: str = "fold") -> tuple[DataFrame | None, list[tuple]]:
-    """Predictions of every spec, model and fold, and (spec, success, reason, seconds) per spec."""
-    parts, log = [], []
-    for spec_id, spec in specs.items():
-        start, mine = time.time(), []
+    """Predictions of every spec, model and fold, and (spec, success, reason, seconds of its folds) per spec. Folds are
+    independent of each other, so several are fitted at a time; their predictions are written as they come."""
+    rows = cut_lineage(df.select(*dict.fromkeys([key, "label", fold, *num, *cat])))
+
+    def one(spec_id: str, f: int) -> tuple[DataFrame | None, str, float]:
+        start, spec, cached = time.time(), specs[spec_id], []
         try:
-            for f in range(folds):
-                train, test = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
-                if spec.remove_duplicates:
-                    train = features.keep_first(train, [*num, *cat], key)
-                clean = fit_clean(spec, train, num, cat)
-                fitted_train = balanced(clean.transform(train).select(key, "label", "features"), spec.imbalance, key).persist()
-                fitted_test = clean.transform(test).select("label", "features").persist()
-                for name, est in models().items():
-                    mine.append(_predict(name, est.fit(fitted_train), fitted_test, f, spec_id))
-                fitted_train.unpersist()
-            parts += mine
-            log.append((spec_id, True, "", time.time() - start))
+            train, test = rows.filter(F.col(fold) != f), rows.filter(F.col(fold) == f)
+            if spec.remove_duplicates:
+                train = features.keep_first(train, [*num, *cat], key)
+            clean = fit_clean(spec, train, num, cat)
+            fitted_train = balanced(clean.transform(train).select(key, "label", "features"), spec.imbalance, key).persist()
+            cached.append(fitted_train)
+            fitted = {name: est.fit(fitted_train) for name, est in models().items()}
+            return cut_lineage(_predict_all(fitted, clean.transform(test).select("label", "features"), f, spec_id)), "", time.time() - start
         except (ValueError, AnalysisException, IllegalArgumentException) as exc:  # a spec that does not fit these data
-            log.append((spec_id, False, str(exc)[:300], time.time() - start))
+            return None, str(exc)[:300] or type(exc).__name__, time.time() - start
+        finally:
+            for c in cached:
+                c.unpersist()
+
+    tasks = [(spec_id, f) for spec_id in specs for f in range(folds)]
+    with ThreadPool(min(FITS_AT_ONCE, len(tasks))) as pool:
+        done = pool.starmap(inheritable_thread_target(df.sparkSession)(one), tasks, 1)
+    parts, log = [], []
+    for spec_id in specs:
+        mine = [d for (s, _), d in zip(tasks, done) if s == spec_id]
+        reason = next((r for p, r, _ in mine if p is None), "")
+        if not reason:
+            parts += [p for p, _, _ in mine]
+        log.append((spec_id, not reason, reason, sum(t for _, _, t in mine)))
     return (_union(parts) if parts else None), log
 
 
