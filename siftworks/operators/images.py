@@ -143,12 +143,14 @@ def otsu_thresholds(df: DataFrame, key: str, gray: str, bins: int = OTSU_BINS) -
         "centre", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 0.5) / bins)
     w = Window.partitionBy(key).orderBy("bin")
     whole = Window.partitionBy(key)
+    # Centres are evenly spaced, so the variance is (s0 * t - s * c)^2 / (c * (t - c)) up to a factor that an image's bins
+    # share, with sums of whole numbers: equal variances compare as equal, and the lowest bin of them is taken.
     cum = full.withColumns({
-        "c": F.sum("n").over(w), "m0": F.sum(F.col("n") * F.col("centre")).over(w), "t": F.sum("n").over(whole), "mt": F.sum(F.col("n") * F.col("centre")).over(whole)})
-    w0 = F.col("c") / F.col("t")
-    gap = F.col("m0") / F.col("c") - (F.col("mt") - F.col("m0")) / (F.col("t") - F.col("c"))
-    var = F.when((F.col("c") > 0) & (F.col("c") < F.col("t")) & (F.col("bin") < bins - 1), w0 * (1 - w0) * gap * gap)
-    return cum.withColumn("var", F.coalesce(var, F.lit(-1.0))).groupBy(key).agg(
+        "c": F.sum("n").over(w), "s0": F.sum(F.col("n") * F.col("bin")).over(w), "t": F.sum("n").over(whole), "s": F.sum(F.col("n") * F.col("bin")).over(whole)})
+    apart = (F.col("s0") * F.col("t") - F.col("s") * F.col("c")).cast("decimal(19,0)")
+    sides = (F.col("c") * (F.col("t") - F.col("c"))).cast("decimal(19,0)")
+    var = F.when((F.col("c") > 0) & (F.col("c") < F.col("t")) & (F.col("bin") < bins - 1), apart * apart / sides)
+    return cum.withColumn("var", F.coalesce(var, F.lit(-1))).groupBy(key).agg(
         F.max_by("centre", F.struct("var", -F.col("bin"))).alias("threshold"))
 
 
