@@ -26,6 +26,13 @@ BLOCK_ROWS = 1024
 #: Blocks and pivots of all groups, which every task knows.
 MAX_BLOCKS = 100_000
 MAX_PIVOTS = 2_000
+#: Parts of the blocks at least, and the bytes of vectors in one.
+PARTS = 8
+PART_BYTES = 64 << 20
+#: Entries of the shelf whose distances a task holds at a time.
+STRIP_ROWS = 4096
+
+
 def rounding(*sides: np.ndarray) -> float:
     """How far a distance by ``distances`` may be off: the root of what squares of this size lose."""
     return 1e-7 * (1e-3 + sum(float(np.sqrt((x * x).sum(1)).max(initial=0.0)) for x in sides))
@@ -47,6 +54,11 @@ class Rings:
     kind: str
     d: int
 
+    def parts(self) -> int:
+        """Parts that the blocks are dealt into: enough tasks, and none too large for a task."""
+        entries = int(self.blocks["n"].sum())
+        return max(1, min(len(self.blocks), max(PARTS, -(-entries * self.d * 8 // PART_BYTES))))
+
     def bounds(self, group, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Blocks of a group, their sizes, and a lower bound of the distance of each row of x to each block."""
         own = self.blocks[self.blocks["group"] == group]
@@ -108,39 +120,64 @@ def rings(shelf: DataFrame, block_rows: int = BLOCK_ROWS, pivots: dict | None =
     return Rings(cut_lineage(packed), pivots, blocks, kinds["id"], d)
 
 
-def met(queries: Rings, shelf: Rings, pairs: DataFrame, kernel: Callable[[dict, dict], pd.DataFrame], schema: str, more: DataFrame | None = None) -> DataFrame:
-    """What ``kernel`` makes of each pair (qblock, block). ``more`` adds columns to the query blocks by qblock."""
+def _block(row: dict, tag: str) -> dict:
+    side = {c[2:]: v for c, v in row.items() if c.startswith(tag)}
+    return {**side, "x": np.asarray(side["x"], float).reshape(len(side["ids"]), -1)}
+
+
+def met(queries: Rings, shelf: Rings, pairs: DataFrame, kernel: Callable[[dict, list[dict]], pd.DataFrame], schema: str, more: DataFrame | None = None,
+        once: bool = False, whole: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """What ``kernel`` makes of each query block and the blocks that it visits in one part of the shelf. ``more`` adds
+    columns to the query blocks by qblock; with ``once`` a pair of blocks of the same rings is met from one side only;
+    ``whole`` sums up what a task found.
+
+    Query blocks are dealt into parts like the shelf, and a task takes one part of each, so a block is sent as often as the
+    other side has parts, however many blocks it meets."""
+    parts, ways = shelf.parts(), queries.parts()
     left = queries.packed.select(F.col("block").alias("qblock"), *[F.col(c).alias(f"q_{c}") for c in queries.packed.columns if c not in ("block", "group")])
     if more is not None:
         left = left.join(more, "qblock")
-    right = shelf.packed.select("block", *[F.col(c).alias(f"s_{c}") for c in shelf.packed.columns if c not in ("block", "group")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.to_dict("records"):
-                sides = ({c[2:]: v for c, v in row.items() if c.startswith(tag)} for tag in ("q_", "s_"))
-                q, s = ({**side, "x": np.asarray(side["x"], float).reshape(len(side["ids"]), -1)} for side in sides)
-                yield kernel(q, s)
+    way = F.pmod(F.floor(F.col("qblock") / parts), F.lit(ways)).cast("int").alias("way")
+    asked = pairs.select("qblock", way, "part", "visited")
+    left = left.join(asked, "qblock")
+    right = shelf.packed.select("block", F.pmod("block", F.lit(parts)).cast("int").alias("to_part"), *[F.col(c).alias(f"s_{c}") for c in shelf.packed.columns if c not in ("block", "group")])
+    right = right.join(F.broadcast(asked.select(F.col("way").alias("to_way"), F.col("part").alias("to_part")).distinct()), "to_part")
+
+    def run(q_rows: pd.DataFrame, s_rows: pd.DataFrame) -> pd.DataFrame:
+        held = {row["block"]: _block(row, "s_") for row in s_rows.to_dict("records")}
+        out = []
+        for row in q_rows.to_dict("records"):
+            near = [held[b] for b in row["visited"] if not once or b >= row["qblock"]]
+            if near:
+                out.append(kernel(_block(row, "q_"), near))
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return whole(found) if whole else found
 
-    return pairs.join(left, "qblock").join(right, "block").mapInPandas(run, schema)
+    # A count of its own keeps the parts, which are small but costly, in tasks of their own.
+    tasks = 4 * parts * ways
+    asking = left.repartition(tasks, "way", "part").groupBy("way", "part")
+    return asking.cogroup(right.repartition(tasks, "to_way", "to_part").groupBy("to_way", "to_part")).applyInPandas(run, schema)
 
 
 def visits(queries: Rings, shelf: Rings, wanted: Callable[[dict, np.ndarray, np.ndarray, np.ndarray], np.ndarray], more: DataFrame | None = None) -> DataFrame:
-    """(qblock, block, n): the pairs of blocks that ``wanted`` picks, and how many pairs of entries they hold."""
+    """(qblock, part, visited, n): the blocks of each part of the shelf that ``wanted`` picks for a query block, and how
+    many pairs of entries they hold with it."""
     left = queries.packed.select(F.col("block").alias("qblock"), "group", F.col("x").alias("q_x"), F.col("ids").alias("q_ids"))
     if more is not None:
         left = left.join(more, "qblock")
-    known = Rings(None, shelf.pivots, shelf.blocks, shelf.kind, shelf.d)
+    known, parts = Rings(None, shelf.pivots, shelf.blocks, shelf.kind, shelf.d), shelf.parts()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.to_dict("records"):
+        for batch in batches:
+            for row in batch.to_dict("records"):
                 x = np.asarray(row["q_x"], float).reshape(len(row["q_ids"]), -1)
                 block, n, low = known.bounds(row["group"], x)
                 at = np.flatnonzero(wanted(row, block, n, low)) if len(block) else np.empty(0, np.int64)
-                yield pd.DataFrame({"qblock": row["qblock"], "block": block[at], "n": n[at] * len(x)}).astype("int64")
+                of = block[at] % parts
+                found = [(row["qblock"], p, block[at[of == p]].tolist(), n[at[of == p]].sum() * len(x)) for p in np.unique(of)]
+                yield pd.DataFrame(found, columns=["qblock", "part", "visited", "n"])
 
-    return cut_lineage(left.mapInPandas(run, "qblock long, block long, n long"))
+    return cut_lineage(left.mapInPandas(run, "qblock long, part int, visited array<long>, n long"))
 
 
 def _nearest_first(n: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
@@ -164,18 +201,35 @@ def nearest_entries(queries: Rings, shelf: Rings, most: int) -> Nearest:
     """The ``most`` nearest keys of every query entry by (distance, key). Two rounds: the closest blocks give each entry a
     distance that it need not exceed, the second visits the blocks that could still hold something nearer."""
 
-    def best(q: dict, s: dict) -> pd.DataFrame:
+    def best(q: dict, shelves: list[dict]) -> pd.DataFrame:
+        x = np.concatenate([s["x"] for s in shelves])
+        keys = [list(k) for s in shelves for k in s["keys"]]
         limit = np.asarray(q["tau"], float) if "tau" in q else np.full(len(q["x"]), np.inf)
-        near = distances(q["x"], s["x"])
-        m = min(most, near.shape[1])
-        cut = np.minimum(np.partition(near, m - 1, axis=1)[:, m - 1], limit) + 2 * rounding(q["x"], s["x"])
-        out = []
-        for i, row in enumerate(near):
-            at = np.flatnonzero(row <= cut[i])
-            if len(at):
-                exact = np.sqrt(((s["x"][at] - q["x"][i]) ** 2).sum(1))
-                found = sorted((float(e), k) for e, j in zip(exact, at, strict=True) if e <= limit[i] for k in s["keys"][j])[:most]
-                out += [(q["ids"][i], k, e) for e, k in found]
+        slack = 2 * rounding(q["x"], x)
+        cut, row, at, near = limit + slack, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for first in range(0, len(x), STRIP_ROWS):
+            d = distances(q["x"], x[first:first + STRIP_ROWS])
+            if not first and d.shape[1] > most:
+                cut = np.minimum(cut, np.partition(d, most - 1, axis=1)[:, most - 1] + slack)
+            i, j = np.nonzero(d <= cut[:, None])
+            row, at, near = np.concatenate([row, i]), np.concatenate([at, j + first]), np.concatenate([near, d[i, j]])
+            order = np.lexsort((near, row))
+            row, at, near = row[order], at[order], near[order]
+            start = np.searchsorted(row, np.arange(len(cut)))
+            last = start + most - 1
+            full = np.flatnonzero(np.append(start[1:], len(row)) > last)
+            cut[full] = np.minimum(cut[full], near[last[full]] + slack)
+            kept = near <= cut[row]
+            row, at, near = row[kept], at[kept], near[kept]
+        exact = np.concatenate([np.empty(0), *[np.sqrt(((x[at[p:p + STRIP_ROWS]] - q["x"][row[p:p + STRIP_ROWS]]) ** 2).sum(1)) for p in range(0, len(at), STRIP_ROWS)]])
+        inside = exact <= limit[row]
+        pairs = [(i, e, k) for i, j, e in zip(row[inside].tolist(), at[inside].tolist(), exact[inside].tolist(), strict=True) for k in keys[j]]
+        pairs.sort()
+        out, seen, last_row = [], 0, -1
+        for i, e, k in pairs:
+            seen, last_row = (seen + 1, i) if i == last_row else (1, i)
+            if seen <= most:
+                out.append((q["ids"][i], k, e))
         return pd.DataFrame(out, columns=["id", "key", "distance"])
 
     schema = f"id {queries.kind}, key {shelf.kind}, distance double"
@@ -222,6 +276,24 @@ def _close(q: dict, s: dict, radius: float) -> np.ndarray:
     return close
 
 
+def _spanning(links: pd.DataFrame) -> pd.DataFrame:
+    """Links from every id to the smallest one that it reaches through the given links."""
+    ids, at = np.unique(links[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            far = np.flatnonzero(low != np.arange(len(ids)))
+            return pd.DataFrame({"a": ids[far], "b": ids[low[far]]})
+        low = new
+
+
 def density_clusters(df: DataFrame, key: str, vec: str, radius: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, cluster): core rows have ``min_samples`` rows within the radius, themselves included; core rows that reach each
     other share the smallest key among them as cluster; other rows join the smallest cluster within the radius, or are noise
@@ -231,30 +303,34 @@ def density_clusters(df: DataFrame, key: str, vec: str, radius: float, min_sampl
     own = rings(shelf, block_rows, more=("n",))
     pairs = visits(own, own, lambda row, block, n, low: (low <= radius).any(axis=0))
 
-    def count(q: dict, s: dict) -> pd.DataFrame:
-        return pd.DataFrame({"id": q["ids"], "n": _close(q, s, radius) @ np.asarray(s["n"], np.int64)})
+    def count(q: dict, shelves: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({"id": q["ids"], "n": sum(_close(q, s, radius) @ np.asarray(s["n"], np.int64) for s in shelves)})
 
     core = cut_lineage(met(own, own, pairs, count, "id long, n long").groupBy("id").agg((F.sum("n") >= min_samples).alias("core")))
     flags = own.packed.select(F.col("block"), F.posexplode("ids").alias("_p", "id")).join(core, "id")
     flags = cut_lineage(flags.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "core"))), lambda s: s["core"]).alias("core")))
     marked = Rings(cut_lineage(own.packed.join(flags, "block")), own.pivots, own.blocks, own.kind, own.d)
 
-    def edges(q: dict, s: dict) -> pd.DataFrame:
-        a, b = (np.flatnonzero(np.asarray(side["core"], bool)) for side in (q, s))
-        close = _close({"x": q["x"][a]}, {"x": s["x"][b]}, radius)
-        left, right = np.asarray(q["ids"], np.int64)[a], np.asarray(s["ids"], np.int64)[b]
-        low, high = left.copy(), right.copy()
-        top = np.iinfo(np.int64).max
-        while len(a) and len(b):  # the smallest id that each reaches inside this pair of blocks
-            new_high = np.minimum(high, np.where(close, low[:, None], top).min(0))
-            new_low = np.minimum(low, np.where(close, new_high[None, :], top).min(1))
-            if (new_low == low).all() and (new_high == high).all():
-                break
-            low, high = new_low, new_high
-        ids, to = np.concatenate([left, right]), np.concatenate([low, high])
-        return pd.DataFrame({"a": ids, "b": to})
-
-    linked = met(marked, marked, pairs.filter("qblock <= block"), edges, "a long, b long").distinct()
+    def edges(q: dict, shelves: list[dict]) -> pd.DataFrame:
+        found = [np.empty((0, 2), np.int64)]
+        a = np.flatnonzero(np.asarray(q["core"], bool))
+        left, top = np.asarray(q["ids"], np.int64)[a], np.iinfo(np.int64).max
+        for s in shelves:
+            b = np.flatnonzero(np.asarray(s["core"], bool))
+            right = np.asarray(s["ids"], np.int64)[b]
+            close = _close({"x": q["x"][a]}, {"x": s["x"][b]}, radius)
+            low, high = left.copy(), right.copy()
+            while len(a) and len(b):  # the smallest id that each reaches inside this pair of blocks
+                new_high = np.minimum(high, np.where(close, low[:, None], top).min(0))
+                new_low = np.minimum(low, np.where(close, new_high[None, :], top).min(1))
+                if (new_low == low).all() and (new_high == high).all():
+                    break
+                low, high = new_low, new_high
+            links = np.stack([np.concatenate([left, right]), np.concatenate([low, high])], 1)
+            found.append(links[links[:, 0] != links[:, 1]])
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    linked = met(marked, marked, pairs, edges, "a long, b long", once=True, whole=_spanning).distinct()
     label = components(linked)
 
     inside = core.join(label, core["id"] == label["node"], "left").select("id", "core", F.when(F.col("core"), F.coalesce("label", "id")).alias("label"))
@@ -262,14 +338,15 @@ def density_clusters(df: DataFrame, key: str, vec: str, radius: float, min_sampl
     labelled = cut_lineage(labelled.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "label"))), lambda s: s["label"]).alias("label")))
     named = Rings(cut_lineage(own.packed.join(labelled, "block")), own.pivots, own.blocks, own.kind, own.d)
 
-    def smallest(q: dict, s: dict) -> pd.DataFrame:
+    def smallest(q: dict, shelves: list[dict]) -> pd.DataFrame:
         alone = [i for i, v in enumerate(q["label"]) if v is None or v != v]
-        known = [j for j, v in enumerate(s["label"]) if not (v is None or v != v)]
-        if not alone or not known:
-            return pd.DataFrame({"id": [], "label": []}).astype("int64")
-        close = _close({"x": q["x"][alone]}, {"x": s["x"][known]}, radius)
-        low = np.where(close, np.array([int(s["label"][j]) for j in known], np.int64)[None, :], np.iinfo(np.int64).max).min(1)
-        hit = close.any(1)
+        low = np.full(len(alone), np.iinfo(np.int64).max)
+        for s in shelves if alone else []:
+            known = [j for j, v in enumerate(s["label"]) if not (v is None or v != v)]
+            if known:
+                close = _close({"x": q["x"][alone]}, {"x": s["x"][known]}, radius)
+                low = np.minimum(low, np.where(close, np.array([int(s["label"][j]) for j in known], np.int64)[None, :], np.iinfo(np.int64).max).min(1))
+        hit = low < np.iinfo(np.int64).max
         return pd.DataFrame({"id": np.asarray([q["ids"][i] for i in alone], np.int64)[hit], "label": low[hit]})
 
     border = met(named, named, pairs, smallest, "id long, label long").groupBy("id").agg(F.min("label").alias("near"))

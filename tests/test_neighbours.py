@@ -128,3 +128,20 @@ def test_label_sets_count_like_label_columns(spark):
         a = {tuple(r[k] for k in [*keys, "metric"]): r["value"] for r in metrics.label_set_metrics(sets, 4, keys).collect()}
         b = {tuple(r[k] for k in [*keys, "metric"]): r["value"] for r in metrics.multilabel_metrics(wide, {j: (f"y{j}", f"p{j}") for j in range(4)}, keys).collect()}
         assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_a_block_is_sent_once_per_part_and_not_once_per_block(spark):
+    """All 1,600 pairs of blocks are met, in 64 tasks' worth of parts: what meets is a block per part, not per pair."""
+    x = np.random.default_rng(9).normal(size=(640, 24))
+    df = frame(spark, x)
+    own = neighbours.rings(neighbours.entries(df, "id", "v", 6).localCheckpoint(), 8)
+    pairs = neighbours.visits(own, own, lambda row, block, n, low: np.ones(len(block), bool))
+    assert pairs.agg(F.sum(F.size("visited"))).first()[0] == len(own.blocks) ** 2 and pairs.agg(F.sum("n")).first()[0] == 640**2
+    assert pairs.count() == len(own.blocks) * own.parts() and own.parts() == neighbours.PARTS
+    counted = neighbours.met(own, own, pairs, lambda q, shelves: neighbours.pd.DataFrame({"id": q["ids"], "n": sum(len(s["ids"]) for s in shelves)}), "id long, n long")
+    assert counted.count() == 640 * neighbours.PARTS and {r["n"] for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()} == {640}
+
+
+def test_links_of_a_task_keep_what_reaches_what():
+    found = neighbours._spanning(neighbours.pd.DataFrame({"a": [9, 8, 7, 30, 5], "b": [8, 7, 5, 20, 5]}))
+    assert {tuple(r) for r in found.to_numpy().tolist()} == {(9, 5), (8, 5), (7, 5), (30, 20)}
