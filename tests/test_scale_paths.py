@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftworks.operators import detection, detectors, features, metrics, neighbours, ordering, quantiles, rules, text_eval, vectors
+from siftworks.operators import detection, detectors, features, metrics, neighbours, ordering, pairwise, quantiles, rules, text_eval, vectors
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -86,6 +86,23 @@ def test_retrieval_and_silhouette_blocks_agree(points):
         assert np.allclose(tuple(fn()), tuple(fn(**FAR)))
 
 
+def test_distance_sums_hold_a_strip_of_the_gallery(spark, monkeypatch):
+    rng, seen, real = np.random.default_rng(4), [], pairwise.distances
+    x, c = rng.normal(size=(9000, 2)), rng.integers(0, 3, 9000)
+    monkeypatch.setattr(pairwise, "distances", lambda q, g: seen.append(len(g)) or real(q, g))
+    side = {"key": np.arange(9000), "x": x, "c": c}
+
+    def local(df, key, vec, payload, kernel, schema, **limits):
+        return spark.createDataFrame(kernel({n: v[:5] for n, v in side.items()}, side))
+
+    monkeypatch.setattr(pairwise, "scan", local)
+    df = spark.createDataFrame([(0, [0.0, 0.0], 0)], "id long, v array<double>, c long")
+    got = {(r["id"], r["cluster"]): (r["total"], r["n"]) for r in pairwise.cluster_distance_sums(df, "id", "v", "c").collect()}
+    want = {(i, j): (np.sqrt(((x[c == j] - x[i]) ** 2).sum(1)).sum(), (c == j).sum()) for i in range(5) for j in range(3)}
+    assert got.keys() == want.keys() and np.allclose([got[p] for p in want], list(want.values()))
+    assert max(seen) <= pairwise.STRIP_ROWS
+
+
 def test_dbscan_equals_brute_force(points):
     x, df = points
     eps, least = 0.5, 4
