@@ -125,3 +125,13 @@ def test_labels_fitted_together_equal_separate_fits(spark, monkeypatch, loss, ba
     margin = x @ model.weights.T + model.intercepts
     assert all(got[i] == np.flatnonzero(margin[i] > 0).tolist() for i in range(120))
     assert model.passes < 400
+
+
+@pytest.mark.parametrize("loss", ["logistic", "squared_hinge"])
+def test_columns_of_unlike_weight_do_not_multiply_the_passes(spark, loss):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 30)) * np.logspace(1, -1, 30)
+    y = (x @ (rng.normal(size=30) / np.logspace(1, -1, 30)) > 0).astype(int)
+    rows = spark.createDataFrame([(list(range(30)), v.tolist(), [0] if p else []) for v, p in zip(x, y)], "indices array<int>, values array<double>, y array<int>")
+    model = linear.fit(rows, 30, 1, loss)
+    assert model.passes < 40
