@@ -92,8 +92,10 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """All reports, newest first."""
-    return spark.read.json(path).orderBy(F.desc("timestamp"))
+    """All reports, newest first. Reports written together share their time, so the other columns go on ordering them:
+    by time alone, all of them would be sorted in one task."""
+    found = spark.read.json(path)
+    return found.orderBy(F.desc("timestamp"), *[c for c in found.columns if c not in ("timestamp", "report")])
 
 
 def fingerprint(cols: Sequence[str]) -> Column:

@@ -75,3 +75,17 @@ def test_repeated_runs_are_written_once(spark, tmp_path):
     assert runs.append_runs(df, str(tmp_path / "t"), ["name", "v"]).count() == 2
     assert runs.append_runs(df, str(tmp_path / "t"), ["name", "v"]).count() == 0
     assert spark.read.parquet(str(tmp_path / "t" / f"v{runs.SCHEMA_VERSION}")).count() == 2
+
+
+def test_reports_of_one_time_are_not_sorted_in_one_task(spark, tmp_path):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        made = spark.range(2000).select(F.col("id").alias("dataset"), F.concat(F.lit('{"n": '), F.col("id").cast("string"), F.lit("}")).alias("report"))
+        runs.write_reports(made, str(tmp_path / "reports"))
+        found = runs.history(spark, str(tmp_path / "reports")).withColumn("_task", F.spark_partition_id())
+        sizes = [r["count"] for r in found.groupBy("_task").count().collect()]
+    finally:
+        spark.conf.set(coalesce, before)
+    assert sum(sizes) == 2000 and max(sizes) < 1000
