@@ -417,21 +417,52 @@ def links(docs: DataFrame, entries: DataFrame, known: DataFrame, percent: int =
     unsure = _apart(second.filter("not linked"), label).join(ends("a"), "a").join(ends("b"), "b")
     unsure = cut_lineage(unsure.filter((F.col("ra") + F.col("rb") > 0) & (F.col("diff") - F.col("ra") - F.col("rb") <= slack)).select("a", "b", "diff"))
     if not unsure.isEmpty():
-        mine = of.select("s", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos", "away")], F.col("cluster").alias("a"))
-        yours = of.select("s", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "pos", "away")], F.col("cluster").alias("b"))
-        at_least = F.col("diff") - F.col("away_a") - F.col("away_b")
-        open_ones = (
-            mine.join(unsure, "a").join(yours, ["s", "b"])
-            .filter(_compatible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
-            .filter((100 + percent) * at_least <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-            .select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
-        )
+        open_ones = _open_members(of, _meetings(of, unsure, percent), percent)
         third = compared(open_ones)
         edges = cut_lineage(edges.unionByName(third.filter("linked").select("a", "b")))
         label = labelled(edges)
     return label
 
 
+def _meetings(of: DataFrame, unsure: DataFrame, percent: int) -> DataFrame:
+    """Lists s in which clusters of the pairs a, b, diff meet with sizes, positions and distances that leave a link between
+    members open. Clusters meet here by one row a list each, whatever their number of members."""
+
+    def heads(c: str) -> DataFrame:
+        mine = of.join(unsure.select(F.col(c).alias("cluster")).distinct(), "cluster", "left_semi")
+        return mine.groupBy("s", F.col("cluster").alias(c)).agg(
+            F.min("n").alias(f"lo_{c}"), F.max("n").alias(f"hi_{c}"), F.max(F.col("n") - F.col("pos")).alias(f"room_{c}"), F.max("away").alias(f"r_{c}"))
+
+    def possible(x: str, y: str) -> Column:
+        """With x as it is in the list and y as it is there, or as it is anywhere."""
+        (lo1, hi1, room1, r1), (lo2, hi2, r2) = [F.col(f"{n}_{x}") for n in ("lo", "hi", "room", "r")], [F.col(f"{n}_{y}") for n in ("lo", "hi", "r")]
+        sizes = (100 * hi1 >= percent * lo2) & (100 * hi2 >= percent * lo1) & ((100 + percent) * room1 >= percent * (lo1 + lo2))
+        return sizes & ((100 + percent) * (F.col("diff") - r1 - r2) <= (100 - percent) * (hi1 + hi2))
+
+    ends = of.groupBy(F.col("cluster").alias("b")).agg(F.min("n").alias("lo_any"), F.max("n").alias("hi_any"), F.max("away").alias("r_any"))
+    some = heads("a").join(unsure.select("a", "b", "diff").join(ends, "b"), "a").filter(possible("a", "any"))
+    met = some.drop("lo_any", "hi_any", "r_any").join(heads("b"), ["s", "b"]).filter(possible("a", "b") & possible("b", "a"))
+    return cut_lineage(met)
+
+
+def _open_members(of: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of members that share one of the lists in which their clusters meet and whose link is still open."""
+    mine = of.select("s", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos", "away")], F.col("cluster").alias("a"))
+    yours = of.select("s", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "pos", "away")], F.col("cluster").alias("b"))
+    na, slack = F.col("n_a"), 100 - percent
+    room = F.least(na - F.col("pos_a"), F.col("room_b"))
+    some = mine.join(met, ["s", "a"]).filter(
+        (100 * na >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * na) & ((100 + percent) * room >= percent * (na + F.col("lo_b")))
+        & ((100 + percent) * (F.col("diff") - F.col("away_a") - F.col("r_b")) <= slack * (na + F.col("hi_b"))))
+    at_least = F.col("diff") - F.col("away_a") - F.col("away_b")
+    return (
+        some.select("s", "b", "sig_a", "n_a", "pos_a", "away_a", "diff").join(yours, ["s", "b"])
+        .filter(_compatible(na, F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
+        .filter((100 + percent) * at_least <= slack * (na + F.col("n_b")))
+        .select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
+    )
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs that no component holds yet."""
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"_l{c}"))
