@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.binding import let
 from ..operators.rows import side_by_side
+from ..session import cut_lineage
 
 # Array join limit, shortest list that counts as records, tolerated share of bad lines.
 ARRAY_JOIN_LIMIT = 16
@@ -153,7 +154,8 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 
 
 def yaml_as_json(docs: DataFrame, col: str = "value") -> DataFrame:
-    """YAML documents as JSON text; the work is spread over files."""
+    """YAML documents as JSON text. Parsing costs far more than moving the documents, so they are dealt to all cores, however
+    few row groups or files hold them, and the JSON is written once for its readers."""
     def convert(batches):
         import json
 
@@ -163,7 +165,9 @@ def yaml_as_json(docs: DataFrame, col: str = "value") -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"value": [json.dumps(yaml.load(t, loader), default=str) for t in pdf[col]]})
 
-    return docs.select(col).mapInPandas(convert, "value string")
+    texts = docs.select(col)
+    dealt = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()))
+    return cut_lineage(dealt.mapInPandas(convert, "value string"))
 
 
 def read_yaml_records(spark: SparkSession, path: str, record_path: str = "") -> DataFrame:
