@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TextSpec, clean_text, safe_stem
 from ..operators.ordering import with_position
+from ..session import cut_lineage
 
 
 def processed_columns(df: DataFrame, text_cols: Sequence[str], spec: TextSpec = TextSpec()) -> DataFrame:
@@ -44,9 +45,11 @@ def unique_names(df: DataFrame, name: str, key: str, folder: str | None = None,
 
 def write_corpus(df: DataFrame, key: str, name: str, text: str, label: str, path: str, spec: TextSpec = TextSpec()) -> DataFrame:
     """Cleaned documents partitioned by label, one line-safe record per document, and a manifest beside them."""
-    docs = unique_names(df.withColumn("_clean", clean_text(F.col(text), spec)), name, key, label)
-    rows = docs.select(F.col(label).alias("label"), F.col("file_name"), F.col("_clean").alias("text"))
-    rows.write.mode("overwrite").partitionBy("label").json(f"{path}/documents")
-    manifest = rows.select("file_name", "label", F.length("text").alias("n_chars"))
+    # names first, so that texts are cleaned once and not for the samples that cut the ranges
+    docs = unique_names(df.select(*dict.fromkeys([key, name, text, label])), name, key, label)
+    kept = docs.select(F.col(label).alias("label"), F.col("file_name"), clean_text(F.col(text), spec).alias("text"))
+    rows = cut_lineage(kept.withColumn("n_chars", F.length("text")))
+    rows.select("label", "file_name", "text").write.mode("overwrite").partitionBy("label").json(f"{path}/documents")
+    manifest = rows.select("file_name", "label", "n_chars")
     manifest.write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
     return manifest
