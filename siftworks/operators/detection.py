@@ -57,16 +57,37 @@ CROWDED_PAIRS = 1_000_000
 def greedy_matches(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, crowded_pairs: int = CROWDED_PAIRS) -> DataFrame:
     """(threshold, image_id, pred_id, truth_id): predictions in score order each take their best free truth, at every
     threshold. Equal scores go by pred_id, equal overlaps by truth_id. Both ways of matching give the same rows."""
+    whole, crowded = _by_crowd(pairs, thresholds, crowded_pairs)
+    found = folded_matches(whole, thresholds)
+    return found if crowded is None else found.unionByName(settled_matches(crowded, thresholds))
+
+
+def matched_levels(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, crowded_pairs: int = CROWDED_PAIRS) -> DataFrame:
+    """(image_id, pred_id, levels): one row per matched prediction, a bit for every threshold at which it is matched."""
+    whole, crowded = _by_crowd(pairs, thresholds, crowded_pairs)
+    found = folded_levels(whole).select("image_id", "pred_id", "levels")
+    if crowded is not None:
+        bit = sum(F.when(F.col("threshold") == float(t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(thresholds))
+        found = found.unionByName(settled_matches(crowded, thresholds).select("image_id", "pred_id", bit.alias("levels")))
+    return found.groupBy("image_id", "pred_id").agg(F.bit_or("levels").alias("levels"))
+
+
+def _by_crowd(pairs: DataFrame, thresholds: Sequence[float], crowded_pairs: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs with their levels: those of images that one task matches, those of larger images if there are any."""
     masked = cut_lineage(pairs.withColumn("levels", sum(F.when(F.col("iou") >= float(t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(thresholds))).filter("levels > 0"))
     crowded = cut_lineage(masked.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") > crowded_pairs).select("image_id"))
     if crowded.isEmpty():
-        return folded_matches(masked, thresholds)
-    return folded_matches(masked.join(crowded, "image_id", "left_anti"), thresholds).unionByName(
-        settled_matches(masked.join(crowded, "image_id", "left_semi"), thresholds))
+        return masked, None
+    return masked.join(crowded, "image_id", "left_anti"), masked.join(crowded, "image_id", "left_semi")
 
 
 def folded_matches(masked: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """The matches of whole images. Pairs stream through a task in the order in which predictions choose; kept are one
+    """The matches of whole images, a row per threshold."""
+    return folded_levels(masked).withColumn("threshold", explode_levels(thresholds)).select("threshold", "image_id", "pred_id", "truth_id")
+
+
+def folded_levels(masked: DataFrame) -> DataFrame:
+    """The matches of whole images with a bit per threshold. Pairs stream through a task in the order in which predictions choose; kept are one
     bit per threshold for each truth of the image at hand and for the prediction at hand."""
     ordered = masked.select("image_id", "score", "pred_id", "truth_id", "iou", "levels").repartition("image_id").sortWithinPartitions(
         "image_id", F.desc("score"), "pred_id", F.desc("iou"), "truth_id").select("image_id", "pred_id", "truth_id", "levels")
@@ -89,8 +110,7 @@ def folded_matches(masked: DataFrame, thresholds: Sequence[float]) -> DataFrame:
             out = batch.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(given, pa.int32())], schema=pa.schema([*list(batch.schema)[:3], pa.field("levels", pa.int32())]))
 
-    found = ordered.mapInArrow(fold, ordered.schema)
-    return found.withColumn("threshold", explode_levels(thresholds)).select("threshold", "image_id", "pred_id", "truth_id")
+    return ordered.mapInArrow(fold, ordered.schema)
 
 
 def explode_levels(thresholds: Sequence[float]) -> Column:
@@ -122,18 +142,20 @@ def settled_matches(masked: DataFrame, thresholds: Sequence[float]) -> DataFrame
 def detection_metrics(pred: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS, cell: float = 64.0) -> DataFrame:
     """map, map_50, map_75, precision and recall at 0.5, and the mean best overlap per image."""
     pairs = cut_lineage(overlaps(pred, truth, cell))
-    matched = greedy_matches(pairs, thresholds).withColumn("hit", F.lit(1))
-    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    all_pred = pred.select("image_id", "pred_id", "score").withColumn("threshold", levels)
-    flagged = all_pred.join(matched.select("threshold", "image_id", "pred_id", "hit"), ["threshold", "image_id", "pred_id"], "left")
-    flagged = flagged.withColumn("hit", F.coalesce("hit", F.lit(0)))
+    levels = matched_levels(pairs, thresholds)
+    flagged = pred.select("image_id", "pred_id", "score").join(levels, ["image_id", "pred_id"], "left")
+    flagged = flagged.withColumn("levels", F.coalesce("levels", F.lit(0)))
     n_truth = float(truth.count())
-    cum = running_totals(flagged, [F.desc("score"), F.col("image_id"), F.col("pred_id")], {"tp": F.col("hit"), "seen": F.lit(1)}, ["threshold"])
-    per = cum.groupBy("threshold").agg(
-        F.sum(F.col("hit") * F.col("tp") / F.col("seen") / n_truth).alias("ap"),
-        (F.sum("hit") / F.count("*")).alias("precision"), (F.sum("hit") / n_truth).alias("recall"))
-    scores = per.agg(
-        F.avg("ap").alias("map"), *[F.max(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col(c))).alias(n) for n, t, c in (
+    # all thresholds rank the predictions alike: one order, a running total per threshold
+    hits = [F.when(F.col("levels").bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0) for i in range(len(thresholds))]
+    sums = {f"tp{i}": hit for i, hit in enumerate(hits)} | {"seen": F.lit(1)}
+    cum = running_totals(flagged, [F.desc("score"), F.col("image_id"), F.col("pred_id")], sums)
+    per = cum.agg(*[c for i, hit in enumerate(hits) for c in (
+        F.sum(hit * F.col(f"tp{i}") / F.col("seen") / n_truth).alias(f"ap{i}"),
+        (F.sum(hit) / F.count("*")).alias(f"precision{i}"), (F.sum(hit) / n_truth).alias(f"recall{i}"))])
+    at = {t: next((i for i, u in enumerate(thresholds) if abs(u - t) < 1e-9), None) for t in (0.5, 0.75)}
+    scores = per.select((sum(F.col(f"ap{i}") for i in range(len(thresholds))) / len(thresholds)).alias("map"), *[
+        (F.lit(None).cast("double") if at[t] is None else F.col(f"{c}{at[t]}")).alias(n) for n, t, c in (
             ("map_50", 0.5, "ap"), ("map_75", 0.75, "ap"), ("precision", 0.5, "precision"), ("recall", 0.5, "recall"))])
     both = pred.select("image_id").distinct().join(truth.select("image_id").distinct(), "image_id")
     best = both.join(pairs.groupBy("image_id").agg(F.max("iou").alias("iou")), "image_id", "left")
