@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +14,40 @@ MEMORY_OFFSET = 1000
 SMOTE_MIN = 6
 
 
+def _derived(profiles: DataFrame, rules: RuleSet) -> DataFrame:
+    for name, expr in rules.derived.items():
+        profiles = profiles.withColumn(name, F.expr(expr))
+    return profiles
+
+
 def propose(profiles: DataFrame, rules: RuleSet, key: str = "dataset") -> DataFrame:
     """(key, idx, spec fields): idx 0 is the plain spec. One projection per profile row, no join."""
-    df = profiles
-    for name, expr in rules.derived.items():
-        df = df.withColumn(name, F.expr(expr))
     cells = []
     for i, (cond, spec) in enumerate(rules.specs()):
         body = F.struct(F.lit(i).alias("idx"), *[F.expr(e).alias(f) for f, e in spec.items()])
         cells.append(F.when(F.expr(cond), body))
-    return df.select(key, F.inline(F.array_compact(F.array(*cells))))
+    return _derived(profiles, rules).select(key, F.inline(F.array_compact(F.array(*cells))))
+
+
+def _of_cell(expr: str, fields: Sequence[str], cell: str) -> str:
+    """An SQL expression over spec fields as one over the fields of ``cell``; quoted text stays."""
+    return re.sub(r"'[^']*'|\b\w+\b", lambda m: f"{cell}.{m[0]}" if m[0] in fields else m[0], expr)
+
+
+def within_rows(profiles: DataFrame, rules: RuleSet, keep: Sequence[str] = ("dataset",), constrained: bool = True) -> DataFrame:
+    """(kept columns, spec fields, rank): proposed, constrained, once each and capped inside every profile row, so nothing is
+    shuffled and a task holds the specs of one profile at a time. Profiles have one row per dataset."""
+    fields = list(rules.fields)
+    cells = [F.when(F.expr(cond), F.struct(*[F.expr(spec[f]).alias(f) for f in fields])) for cond, spec in rules.specs()]
+    df = _derived(profiles, rules).withColumn("_specs", F.array_compact(F.array(*cells)))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema["_specs"].dataType.elementType.fields}
+    for name, target, value in rules.constraints if constrained else ():
+        changed = {f: f"k.{f}" for f in fields} | {target: f"CAST({_of_cell(value, fields, 'k')} AS {kinds[target]})"}
+        struct = ", ".join(f"'{f}', {e}" for f, e in changed.items())
+        df = df.withColumn("_specs", F.expr(f"CASE WHEN array_contains(constraints, '{name}') THEN transform(_specs, k -> named_struct({struct})) ELSE _specs END"))
+    once = F.filter(F.array_distinct("_specs"), lambda _, i: i < F.col("_cap"))  # the earliest of equal ones stays
+    ranked = F.transform(once, lambda s, i: F.struct(*[s[f].alias(f) for f in fields], (i + 1).alias("rank")))
+    return df.withColumn("_cap", F.expr(rules.cap)).select(*keep, F.inline(ranked))
 
 
 def avoid(candidates: DataFrame, bad: DataFrame, rules: RuleSet, key: str = "dataset") -> DataFrame:
@@ -65,6 +92,8 @@ def finish(candidates: DataFrame, profiles: DataFrame, rules: RuleSet, key: str
 
 def candidates(profiles: DataFrame, rules: RuleSet, bad: DataFrame | None = None, good: DataFrame | None = None, key: str = "dataset") -> DataFrame:
     """(key, rank, spec fields) for every profile row."""
+    if bad is None and good is None:
+        return within_rows(profiles, rules, [key])
     out = propose(profiles, rules, key)
     if bad is not None:
         out = avoid(out, bad, rules, key)
