@@ -8,6 +8,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Order of the codes, weights and limits of the learner.
 TASKS = {
     "tabular": ("binary", "multiclass", "regression", "time_series", "clustering", "anomaly", "association_rules", "other"),
@@ -109,6 +111,7 @@ def encoded(df: DataFrame, kind: str, out: str = "x") -> DataFrame:
 def fit(evaluations: DataFrame, kind: str, score: str = "score") -> tuple[PipelineModel, int] | None:
     """(model, rows) of a forest over encoded past evaluations; None below three rows."""
     rows = encoded(evaluations, kind).select("x", F.col(score).cast("double").alias("label")).filter("label IS NOT NULL")
+    rows = cut_lineage(rows)  # the forest's passes read the encoded rows, not the runs behind them
     n = rows.count()
     if n < 3:
         return None
