@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftworks.operators import components, detectors, features, linear, metrics, neighbours, vectors
+from siftworks.operators import components, detectors, features, linear, metrics, neighbours, pairwise, vectors
 
 
 def frame(spark, x, keys=None):
@@ -145,3 +145,24 @@ def test_a_block_is_sent_once_per_part_and_not_once_per_block(spark):
 def test_links_of_a_task_keep_what_reaches_what():
     found = neighbours._spanning(neighbours.pd.DataFrame({"a": [9, 8, 7, 30, 5], "b": [8, 7, 5, 20, 5]}))
     assert {tuple(r) for r in found.to_numpy().tolist()} == {(9, 5), (8, 5), (7, 5), (30, 20)}
+
+
+def test_similarities_are_ranked_where_they_are_made(spark):
+    """A gallery in parts: every query against brute force, and no similarity in a shuffle or a grouping."""
+    rng = np.random.default_rng(12)
+    x, label = rng.integers(-2, 3, (90, 3)).astype(float), rng.integers(0, 4, 90)
+    x[:2] = 0
+    label[5] = 9
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, label))], "id long, v array<float>, label int")
+    rows = pairwise.ranking_rows(df, "id", "v", "label", 3, broadcast_bytes=0, block_rows=20)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "collect_list" not in plan and "CoGroup" not in plan
+    norm = np.linalg.norm(x, axis=1)
+    sims = x @ x.T / np.clip(norm[:, None] * norm[None], 1e-12, None)
+    for r in rows.collect():
+        others = [j for j in range(90) if j != r["id"]]
+        order = sorted(others, key=lambda j: (-sims[r["id"], j], j))
+        at = [p for p, j in enumerate(order) if label[j] == label[r["id"]]]
+        assert (r["hits"], r["relevant"], r["others"]) == (sum(p < 3 for p in at), len(at), 89)
+        assert r["ap"] == (None if not at else pytest.approx(np.mean([(i + 1) / (p + 1) for i, p in enumerate(at)])))
+        assert r["rr"] == (None if not at else pytest.approx(1 / (at[0] + 1)))
