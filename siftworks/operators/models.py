@@ -479,9 +479,9 @@ def topics(df: DataFrame, terms: Column, key: str, n_topics: int, min_df: int =
            carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents with weights, topic and share, top terms per topic). Every document is part of the fit."""
     rows = df.select(key, *carry, terms.alias("terms"))
-    model = tfidf.TfidfVectors("terms", "features", min_df, max_terms).fit(rows)
+    model, made = tfidf.TfidfVectors("terms", "features", min_df, max_terms).fit_transform(rows)
     names = model.stages[0].vocabulary
-    sparse = model.transform(rows).select(key, *carry, *sparse_parts("features"))
+    sparse = made.select(key, *carry, *sparse_parts("features"))
     found = topic_models.fit(sparse, n_topics, len(names), SEED)
     docs = found.transform(sparse, key, carry=carry)
     most = F.array_max("weights")

@@ -65,3 +65,18 @@ def test_classes_are_fitted_on_the_rows_as_they_stand(spark):
     got = {r["id"]: r["prediction"] for r in model.transform(df).collect()}
     assert [got[i] for i in range(120)] == margins.argmax(1).tolist() and (margins.argmax(1) == y).mean() > 0.7
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) == cached
+
+
+def test_terms_of_topics_are_made_twice(spark):
+    """Once for the vocabulary and once for the counts; the documents with their topics come from the counts."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        made.add(1)
+        return text.split()
+
+    df = spark.range(40).select("id", F.concat_ws(" ", F.lit("common"), F.concat(F.lit("a"), (F.col("id") % 4).cast("string"))).alias("text"))
+    docs, top = models.topics(df, split("text"), "id", 2)
+    assert docs.count() == 40 and docs.select("share").collect() and top.count() == 10
+    assert made.value <= 80
